@@ -91,7 +91,7 @@ class Dialect:
             f"SELECT {self.typed_columns(spec)} FROM {self.quote(staging)}"
         )
 
-    def assignments(self, spec: TableSpec, source: str, now_text: str, prefix: str = "") -> str:
+    def assignments(self, spec: TableSpec, source: str, now_text: str) -> str:
         """Every column but the key from the incoming row, its comment marked."""
         label = (MARKER_LABEL + now_text).replace("'", "''")
         values = {c: f"{source}.{self.quote(c)}" for c in spec.payload}
@@ -99,7 +99,7 @@ class Dialect:
             values[spec.comment] = (
                 f"LEFT({values[spec.comment]}, {MARKER_KEEP}) {self.concat} '{label}'"
             )
-        return ", ".join(f"{prefix}{self.quote(c)} = {v}" for c, v in values.items())
+        return ", ".join(f"{self.quote(c)} = {v}" for c, v in values.items())
 
     def upsert_staged(self, spec: TableSpec, staging: str, now_text: str) -> str:
         return self.upsert(self, spec, staging, now_text)
@@ -113,7 +113,7 @@ def _on_conflict(d: Dialect, spec: TableSpec, staging: str, now_text: str) -> st
 
 def _merge(d: Dialect, spec: TableSpec, staging: str, now_text: str) -> str:
     matches = " AND ".join(f"old.{d.quote(c)} = new.{d.quote(c)}" for c in spec.pk)
-    updates = d.assignments(spec, "new", now_text, "old.")
+    updates = d.assignments(spec, "new", now_text)
     matched = f"WHEN MATCHED THEN UPDATE SET {updates} " if updates else ""
     return (
         f"MERGE INTO {d.quote(spec.name)} AS old "

@@ -25,7 +25,11 @@ def ticks(spark: SparkSession, per_trigger: int) -> DataFrame:
 
 
 class RunningFeed:
-    """A started feed. ``until`` is the tick to stop before, or None to go on for ever."""
+    """A started feed. ``until`` is the tick to stop before, or None to go on for ever.
+
+    A stopped feed goes on where it stopped if it is started again with the same
+    checkpoint, provided that ``until`` was a multiple of ``ticks_per_set``.
+    """
 
     def __init__(
         self,
@@ -38,7 +42,7 @@ class RunningFeed:
     ) -> None:
         self.feed = feed
         self.until = until
-        self.finished = threading.Event()
+        self.finished, self.stopping = threading.Event(), threading.Event()
         if seconds is None:
             seconds = feed.pace.interval_seconds * ticks_per_set
         writer = ticks(spark, ticks_per_set).writeStream.queryName(f"changes of {feed.spec.name}")
@@ -50,12 +54,17 @@ class RunningFeed:
     def _apply(self, due: DataFrame, number: int) -> None:
         span = due.agg(F.min("value").alias("first"), F.max("value").alias("last")).first()
         first, end = span["first"], span["last"] + 1
-        if self.until is not None:
-            end = min(end, self.until)
-        if first < end:
+        if self.until is None or end < self.until:
             self.feed.apply_ticks(first, end, number)
-        if self.until is not None and end >= self.until:
+            return
+        if first < self.until:
+            self.feed.apply_ticks(first, self.until, number)
             self.finished.set()
+            return
+        # Past the last tick: must not count as done, or a later start would skip it.
+        self.finished.set()
+        self.stopping.wait()
+        raise RuntimeError("stopped")
 
     def wait(self) -> None:
         """Return when the feed has reached its last tick; raise if it failed."""
@@ -63,6 +72,7 @@ class RunningFeed:
             if not self.query.isActive:
                 self.query.awaitTermination()
                 raise RuntimeError(f"the changes of {self.feed.spec.name} were stopped")
+        self.stopping.set()
         self.query.stop()
 
 

@@ -1,0 +1,255 @@
+import datetime as dt
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablefeed import files
+from tablefeed.operators.batches import TICK, GeneratedChanges, TableChanges
+from tablefeed.operators.keys import KeyViolation
+from tablefeed.plans.cdc import Feed, apply_batches, progress
+from tablefeed.plans.rates import Pace
+from tablefeed.plans.snapshot import Load, LoadError, generated_loads, run_snapshot
+from tablefeed.sinks.parquet import RANGE, ParquetSink
+from tablefeed.sources.generate import Sizes, generate
+from tablefeed.specs import TABLES, TableSpec
+from tablefeed.streaming.feed import RunningFeed, start_feeds
+
+SIZES = Sizes(supplier=100, customer=150, part=200, orders=300)
+NOW = "2024-01-01 00:00:00.000"
+
+
+def clock(number):
+    return dt.datetime(2024, 1, 1, 0, 0, number)
+
+
+def same(left, right):
+    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def small(spark, n=1000):
+    df = spark.range(n).selectExpr("id k", "cast(id as string) t")
+    return df, TableSpec.of(df, "small", ("k",), "t")
+
+
+def small_sink(spark, root, n=1000):
+    df, spec = small(spark, n)
+    sink = ParquetSink(spark, str(root), widths={"small": 100})
+    sink.create_table(spec)
+    sink.append(df, spec)
+    return sink, spec
+
+
+def changes(spark, low, high, tick=0):
+    return spark.range(low, high).selectExpr("id k", "concat('c', id) t", f"{tick}L as {TICK}")
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_snapshot_reads_back_what_was_generated(spark, tmp_path, staged):
+    sink = ParquetSink(spark, str(tmp_path), staged, widths={"lineitem": 200, "orders": 200})
+    report = run_snapshot(spark, sink, generated_loads(spark, "all", SIZES), strict=True)
+    assert {r.table_name: (r.loaded_rows, r.error) for r in report.collect()} == {
+        t: (generate(spark, t, SIZES).count(), None) for t in TABLES
+    }
+    for table, spec in TABLES.items():
+        assert same(sink.read(spec), generate(spark, table, SIZES))
+
+
+def test_create_only_and_create_twice(spark, tmp_path):
+    sink = ParquetSink(spark, str(tmp_path))
+    loads = generated_loads(spark, "region,nation", SIZES)
+    assert run_snapshot(spark, sink, loads, create_only=True).isEmpty()
+    assert sink.read(TABLES["nation"]).isEmpty()
+    run_snapshot(spark, sink, loads, strict=True)
+    run_snapshot(spark, sink, loads, create_only=True)
+    assert sink.read(TABLES["nation"]).count() == 25
+
+
+def test_loading_twice_is_refused_and_dropping_helps(spark, tmp_path):
+    sink = ParquetSink(spark, str(tmp_path))
+    loads = generated_loads(spark, "region,nation", SIZES)
+    run_snapshot(spark, sink, loads[:1], strict=True)
+    report = {r.table_name: r for r in run_snapshot(spark, sink, loads).collect()}
+    assert "KeyViolation" in report["region"].error and report["region"].loaded_rows is None
+    assert report["nation"].loaded_rows == 25 and report["nation"].error is None
+    assert sink.read(TABLES["region"]).count() == 5
+    with pytest.raises(LoadError, match="region, nation"):
+        run_snapshot(spark, sink, loads, strict=True)
+    run_snapshot(spark, sink, loads, drop=True, strict=True)
+    assert sink.read(TABLES["region"]).count() == 5
+
+
+def test_truncate_and_drop(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    sink.truncate_table(spec)
+    assert sink.read(spec).isEmpty()
+    sink.drop_table(spec)
+    sink.drop_table(spec)
+    assert not files.exists(spark, sink.path(spec))
+
+
+def test_colliding_part_suppliers_are_reported(spark, tmp_path):
+    loads = generated_loads(spark, "partsupp", Sizes.at_scale(0.001))
+    report = run_snapshot(spark, ParquetSink(spark, str(tmp_path)), loads).first()
+    assert report.loaded_rows is None and "partsupp: key" in report.error
+
+
+def test_a_failed_staged_load_leaves_no_staging(spark, tmp_path):
+    sink = ParquetSink(spark, str(tmp_path), staged=True)
+    made = []
+    create = sink.create_staging
+    sink.create_staging = lambda spec: made.append(create(spec)) or made[-1]
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k long, t string")
+    spec = TableSpec.of(df, "t", ("k",))
+    assert run_snapshot(spark, sink, [Load(spec, df)]).first().error
+    assert len(made) == 1 and not files.exists(spark, made[0])
+
+
+def test_nulls_in_key_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a")], "k long, t string")
+    spec = TableSpec.of(df, "t", ("k",))
+    report = run_snapshot(spark, ParquetSink(spark, str(tmp_path)), [Load(spec, df)])
+    assert "t.k must not be null" in report.first().error
+
+
+def test_a_text_key_has_no_ranges(spark, tmp_path):
+    df = spark.createDataFrame([("a",)], "k string")
+    sink = ParquetSink(spark, str(tmp_path))
+    with pytest.raises(TypeError):
+        sink.key_range(TableSpec.of(df, "t", ("k",)))
+
+
+def test_apply_rewrites_only_the_ranges_it_touches(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+
+    def listing():
+        base = sink.path(spec)
+        folders = [f for f in os.listdir(base) if f.startswith(RANGE)]
+        return {f: sorted(os.listdir(os.path.join(base, f))) for f in folders}
+
+    before = listing()
+    effect = sink.apply(changes(spark, 150, 160), spec, 0, NOW)
+    assert (effect.rows, effect.inserted, effect.updated) == (10, 0, 10)
+    effect = sink.apply(changes(spark, 995, 1005), spec, 1, NOW)
+    assert (effect.rows, effect.inserted, effect.updated) == (10, 5, 5)
+    after = listing()
+    assert {f for f in after if after[f] != before.get(f)} == {f"{RANGE}={n}" for n in (1, 9, 10)}
+    assert sink.read(spec).count() == 1005
+    marked = sink.read(spec).where(F.col("t").endswith(f" CDC:{NOW}"))
+    assert marked.count() == 15
+
+
+def test_a_set_is_applied_once(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    sink.apply(changes(spark, 1000, 1010), spec, 3, NOW)
+    again = sink.apply(changes(spark, 1000, 1010), spec, 3, NOW)
+    assert again.rows == 0 and sink.last_applied(spec) == 3
+    assert sink.read(spec).where(F.col("t").contains("CDC")).isEmpty()
+    reopened = ParquetSink(spark, str(tmp_path), widths={"small": 100})
+    assert reopened.last_applied(spec) == 3
+    assert files.names(spark, f"{tmp_path}/_applied/small") == [f"{3:020d}.json"]
+
+
+@pytest.mark.parametrize("broken", ["_swap", "_record"])
+def test_a_set_broken_off_is_finished_on_retry(spark, tmp_path, broken):
+    sink, spec = small_sink(spark, tmp_path)
+    whole = getattr(sink, broken)
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    setattr(sink, broken, fail)
+    batch = changes(spark, 990, 1010)
+    with pytest.raises(RuntimeError):
+        sink.apply(batch, spec, 0, NOW)
+    setattr(sink, broken, whole)
+    effect = sink.apply(batch, spec, 0, "another time")
+    assert (effect.rows, effect.inserted, effect.updated) == (20, 10, 10)
+    got = sink.read(spec)
+    assert got.count() == 1010
+    assert got.where(F.col("t").endswith(f" CDC:{NOW}")).count() == 10
+    assert got.where(F.col("t").contains("another time")).isEmpty()
+    assert files.names(spark, f"{tmp_path}/_pending") == []
+
+
+def test_a_broken_preparation_starts_over(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    touched = sink._touched
+    sink._touched = lambda *args: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        sink.apply(changes(spark, 0, 10), spec, 0, NOW)
+    sink._touched = touched
+    assert sink.apply(changes(spark, 0, 10), spec, 0, NOW).updated == 10
+
+
+def test_a_key_twice_in_one_batch_is_refused(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    twice = changes(spark, 0, 10).unionAll(changes(spark, 5, 6))
+    with pytest.raises(KeyViolation):
+        sink.apply(twice, spec, 0, NOW)
+    assert sink.read(spec).where(F.col("t").contains("CDC")).isEmpty()
+    assert sink.apply(changes(spark, 0, 0), spec, 0, NOW).rows == 0
+
+
+@pytest.mark.parametrize("per_set", [1, 3, 8])
+def test_sets_of_batches_give_the_same_rows(spark, tmp_path, per_set):
+    df, _ = small(spark, 450)
+    sink, spec = small_sink(spark, tmp_path, 300)
+    source = TableChanges(spark, df.withColumn("t", F.concat(F.lit("c"), "t")), ["k"])
+    feed = Feed(spec, source, sink, Pace("small", 100), lambda n: dt.datetime(2024, 1, 1))
+    apply_batches(feed, 0, 8, per_set)
+    got = {r.k: r.t for r in sink.read(spec).collect()}
+    seen, want = set(range(300)), {k: str(k) for k in range(300)}
+    for tick in range(8):
+        for k in range(tick % 5 * 100, min(tick % 5 * 100 + 100, 450)):
+            want[k] = f"c{k} CDC:{NOW}" if k in seen else f"c{k}"
+            seen.add(k)
+    assert got == want
+    row = progress(spark, [feed]).first()
+    assert (row.table_name, row.operations) == ("small", 450 + 300)
+    assert row.operations_per_second > 0
+
+
+def test_stream_stops_and_goes_on(spark, tmp_path):
+    df, _ = small(spark, 450)
+    sink, spec = small_sink(spark, tmp_path / "a", 300)
+    plain, _ = small_sink(spark, tmp_path / "b", 300)
+    source = TableChanges(spark, df, ["k"])
+    feed, by_hand = (
+        Feed(spec, source, s, Pace("small", 100), clock) for s in (sink, plain)
+    )
+    apply_batches(by_hand, 0, 6, 2)
+    for until in (2, 6):
+        running = RunningFeed(spark, feed, str(tmp_path / "at"), 2, until, seconds=0)
+        running.finished.wait()
+        # Time to run past the last tick, which must not lose the ticks that follow.
+        time.sleep(2)
+        running.wait()
+    assert sink.last_applied(spec) == 2
+    assert same(sink.read(spec), plain.read(spec))
+
+
+def test_streams_of_two_tables(spark, tmp_path):
+    sink = ParquetSink(spark, str(tmp_path / "t"), widths={"lineitem": 400, "orders": 400})
+    run_snapshot(spark, sink, generated_loads(spark, "orders,lineitem", SIZES), strict=True)
+    more = Sizes(100, 150, 200, 400)
+    feeds = [
+        Feed(TABLES[t], GeneratedChanges(spark, t, more), sink, Pace(t, 100), clock)
+        for t in ("lineitem", "orders")
+    ]
+    for running in start_feeds(spark, feeds, str(tmp_path / "c"), 4, until=4, seconds=0):
+        running.wait()
+    assert sink.read(TABLES["orders"]).count() == 400
+    marked = sink.read(TABLES["orders"]).where(F.col("o_comment").contains(" CDC:"))
+    assert marked.count() == 300
+    assert sink.read(TABLES["lineitem"]).where(F.col("l_comment").contains(" CDC:")).count() == 400
+
+
+def test_a_failing_stream_is_raised(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path, 10)
+    sink.apply = lambda *args: 1 / 0
+    source = TableChanges(spark, small(spark, 10)[0], ["k"])
+    feed = Feed(spec, source, sink, Pace("small", 100), clock)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        RunningFeed(spark, feed, str(tmp_path / "at"), until=3, seconds=0).wait()
