@@ -95,25 +95,27 @@ def middle_bits(of: State, left: int | str, right: int | str) -> str:
     return f"(shiftright({of.first} * {left} + {of.second} * {right}, {DRAW_SHIFT}) & {MASK}L)"
 
 
-def line_state(of: State, line: str) -> State:
+def fixed_line_state(of: State, line: int) -> State:
     """The state of one line (numbered 0 to 7) of a row."""
+    a, b, c, d = (f"{m}L" for m in LINE_MULTIPLIERS[line])
+    return State(middle_bits(of, a, b), middle_bits(of, c, d))
+
+
+def with_line_state(df: DataFrame, stream: str, line: str) -> DataFrame:
+    """The same for a line number in a column, as ``_line1`` and ``_line2``."""
 
     def multiplier(n: int) -> str:
         values = ", ".join(f"{quad[n]}L" for quad in LINE_MULTIPLIERS)
         return f"array({values})[cast({line} as int)]"
 
-    return State(
-        known(middle_bits(of, multiplier(0), multiplier(1))),
-        known(middle_bits(of, multiplier(2), multiplier(3))),
+    of = state(stream)
+    return with_columns(
+        df,
+        _line1=known(middle_bits(of, multiplier(0), multiplier(1))),
+        _line2=known(middle_bits(of, multiplier(2), multiplier(3))),
     )
 
 
-def with_line_state(df: DataFrame, stream: str, line: str) -> DataFrame:
-    """Add the state of the row's line as ``_line1`` and ``_line2``."""
-    of_line = line_state(state(stream), line)
-    return with_columns(df, _line1=of_line.first, _line2=of_line.second)
-
-
 def raw_draw(of: State, name: str) -> str:
     """A number in [0, 2**31)."""
     return middle_bits(of, f"{constant(f'{name}/a', 30)}L", f"{constant(f'{name}/b', 30)}L")

@@ -28,8 +28,8 @@ from tablefeed.functions.draws import (
     State,
     div,
     draw,
+    fixed_line_state,
     key_draw,
-    line_state,
     mod,
     pick,
     state,
@@ -299,22 +299,33 @@ def _line_ship_day(line: State) -> str:
 def orders(ids: DataFrame, sizes: Sizes, seed: int = SEED) -> DataFrame:
     """Status and total come from the draws of the order's own lines.
 
-    The lines of an order are an array inside its row, so nothing is shuffled.
+    All seven lines an order may have are drawn side by side in its row and the
+    first ``_lines`` of them count, so nothing is exploded or shuffled.
     """
-    order, line = state("orders"), State("n.s1", "n.s2")
-    of_line = line_state(order, "n")
-    each = f"transform(sequence(1L, _lines), n -> struct({of_line.first} as s1, {of_line.second} as s2))"
-    discount, tax = draw(line, "discount", 11), draw(line, "tax", 9)
-    price = _line_price(line, _line_part(line, sizes))
-    charge = f"{price} * (100 - {discount}) * (100 + {tax})"
-    # Customers whose key is divisible by 3 have no orders.
-    buyer = key_draw(order, "customer", sizes.customer - sizes.customer // 3)
-    df = with_columns(_order_base(ids, seed), **{ORDINAL: "id - 1", "_each": each})
+    order = state("orders")
+    lines = {n: state(f"line{n}_") for n in range(1, MAX_LINES + 1)}
+    states: dict[str, str] = {}
+    for n, line in lines.items():
+        states.update(zip(line, fixed_line_state(order, n)))
+    df = with_columns(_order_base(ids, seed), **{ORDINAL: "id - 1", **states})
+    drawn = {f"_part{n}": _line_part(line, sizes) for n, line in lines.items()}
+    drawn.update({f"_ship{n}": _line_ship_day(line) for n, line in lines.items()})
+    df = with_columns(df, **drawn)
+
+    charges = []
+    for n, line in lines.items():
+        discount, tax = draw(line, "discount", 11), draw(line, "tax", 9)
+        charge = f"{_line_price(line, f'_part{n}')} * (100 - {discount}) * (100 + {tax})"
+        charges.append(f"if(_lines >= {n}, {charge}, 0L)")
+    ship_days = ", ".join(f"_ship{n}" for n in lines)
+    shipped = f"slice(array({ship_days}), 1, cast(_lines as int))"
     df = with_columns(
         df,
-        _total=f"aggregate(_each, 0L, (total, n) -> total + {charge})",
-        _open=f"size(filter(_each, n -> {_line_ship_day(line)} > {CURRENT_DAY}))",
+        _total=" + ".join(charges),
+        _open=f"size(filter({shipped}, day -> day > {CURRENT_DAY}))",
     )
+    # Customers whose key is divisible by 3 have no orders.
+    buyer = key_draw(order, "customer", sizes.customer - sizes.customer // 3)
     return _shape(
         df, "orders",
         o_orderkey="_orderkey",
