@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,8 @@ BROADCAST, SHUFFLE = "broadcast", "shuffle"
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 32
 
-FOUND, BEFORE = "_found", "_before"
+FOUND, BEFORE, EFFECT = "_found", "_before", "_effect"
+KEPT, INSERTED, UPDATED = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -72,37 +73,31 @@ def _incoming(spec: TableSpec, name: str, value: Column, hit: Column, now_text:
     return value.alias(name)
 
 
-def _effects(found: Column, changed: Column) -> list[Column]:
-    return [
-        F.count_if(changed & ~found).alias("inserted"),
-        F.count_if(changed & found).alias("updated"),
-    ]
-
-
 def upsert(
     target: DataFrame,
     changes: DataFrame,
     spec: TableSpec,
     now_text: str | None = None,
     plan: str = SHUFFLE,
-    counts: Observation | None = None,
     hit_before: str | None = None,
+    effect: str | None = None,
 ) -> DataFrame:
     """The target after the changes.
 
     Keys must be unique on both sides (``keys.require_unique``). ``now_text``
     is the time put into the marker; without it, or without a comment column,
-    nothing is marked. ``counts`` observes inserted and updated rows as the
-    result is computed. ``hit_before`` names a boolean column of ``changes``
-    that is true where an earlier change of the same set had the row's key.
+    nothing is marked. ``hit_before`` names a boolean column of ``changes`` that
+    is true where an earlier change of the same set had the row's key.
+    ``effect`` names a column to add, which says what was done to each row.
     """
     build = {BROADCAST: _upsert_broadcast, SHUFFLE: _upsert_shuffle}[plan]
     before = F.col(hit_before) if hit_before else F.lit(False)
     changes = changes.select(*spec.columns, before.alias(BEFORE))
-    return build(target.select(*spec.columns), changes, spec, now_text, counts)
+    result = build(target.select(*spec.columns), changes, spec, now_text)
+    return result.withColumnRenamed(EFFECT, effect) if effect else result.drop(EFFECT)
 
 
-def _upsert_broadcast(target, changes, spec, now_text, counts) -> DataFrame:
+def _upsert_broadcast(target, changes, spec, now_text) -> DataFrame:
     key = list(spec.pk)
     change_keys = F.broadcast(changes.select(*key))
     kept = target.join(change_keys, key, "left_anti")
@@ -110,29 +105,28 @@ def _upsert_broadcast(target, changes, spec, now_text, counts) -> DataFrame:
     found = target.select(*key).join(change_keys, key, "left_semi").withColumn(FOUND, F.lit(True))
     touched = changes.join(F.broadcast(found), key, "left")
     touched = touched.withColumn(FOUND, F.coalesce(FOUND, F.lit(False)))
-    if counts is not None:
-        touched = touched.observe(counts, *_effects(F.col(FOUND), F.lit(True)))
     hit = F.col(FOUND) | F.col(BEFORE)
     rows = [_incoming(spec, c, F.col(c), hit, now_text) for c in spec.columns]
-    return kept.select(*spec.columns).unionByName(touched.select(*rows))
+    done = F.when(F.col(FOUND), UPDATED).otherwise(INSERTED).alias(EFFECT)
+    kept = kept.select(*spec.columns, F.lit(KEPT).alias(EFFECT))
+    return kept.unionByName(touched.select(*rows, done))
 
 
-def _upsert_shuffle(target, changes, spec, now_text, counts) -> DataFrame:
+def _upsert_shuffle(target, changes, spec, now_text) -> DataFrame:
     key = list(spec.pk)
     old = target.select(*key, F.struct(*spec.columns).alias("_old"))
     new = changes.select(*key, F.struct(*spec.columns, BEFORE).alias("_new"))
     both = old.join(new, key, "full")
     changed = F.col("_new").isNotNull()
     found = F.col("_old").isNotNull() & changed
-    if counts is not None:
-        both = both.observe(counts, *_effects(found, changed))
     hit = found | F.col(f"_new.{BEFORE}")
 
     def value(name: str) -> Column:
         incoming = _incoming(spec, name, F.col(f"_new.{name}"), hit, now_text)
         return F.when(changed, incoming).otherwise(F.col(f"_old.{name}")).alias(name)
 
-    return both.select(*[F.col(c) if c in key else value(c) for c in spec.columns])
+    done = F.when(found, UPDATED).when(changed, INSERTED).otherwise(KEPT).alias(EFFECT)
+    return both.select(*[F.col(c) if c in key else value(c) for c in spec.columns], done)
 
 
 def upsert_counts(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:

@@ -21,7 +21,15 @@ from tablefeed.functions.text import decode, encode
 from tablefeed.operators.batches import TICK
 from tablefeed.operators.fold import CHANGED_BEFORE, fold_batches
 from tablefeed.operators.keys import require_absent, require_unique, require_values
-from tablefeed.operators.upsert import ChangeSize, plan_for, size_measures, upsert
+from tablefeed.operators.upsert import (
+    EFFECT,
+    INSERTED,
+    UPDATED,
+    ChangeSize,
+    plan_for,
+    size_measures,
+    upsert,
+)
 from tablefeed.session import scratch_path
 from tablefeed.sinks.base import Applied, Sink
 from tablefeed.specs import TableSpec
@@ -117,10 +125,11 @@ class ParquetSink(Sink):
             require_absent(df, existing, spec.pk, spec.name)
         seen = Observation()
         rows = self._ranged(require_values(df, spec), spec)
-        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         if not keyed:
             # Few files per range, and a range with very many rows is split over tasks.
             rows = rows.hint("rebalance", RANGE)
+        # Counted after the shuffle: a task before it may run, and count, twice.
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         rows.write.mode("append").partitionBy(RANGE).parquet(self.path(spec))
         return seen.get["rows"]
 
@@ -201,11 +210,16 @@ class ParquetSink(Sink):
             spec,
             now_text,
             plan_for(ChangeSize(got["rows"], got["key_bytes"])),
-            counts,
             before,
+            EFFECT,
+        )
+        ranged = result.withColumn(RANGE, self.key_range(spec)).hint("rebalance", RANGE)
+        ranged = ranged.observe(
+            counts,
+            F.count_if(F.col(EFFECT) == INSERTED).alias("inserted"),
+            F.count_if(F.col(EFFECT) == UPDATED).alias("updated"),
         )
-        ranged = self._ranged(result, spec).hint("rebalance", RANGE)
-        ranged.write.partitionBy(RANGE).parquet(f"{work}/rows")
+        ranged.drop(EFFECT).write.partitionBy(RANGE).parquet(f"{work}/rows")
         return Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
 
     def _touched(self, changes: DataFrame, spec: TableSpec) -> DataFrame:

@@ -1,12 +1,14 @@
 import pytest
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tablefeed.operators.batches import TICK
 from tablefeed.operators.fold import CHANGED_BEFORE, fold_batches
 from tablefeed.operators.upsert import (
     BROADCAST,
+    INSERTED,
+    KEPT,
     SHUFFLE,
+    UPDATED,
     ChangeSize,
     measure_changes,
     plan_for,
@@ -63,11 +65,11 @@ def plan_text(df):
 
 @pytest.mark.parametrize("plan", [BROADCAST, SHUFFLE])
 def test_upsert(target, changes, plan):
-    counts = Observation()
-    got = upsert(target, changes, spec(target), NOW, plan, counts)
+    got = upsert(target, changes, spec(target), NOW, plan)
     assert got.columns == target.columns
     assert rows(got) == WANT
-    assert counts.get == {"inserted": 1, "updated": 3}
+    done = upsert(target, changes, spec(target), NOW, plan, effect="done")
+    assert sorted(r.done for r in done.collect()) == [KEPT, INSERTED, UPDATED, UPDATED, UPDATED]
 
 
 @pytest.mark.parametrize("plan", [BROADCAST, SHUFFLE])
