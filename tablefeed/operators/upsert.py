@@ -7,7 +7,8 @@ change are kept. Nothing is deleted.
 There are two plans with the same result:
 
 * broadcast: the keys of the changes, and then the keys found in the target,
-  are sent to every task. The target is read where it lies and never shuffled.
+  are sent to every task. The target is read where it lies; of its rows only the
+  keys found are shuffled.
 * shuffle: one full outer join on the key, for change sets of any size.
 
 ``plan_for`` chooses between them from the measured size of the change set.
@@ -101,8 +102,9 @@ def _upsert_broadcast(target, changes, spec, now_text) -> DataFrame:
     key = list(spec.pk)
     change_keys = F.broadcast(changes.select(*key))
     kept = target.join(change_keys, key, "left_anti")
-    # At most one row per change key, so no larger than what was measured.
-    found = target.select(*key).join(change_keys, key, "left_semi").withColumn(FOUND, F.lit(True))
+    # Distinct, so no larger than the change keys that were measured.
+    found = target.select(*key).join(change_keys, key, "left_semi").distinct()
+    found = found.withColumn(FOUND, F.lit(True))
     touched = changes.join(F.broadcast(found), key, "left")
     touched = touched.withColumn(FOUND, F.coalesce(FOUND, F.lit(False)))
     hit = F.col(FOUND) | F.col(BEFORE)
@@ -114,16 +116,16 @@ def _upsert_broadcast(target, changes, spec, now_text) -> DataFrame:
 
 def _upsert_shuffle(target, changes, spec, now_text) -> DataFrame:
     key = list(spec.pk)
-    old = target.select(*key, F.struct(*spec.columns).alias("_old"))
-    new = changes.select(*key, F.struct(*spec.columns, BEFORE).alias("_new"))
-    both = old.join(new, key, "full")
-    changed = F.col("_new").isNotNull()
-    found = F.col("_old").isNotNull() & changed
-    hit = found | F.col(f"_new.{BEFORE}")
+    new_name = {c: f"_new_{c}" for c in spec.payload}
+    new = changes.select(*key, *[F.col(c).alias(n) for c, n in new_name.items()], BEFORE)
+    both = target.withColumn(FOUND, F.lit(True)).join(new, key, "full")
+    changed = F.col(BEFORE).isNotNull()
+    found = F.col(FOUND).isNotNull() & changed
+    hit = found | F.col(BEFORE)
 
     def value(name: str) -> Column:
-        incoming = _incoming(spec, name, F.col(f"_new.{name}"), hit, now_text)
-        return F.when(changed, incoming).otherwise(F.col(f"_old.{name}")).alias(name)
+        incoming = _incoming(spec, name, F.col(new_name[name]), hit, now_text)
+        return F.when(changed, incoming).otherwise(F.col(name)).alias(name)
 
     done = F.when(found, UPDATED).when(changed, INSERTED).otherwise(KEPT).alias(EFFECT)
     return both.select(*[F.col(c) if c in key else value(c) for c in spec.columns], done)

@@ -100,7 +100,9 @@ def test_counts(target, changes):
 
 def test_target_is_not_shuffled_by_the_broadcast_plan(spark, target, changes):
     text = plan_text(upsert(target, changes, spec(target), NOW, BROADCAST))
-    assert "hashpartitioning" not in text and "SortMergeJoin" not in text
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
+    shuffled = text[text.index("Exchange hashpartitioning") :].splitlines()[1]
+    assert "HashAggregate(keys=[a#" in shuffled and "functions=[]" in shuffled
 
 
 def test_plan_follows_the_measured_size(spark, changes):
