@@ -56,6 +56,15 @@ def text_schema(spec: TableSpec) -> T.StructType:
     )
 
 
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 class ParquetSink(Sink):
     def __init__(
         self,
@@ -108,6 +117,24 @@ class ParquetSink(Sink):
         empty = self._empty(spec)
         empty.write.mode("ignore").partitionBy(RANGE).parquet(self.path(spec))
 
+    def register(self, spec: TableSpec, name: str) -> None:
+        """Make the table known to the session catalog, with its key as a property.
+
+        ``name`` may have a database in front. The catalog keeps a list of the
+        key ranges, so call this again after new ones were written.
+        """
+        quoted = ".".join(quote(part) for part in name.split("."))
+        columns = ", ".join(
+            f"{quote(f.name)} {f.dataType.simpleString()}" for f in self._stored_schema(spec)
+        )
+        properties = {"primary_key": ", ".join(spec.pk), "comment_column": spec.comment or ""}
+        listed = ", ".join(f"'{key}' = {text(value)}" for key, value in properties.items())
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {quoted} ({columns}) USING parquet "
+            f"PARTITIONED BY ({RANGE}) LOCATION {text(self.path(spec))} TBLPROPERTIES ({listed})"
+        )
+        self.spark.sql(f"MSCK REPAIR TABLE {quoted}")
+
     def drop_table(self, spec: TableSpec) -> None:
         files.delete(self.spark, self.path(spec))
         files.delete(self.spark, self._ledger(spec))

@@ -253,3 +253,19 @@ def test_a_failing_stream_is_raised(spark, tmp_path):
     feed = Feed(spec, source, sink, Pace("small", 100), clock)
     with pytest.raises(Exception, match="ZeroDivisionError"):
         RunningFeed(spark, feed, str(tmp_path / "at"), until=3, seconds=0).wait()
+
+
+def test_a_registered_table_is_readable_by_name(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path / "it's", 500)
+    table = "default.small_table"
+    sink.register(spec, table)
+    try:
+        assert spark.table(table).count() == 500
+        sink.apply(changes(spark, 490, 620), spec, 0, NOW)
+        sink.register(spec, table)
+        assert spark.table(table).count() == 620
+        keys = spark.sql(f"SHOW TBLPROPERTIES {table} ('primary_key')").first()
+        assert keys.value == "k"
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+    assert sink.read(spec).count() == 620
