@@ -34,7 +34,7 @@ from tablefeed.plans.cdc import Feed, apply_batches, progress
 from tablefeed.plans.rates import Pace, batch_plan
 from tablefeed.plans.snapshot import Load, generated_loads, run_snapshot
 from tablefeed.session import scratch_path
-from tablefeed.sinks.parquet import ParquetSink
+from tablefeed.sinks.parquet import ParquetSink, range_widths
 from tablefeed.sources.generate import BUILDERS, ORDINAL, Sizes
 from tablefeed.sources.tables import read_table, sizes_of, spec_of, written
 from tablefeed.specs import TABLES, TableSpec
@@ -220,8 +220,9 @@ def snapshot_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def snapshot_generated(spark: SparkSession, folder: str) -> DataFrame:
     """Load generated tables of the sizes of the given ones."""
-    loads = generated_loads(spark, "all", sizes_of(spark, folder))
-    return _report(run_snapshot(spark, ParquetSink(spark), loads))
+    sizes = sizes_of(spark, folder)
+    sink = ParquetSink(spark, widths=range_widths(sizes))
+    return _report(run_snapshot(spark, sink, generated_loads(spark, "all", sizes)))
 
 
 def staged_copy_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,10 +286,10 @@ def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cdc_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """One pass of generated orders over a table that holds the given ones."""
+    """One pass of generated orders, as many as there are given ones, over an empty table."""
     sizes = sizes_of(spark, folder)
     spec = TABLES["orders"]
-    sink = ParquetSink(spark)
+    sink = ParquetSink(spark, widths=range_widths(sizes))
     sink.create_table(spec)
     source = GeneratedChanges(spark, "orders", sizes)
     feed = Feed(spec, source, sink, Pace("orders", 10_000), clock)

@@ -10,6 +10,7 @@ while a swap runs.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +33,43 @@ from tablefeed.operators.upsert import (
 )
 from tablefeed.session import scratch_path
 from tablefeed.sinks.base import Applied, Sink
+from tablefeed.sources.generate import Sizes
 from tablefeed.specs import TableSpec
 
 RANGE = "_key_range"
 
-# Width of a key range, for about two million rows in each.
-DEFAULT_WIDTH = 2_000_000
-WIDTHS = {"partsupp": 500_000, "orders": 8_000_000, "lineitem": 2_000_000}
+# Keys in a range unless the sink is told otherwise: a million rows or so of a
+# table with dense keys. See ``range_widths`` for the generated tables.
+DEFAULT_WIDTH = 1_000_000
+
+# A range is read and rewritten as a whole, so it should hold few rows; but each
+# is a folder that has to be listed, so there should not be too many.
+ROWS_PER_RANGE = 500_000
+RANGES_PER_TABLE = 20_000
 
 # Above this many touched ranges the whole table is read instead of a list of them.
 MOST_RANGES = 10_000
 MOST_FOLDERS = 500
 
 
+def range_widths(sizes: Sizes) -> dict[str, int]:
+    """Widths for the generated tables of a size."""
+    # The highest key, and the rows for each key up to it.
+    tables = {
+        "supplier": (sizes.supplier, 1),
+        "customer": (sizes.customer, 1),
+        "part": (sizes.part, 1),
+        "partsupp": (sizes.part, 4),
+        "orders": (sizes.orders * 4, 1 / 4),
+        "lineitem": (sizes.orders * 4, 1),
+    }
+    widths = {}
+    for name, (keys, rows_per_key) in tables.items():
+        ranges = min(math.ceil(keys * rows_per_key / ROWS_PER_RANGE), RANGES_PER_TABLE)
+        widths[name] = math.ceil(keys / ranges)
+    return widths
+
+
 def text_schema(spec: TableSpec) -> T.StructType:
     """The columns of a staging table: no null rules, dates and decimals as text."""
     as_text = (T.DateType, T.DecimalType)
@@ -76,7 +101,8 @@ class ParquetSink(Sink):
         self.spark = spark
         self.root = root or scratch_path(spark, "tables")
         self.staged = staged
-        self.widths = {**WIDTHS, **(widths or {})}
+        self.widths = widths or {}
+        self._known_widths: dict[str, int] = {}
 
     # -- layout ---------------------------------------------------------------
 
@@ -90,7 +116,17 @@ class ParquetSink(Sink):
         first = spec.pk[0]
         if not isinstance(spec.schema[first].dataType, (T.LongType, T.IntegerType, T.ShortType)):
             raise TypeError(f"{spec.name}.{first} must be an integer to be split into ranges")
-        return range_number(first, self.widths.get(spec.name, DEFAULT_WIDTH))
+        return range_number(first, self.width(spec))
+
+    def width(self, spec: TableSpec) -> int:
+        """Keys in a range, as fixed when the table was created."""
+        if spec.name not in self._known_widths:
+            stored = files.read_text(self.spark, self._layout(spec))
+            self._known_widths[spec.name] = json.loads(stored)["width"]
+        return self._known_widths[spec.name]
+
+    def _layout(self, spec: TableSpec) -> str:
+        return f"{self.root}/_layout/{spec.name}.json"
 
     def _stored_schema(self, spec: TableSpec) -> T.StructType:
         columns = [T.StructField(f.name, f.dataType) for f in spec.schema]
@@ -114,6 +150,9 @@ class ParquetSink(Sink):
     # -- tables ---------------------------------------------------------------
 
     def create_table(self, spec: TableSpec) -> None:
+        if not files.exists(self.spark, self._layout(spec)):
+            width = self.widths.get(spec.name, DEFAULT_WIDTH)
+            files.write_text(self.spark, self._layout(spec), json.dumps({"width": width}))
         empty = self._empty(spec)
         empty.write.mode("ignore").partitionBy(RANGE).parquet(self.path(spec))
 
@@ -138,6 +177,8 @@ class ParquetSink(Sink):
     def drop_table(self, spec: TableSpec) -> None:
         files.delete(self.spark, self.path(spec))
         files.delete(self.spark, self._ledger(spec))
+        files.delete(self.spark, self._layout(spec))
+        self._known_widths.pop(spec.name, None)
 
     def truncate_table(self, spec: TableSpec) -> None:
         overwrite = self._empty(spec).write.mode("overwrite").option("partitionOverwriteMode", "static")

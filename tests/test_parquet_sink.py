@@ -11,7 +11,7 @@ from tablefeed.operators.keys import KeyViolation
 from tablefeed.plans.cdc import Feed, apply_batches, progress
 from tablefeed.plans.rates import Pace
 from tablefeed.plans.snapshot import Load, LoadError, generated_loads, run_snapshot
-from tablefeed.sinks.parquet import RANGE, ParquetSink
+from tablefeed.sinks.parquet import RANGE, ParquetSink, range_widths
 from tablefeed.sources.generate import Sizes, generate
 from tablefeed.specs import TABLES, TableSpec
 from tablefeed.streaming.feed import RunningFeed, start_feeds
@@ -120,6 +120,24 @@ def test_a_text_key_has_no_ranges(spark, tmp_path):
         sink.key_range(TableSpec.of(df, "t", ("k",)))
 
 
+def test_the_width_of_ranges_stays_with_the_table(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    other = ParquetSink(spark, str(tmp_path), widths={"small": 7})
+    other.create_table(spec)
+    assert other.width(spec) == 100
+    other.apply(changes(spark, 0, 10), spec, 0, NOW)
+    assert sink.read(spec).count() == 1000
+    other.drop_table(spec)
+    other.create_table(spec)
+    assert other.width(spec) == 7
+
+
+def test_widths_follow_the_size():
+    small_widths, large = (range_widths(Sizes.at_scale(sf)) for sf in (1, 100_000))
+    assert small_widths["lineitem"] == 500_000 and small_widths["supplier"] == 10_000
+    assert large["lineitem"] == 4 * 1_500_000 * 100_000 // 20_000
+
+
 def test_apply_rewrites_only_the_ranges_it_touches(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
 
