@@ -20,6 +20,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def move(spark: SparkSession, source: str, to: str) -> None:
+    """Put a folder in the place of another, which may be absent."""
+    fs, where = _open(spark, source)
+    _, there = _open(spark, to)
+    fs.delete(there, True)
+    if not fs.rename(where, there):
+        raise OSError(f"could not move {source} to {to}")
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     fs, where = _open(spark, folder)
     if not fs.exists(where):

@@ -82,6 +82,7 @@ def upsert(
     plan: str = SHUFFLE,
     hit_before: str | None = None,
     effect: str | None = None,
+    gather: str | None = None,
 ) -> DataFrame:
     """The target after the changes.
 
@@ -90,15 +91,21 @@ def upsert(
     nothing is marked. ``hit_before`` names a boolean column of ``changes`` that
     is true where an earlier change of the same set had the row's key.
     ``effect`` names a column to add, which says what was done to each row.
+    ``gather`` names a column whose values are brought together for writing, in
+    the rows that the plan moves anyway: kept rows stay where they are read.
     """
     build = {BROADCAST: _upsert_broadcast, SHUFFLE: _upsert_shuffle}[plan]
     before = F.col(hit_before) if hit_before else F.lit(False)
     changes = changes.select(*spec.columns, before.alias(BEFORE))
-    result = build(target.select(*spec.columns), changes, spec, now_text)
+    result = build(target.select(*spec.columns), changes, spec, now_text, gather)
     return result.withColumnRenamed(EFFECT, effect) if effect else result.drop(EFFECT)
 
 
-def _upsert_broadcast(target, changes, spec, now_text) -> DataFrame:
+def _gathered(rows: DataFrame, column: str | None) -> DataFrame:
+    return rows.hint("rebalance", column) if column else rows
+
+
+def _upsert_broadcast(target, changes, spec, now_text, gather) -> DataFrame:
     key = list(spec.pk)
     change_keys = F.broadcast(changes.select(*key))
     kept = target.join(change_keys, key, "left_anti")
@@ -111,10 +118,10 @@ def _upsert_broadcast(target, changes, spec, now_text) -> DataFrame:
     rows = [_incoming(spec, c, F.col(c), hit, now_text) for c in spec.columns]
     done = F.when(F.col(FOUND), UPDATED).otherwise(INSERTED).alias(EFFECT)
     kept = kept.select(*spec.columns, F.lit(KEPT).alias(EFFECT))
-    return kept.unionByName(touched.select(*rows, done))
+    return kept.unionByName(_gathered(touched.select(*rows, done), gather))
 
 
-def _upsert_shuffle(target, changes, spec, now_text) -> DataFrame:
+def _upsert_shuffle(target, changes, spec, now_text, gather) -> DataFrame:
     key = list(spec.pk)
     new_name = {c: f"_new_{c}" for c in spec.payload}
     new = changes.select(*key, *[F.col(c).alias(n) for c, n in new_name.items()], BEFORE)
@@ -128,7 +135,8 @@ def _upsert_shuffle(target, changes, spec, now_text) -> DataFrame:
         return F.when(changed, incoming).otherwise(F.col(name)).alias(name)
 
     done = F.when(found, UPDATED).when(changed, INSERTED).otherwise(KEPT).alias(EFFECT)
-    return both.select(*[F.col(c) if c in key else value(c) for c in spec.columns], done)
+    rows = both.select(*[F.col(c) if c in key else value(c) for c in spec.columns], done)
+    return _gathered(rows, gather)
 
 
 def upsert_counts(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ RANGES_PER_TABLE = 20_000
 
 # Above this many touched ranges the whole table is read instead of a list of them.
 MOST_RANGES = 10_000
+# Up to this many are read, and put in place, folder by folder.
 MOST_FOLDERS = 500
 
 
@@ -144,9 +146,6 @@ class ParquetSink(Sink):
     def read(self, spec: TableSpec) -> DataFrame:
         return self._open(spec, self.path(spec)).select(*spec.columns)
 
-    def _ranged(self, df: DataFrame, spec: TableSpec) -> DataFrame:
-        return df.select(*spec.columns, self.key_range(spec).alias(RANGE))
-
     # -- tables ---------------------------------------------------------------
 
     def create_table(self, spec: TableSpec) -> None:
@@ -192,7 +191,7 @@ class ParquetSink(Sink):
         if not existing.isEmpty():
             require_absent(df, existing, spec.pk, spec.name)
         seen = Observation()
-        rows = self._ranged(require_values(df, spec), spec)
+        rows = require_values(df, spec).withColumn(RANGE, self.key_range(spec))
         if not keyed:
             # Few files per range, and a range with very many rows is split over tasks.
             rows = rows.hint("rebalance", RANGE)
@@ -246,24 +245,29 @@ class ParquetSink(Sink):
         summary = f"{work}/summary.json"
         if not files.exists(self.spark, summary):
             files.delete(self.spark, work)
-            effect = self._prepare(changes, spec, now_text, work)
-            files.write_text(self.spark, summary, json.dumps(vars(effect)))
-        effect = Applied(**json.loads(files.read_text(self.spark, summary)))
-        if effect.rows:
-            self._swap(spec, f"{work}/rows")
+            effect, ranges = self._prepare(changes, spec, now_text, work)
+            found = {"effect": vars(effect), "ranges": ranges}
+            files.write_text(self.spark, summary, json.dumps(found))
+        found = json.loads(files.read_text(self.spark, summary))
+        self._swap(spec, f"{work}/rows", found["ranges"])
         self._record(spec, number)
         files.delete(self.spark, work)
-        return effect
+        return Applied(**found["effect"])
+
+    def _prepare(
+        self, changes: DataFrame, spec: TableSpec, now_text: str, work: str
+    ) -> tuple[Applied, list[int] | None]:
+        """Write the new content of every range the changes touch.
 
-    def _prepare(self, changes: DataFrame, spec: TableSpec, now_text: str, work: str) -> Applied:
-        """Write the new content of every range the changes touch."""
+        Returns the ranges too, or None if they are too many to list.
+        """
         measured = Observation()
         rows = require_values(changes.select(*spec.columns, TICK), spec)
         ticks = [F.min(TICK).alias("first"), F.max(TICK).alias("last")]
         rows.observe(measured, *size_measures(spec), *ticks).write.parquet(f"{work}/changes")
         got = measured.get
         if got["rows"] == 0:
-            return Applied(0, 0, 0)
+            return Applied(0, 0, 0), []
         staged = self.spark.read.parquet(f"{work}/changes")
         require_unique(staged, [*spec.pk, TICK], f"changes of {spec.name}")
 
@@ -271,42 +275,59 @@ class ParquetSink(Sink):
         if got["first"] != got["last"]:
             fold_batches(staged, spec).write.parquet(f"{work}/folded")
             staged, before = self.spark.read.parquet(f"{work}/folded"), CHANGED_BEFORE
-        counts = Observation()
+        staged = staged.withColumn(RANGE, self.key_range(spec))
+        ranges = self._ranges(staged)
         result = upsert(
-            self._touched(staged, spec),
+            self._touched(spec, ranges),
             staged,
-            spec,
+            replace(spec, schema=self._stored_schema(spec)),
             now_text,
             plan_for(ChangeSize(got["rows"], got["key_bytes"])),
             before,
             EFFECT,
+            gather=RANGE,
         )
-        ranged = result.withColumn(RANGE, self.key_range(spec)).hint("rebalance", RANGE)
-        ranged = ranged.observe(
+        counts = Observation()
+        result = result.observe(
             counts,
             F.count_if(F.col(EFFECT) == INSERTED).alias("inserted"),
             F.count_if(F.col(EFFECT) == UPDATED).alias("updated"),
         )
-        ranged.drop(EFFECT).write.partitionBy(RANGE).parquet(f"{work}/rows")
-        return Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
+        result.drop(EFFECT).write.partitionBy(RANGE).parquet(f"{work}/rows")
+        effect = Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
+        return effect, ranges
+
+    def _ranges(self, changes: DataFrame) -> list[int] | None:
+        found = changes.select(RANGE).distinct().limit(MOST_RANGES + 1).collect()
+        return None if len(found) > MOST_RANGES else sorted(row[RANGE] for row in found)
 
-    def _touched(self, changes: DataFrame, spec: TableSpec) -> DataFrame:
-        """The target's rows in the key ranges of the changes."""
-        ranges = changes.select(self.key_range(spec).alias(RANGE)).distinct()
-        found = [row[RANGE] for row in ranges.limit(MOST_RANGES + 1).collect()]
+    def _touched(self, spec: TableSpec, ranges: list[int] | None) -> DataFrame:
+        """The target's rows in some key ranges, or all."""
         base = self.path(spec)
-        if len(found) > MOST_RANGES:
-            return self.read(spec)
-        if len(found) > MOST_FOLDERS:
-            return self._open(spec, base).where(F.col(RANGE).isin(found)).select(*spec.columns)
-        folders = [f"{base}/{RANGE}={number}" for number in found]
+        if ranges is None:
+            return self._open(spec, base)
+        if len(ranges) > MOST_FOLDERS:
+            return self._open(spec, base).where(F.col(RANGE).isin(ranges))
+        folders = [f"{base}/{RANGE}={number}" for number in ranges]
         present = [folder for folder in folders if files.exists(self.spark, folder)]
         if not present:
-            return self._empty(spec).select(*spec.columns)
+            return self._empty(spec)
         reader = self.spark.read.schema(self._stored_schema(spec)).option("basePath", base)
-        return reader.parquet(*present).select(*spec.columns)
+        return reader.parquet(*present)
+
+    def _swap(self, spec: TableSpec, rows: str, ranges: list[int] | None) -> None:
+        """Put new ranges in place of the old; may be run again after breaking off.
 
-    def _swap(self, spec: TableSpec, rows: str) -> None:
-        overwrite = self._open(spec, rows).write.mode("overwrite")
-        overwrite = overwrite.option("partitionOverwriteMode", "dynamic").partitionBy(RANGE)
-        overwrite.parquet(self.path(spec))
+        A few folders are moved; many are copied by executors.
+        """
+        base = self.path(spec)
+        if ranges is None or len(ranges) > MOST_FOLDERS:
+            overwrite = self._open(spec, rows).write.mode("overwrite")
+            overwrite = overwrite.option("partitionOverwriteMode", "dynamic")
+            overwrite.partitionBy(RANGE).parquet(base)
+            return
+        for number in ranges:
+            folder = f"{RANGE}={number}"
+            # One that is gone was moved before.
+            if files.exists(self.spark, f"{rows}/{folder}"):
+                files.move(self.spark, f"{rows}/{folder}", f"{base}/{folder}")

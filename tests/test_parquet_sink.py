@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import os
 import time
@@ -11,6 +12,8 @@ from tablefeed.operators.keys import KeyViolation
 from tablefeed.plans.cdc import Feed, apply_batches, progress
 from tablefeed.plans.rates import Pace
 from tablefeed.plans.snapshot import Load, LoadError, generated_loads, run_snapshot
+from tablefeed.operators.upsert import BROADCAST, upsert
+from tablefeed.sinks import parquet
 from tablefeed.sinks.parquet import RANGE, ParquetSink, range_widths
 from tablefeed.sources.generate import Sizes, generate
 from tablefeed.specs import TABLES, TableSpec
@@ -191,6 +194,49 @@ def test_a_set_broken_off_is_finished_on_retry(spark, tmp_path, broken):
     assert files.names(spark, f"{tmp_path}/_pending") == []
 
 
+@pytest.mark.parametrize(("folders", "ranges"), [(1, 10_000), (1, 1), (500, 10_000)])
+def test_many_ranges_at_once(spark, tmp_path, monkeypatch, folders, ranges):
+    monkeypatch.setattr(parquet, "MOST_FOLDERS", folders)
+    monkeypatch.setattr(parquet, "MOST_RANGES", ranges)
+    sink, spec = small_sink(spark, tmp_path)
+    effect = sink.apply(changes(spark, 450, 1250), spec, 0, NOW)
+    assert (effect.inserted, effect.updated) == (250, 550)
+    got = sink.read(spec)
+    assert (got.count(), got.select("k").distinct().count()) == (1250, 1250)
+    assert got.where(F.col("t").contains("CDC")).count() == 550
+
+
+def test_a_swap_broken_off_between_folders(spark, tmp_path, monkeypatch):
+    sink, spec = small_sink(spark, tmp_path)
+    move, moved = files.move, []
+
+    def once(spark, source, to):
+        if moved:
+            raise OSError("lost")
+        moved.append(to)
+        move(spark, source, to)
+
+    monkeypatch.setattr(files, "move", once)
+    with pytest.raises(OSError):
+        sink.apply(changes(spark, 150, 450), spec, 0, NOW)
+    monkeypatch.setattr(files, "move", move)
+    assert sink.apply(changes(spark, 150, 450), spec, 0, "later").updated == 300
+    got = sink.read(spec)
+    assert got.count() == 1000
+    assert got.where(F.col("t").endswith(f" CDC:{NOW}")).count() == 300
+
+
+def test_kept_rows_are_not_shuffled(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    staged = changes(spark, 150, 250).withColumn(RANGE, sink.key_range(spec))
+    stored = dataclasses.replace(spec, schema=sink._stored_schema(spec))
+    target = sink._touched(spec, [1, 2])
+    result = upsert(target, staged, stored, NOW, BROADCAST, gather=RANGE)
+    kept = result._jdf.queryExecution().executedPlan().toString().split("LeftOuter")[0]
+    assert kept.count("Exchange hashpartitioning") == kept.count("Exchange hashpartitioning(_key")
+    assert "LeftAnti" in kept.split("REBALANCE")[0]
+
+
 def test_a_broken_preparation_starts_over(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
     touched = sink._touched
