@@ -112,3 +112,13 @@ def test_required_values(spark):
     assert {r.column_name: r.null_rows for r in null_counts(df, ["k", "t"]).collect()} == {
         "k": 0, "t": 1,
     }
+
+
+def test_a_key_with_a_third_of_all_rows(spark):
+    hot = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as v")
+    got = {r.k: r.v for r in latest_per_key(hot, ["k"], ["v"]).collect()}
+    want = {}
+    for i in range(30_000):
+        want[7 if i % 3 == 0 else i] = i
+    assert got == want
+    assert [tuple(r) for r in duplicate_keys(hot, ["k"]).collect()] == [(7, 10_001)]

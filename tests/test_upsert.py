@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tablefeed.operators.batches import TICK
 from tablefeed.operators.fold import CHANGED_BEFORE, fold_batches
