@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,10 @@ class Pace:
     def interval_seconds(self) -> float:
         return self.batch_rows / self.rate
 
+    def ticks_in(self, seconds: float) -> int:
+        """Batches due in a time, but one at least."""
+        return max(1, math.ceil(seconds / self.interval_seconds))
+
 
 def split_rate(tables: Sequence[str], rate: int) -> list[Pace]:
     """Equal shares of the total rate; what is left over goes to the first table."""

@@ -17,6 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablefeed.plans.cdc import Feed
 
+# A micro-batch takes the batches due in this time, unless told how many: the
+# fixed cost of a micro-batch is a few seconds, whatever it holds.
+SECONDS_PER_SET = 10.0
+
 
 def ticks(spark: SparkSession, per_trigger: int) -> DataFrame:
     """A stream of tick numbers, ``per_trigger`` of them in each micro-batch."""
@@ -36,10 +40,12 @@ class RunningFeed:
         spark: SparkSession,
         feed: Feed,
         checkpoint: str,
-        ticks_per_set: int = 1,
+        ticks_per_set: int | None = None,
         until: int | None = None,
         seconds: float | None = None,
     ) -> None:
+        if ticks_per_set is None:
+            ticks_per_set = feed.pace.ticks_in(SECONDS_PER_SET)
         self.feed = feed
         self.until = until
         self.finished, self.stopping = threading.Event(), threading.Event()
@@ -80,7 +86,7 @@ def start_feeds(
     spark: SparkSession,
     feeds: Sequence[Feed],
     checkpoints: str,
-    ticks_per_set: int = 1,
+    ticks_per_set: int | None = None,
     until: int | None = None,
     seconds: float | None = None,
 ) -> list[RunningFeed]:

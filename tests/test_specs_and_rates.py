@@ -46,6 +46,11 @@ def test_rate_split(rate, tables, rates, batches, intervals):
     assert [p.interval_seconds for p in paces] == pytest.approx(intervals)
 
 
+@pytest.mark.parametrize(("rate", "due"), [(50, 5), (20_000, 200), (3, 1)])
+def test_ticks_in_a_time(rate, due):
+    assert split_rate(["t"], rate)[0].ticks_in(10) == due
+
+
 @pytest.mark.parametrize(("rate", "tables"), [(1, 2), (0, 1), (5, 0)])
 def test_rate_too_low(rate, tables):
     with pytest.raises(ValueError):
