@@ -135,6 +135,14 @@ def key_draw(of: State, name: str, n: int, start: int = 0) -> str:
     return f"({mod(wide, n)} + {start}L)"
 
 
+def state_draw(of: State, n: int, start: int = 0) -> str:
+    """A number in [start, start + n) from the state as it is: one per state, n up to 2**62.
+
+    Its code is as short for any n, for rows that need many such draws.
+    """
+    return f"({mod(f'{of.first} * {MASK + 1}L + {of.second}', n)} + {start}L)"
+
+
 def pick(values: list[str], index: str) -> str:
     """The value at a zero-based index into a fixed list."""
     return f"split('{'|'.join(values)}', '[|]')[cast({index} as int)]"

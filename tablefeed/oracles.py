@@ -345,7 +345,7 @@ def order_lines() -> str:
         FROM ({rows})"""
     d = Draws("l1", "l2")
     drawn = f"""
-        SELECT *, {d.number("part", PARTS)} + 1 AS part, {d.number("quantity", 50)} + 1 AS quantity,
+        SELECT *, (l1 * {M + 1} + l2) % {PARTS} + 1 AS part, {d.number("quantity", 50)} + 1 AS quantity,
                {d.number("discount", 11)} AS discount, {d.number("tax", 9)} AS tax,
                odate + {d.number("ship", 121)} + 1 AS ship
         FROM ({line_states(based, "s1", "s2", "line")})"""

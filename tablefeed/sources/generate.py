@@ -33,6 +33,7 @@ from tablefeed.functions.draws import (
     mod,
     pick,
     state,
+    state_draw,
     with_columns,
     with_line_state,
     with_state,
@@ -285,7 +286,7 @@ def _date(day: str) -> str:
 
 
 def _line_part(line: State, sizes: Sizes) -> str:
-    return key_draw(line, "part", sizes.part, 1)
+    return state_draw(line, sizes.part, 1)
 
 
 def _line_price(line: State, partkey: str) -> str:

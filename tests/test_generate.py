@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,14 @@ def test_large_scale_ids_do_not_overflow(spark):
     for table in ("orders", "lineitem", "part", "partsupp", "customer"):
         total = row_count(spark, table, huge)
         assert rows_between(spark, table, huge, total - 50, total).count() == 50
+
+
+@pytest.mark.parametrize("scale", [1, 100_000])
+@pytest.mark.parametrize("table", BUILDERS)
+def test_a_rows_code_is_short_enough_to_be_compiled(spark, table, scale):
+    """HotSpot interprets methods of more than 8000 bytes, at a tenth of the speed."""
+    df = generate(spark, table, Sizes.at_scale(scale))
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    text = getattr(debug, "MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
