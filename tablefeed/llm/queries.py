@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tablefeed.llm.html import op7_html_extraction
 from tablefeed.llm.mixing import op2_mixing_sources
 from tablefeed.llm.packing import op10_best_fit_packing
+from tablefeed.llm.quality import op5_quality_classifier
 from tablefeed.llm.secrets import op9_secret_scan
 from tablefeed.llm.sharding import op6_sharding
 from tablefeed.llm.tokens import op4_token_counts
@@ -13,7 +15,9 @@ QUERIES = {
     for query in (
         op2_mixing_sources,
         op4_token_counts,
+        op5_quality_classifier,
         op6_sharding,
+        op7_html_extraction,
         op9_secret_scan,
         op10_best_fit_packing,
     )
