@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefeed.llm.common import gapless, keep, table
+from tablefeed.llm.common import byte_letters, gapless, keep, table
 
 BIN_TOKENS = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -42,11 +42,16 @@ class Ids(dict):
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        names = {b: letter for letter, b in byte_letters().items()}
+        self.letters = "".join(names[b] for b in range(256))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        # a word that is split off needs the merges only, over the letters of its bytes
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(letters)]
         self[word] = found = np.asarray(ids, dtype="<u4").tobytes()
         return found
 

@@ -15,20 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefeed.llm.common import table
+from tablefeed.llm.common import byte_letters, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose counts a Python worker remembers.
 WORDS_KEPT = 500_000
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter to byte in byte-level vocabularies: printable bytes stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def vocabulary(path: str) -> list[bytes]:
     """The pieces of a byte-level tokenizer's file; a space in front marks a word's start."""
     letters = byte_letters()
