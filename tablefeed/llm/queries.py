@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tablefeed.llm.embed_dedup import OP1_SQL, op1_embedding_near_dedup
 from tablefeed.llm.html import op7_html_extraction
 from tablefeed.llm.mixing import op2_mixing_sources
+from tablefeed.llm.neighbours import op8_nearest_neighbours
 from tablefeed.llm.packing import op10_best_fit_packing
 from tablefeed.llm.quality import op5_quality_classifier
 from tablefeed.llm.secrets import op9_secret_scan
@@ -13,14 +15,16 @@ from tablefeed.llm.tokens import op4_token_counts
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_embedding_near_dedup,
         op2_mixing_sources,
         op4_token_counts,
         op5_quality_classifier,
         op6_sharding,
         op7_html_extraction,
+        op8_nearest_neighbours,
         op9_secret_scan,
         op10_best_fit_packing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL}
