@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablefeed.llm.embed_dedup import OP1_SQL, op1_embedding_near_dedup
 from tablefeed.llm.html import op7_html_extraction
+from tablefeed.llm.minhash import op3_minhash_near_dedup
 from tablefeed.llm.mixing import op2_mixing_sources
 from tablefeed.llm.neighbours import op8_nearest_neighbours
 from tablefeed.llm.packing import op10_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     for query in (
         op1_embedding_near_dedup,
         op2_mixing_sources,
+        op3_minhash_near_dedup,
         op4_token_counts,
         op5_quality_classifier,
         op6_sharding,
