@@ -39,7 +39,9 @@ def encode(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.DateType):
             value = F.date_format(value, "yyyy-MM-dd")
         elif isinstance(field.dataType, T.DecimalType):
-            value = value.cast("string")
+            # A cast would give a small value in scientific form in some sessions.
+            plain = F.format_number(value, field.dataType.scale)
+            value = F.replace(plain, F.lit(","), F.lit(""))
         return value.alias(field.name)
 
     return df.select(*[one(field) for field in df.schema])
@@ -48,12 +50,17 @@ def encode(df: DataFrame) -> DataFrame:
 def decode(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataFrame:
     """Staged columns cast to the target's types, in its column order.
 
-    Text that does not parse fails the job, or becomes null if ``lenient``.
+    Text that does not parse fails the job, whatever the session's settings, or
+    becomes null if ``lenient``.
     """
 
     def one(field: T.StructField) -> Column:
         value = F.col(field.name)
-        cast = value.try_cast(field.dataType) if lenient else value.cast(field.dataType)
+        cast = value.try_cast(field.dataType)
+        if not lenient:
+            told = F.concat(F.lit(f"[CAST_INVALID_INPUT] {field.name} does not hold a {field.dataType.simpleString()}: "), value.cast("string"))
+            wrong = value.isNotNull() & cast.isNull()
+            cast = F.when(wrong, F.raise_error(told).cast(field.dataType)).otherwise(cast)
         return cast.alias(field.name)
 
     return df.select(*[one(field) for field in schema])

@@ -4,12 +4,13 @@ A change row whose key is in the target replaces the whole target row, and its
 comment is marked; any other change row is added as it is; target rows with no
 change are kept. Nothing is deleted.
 
-There are two plans with the same result:
+There are two plans with the same result, also where the target repeats a key: a
+change takes the place of all rows of its key, and other rows stay as they are.
 
 * broadcast: the keys of the changes, and then the keys found in the target,
   are sent to every task. The target is read where it lies; of its rows only the
   keys found are shuffled.
-* shuffle: one full outer join on the key, for change sets of any size.
+* shuffle: the same joins without a hint, for change sets of any size.
 
 ``plan_for`` chooses between them from the measured size of the change set.
 """
@@ -86,7 +87,7 @@ def upsert(
 ) -> DataFrame:
     """The target after the changes.
 
-    Keys must be unique on both sides (``keys.require_unique``). ``now_text``
+    Keys of the changes must be unique (``keys.require_unique``). ``now_text``
     is the time put into the marker; without it, or without a comment column,
     nothing is marked. ``hit_before`` names a boolean column of ``changes`` that
     is true where an earlier change of the same set had the row's key.
@@ -94,10 +95,10 @@ def upsert(
     ``gather`` names a column whose values are brought together for writing, in
     the rows that the plan moves anyway: kept rows stay where they are read.
     """
-    build = {BROADCAST: _upsert_broadcast, SHUFFLE: _upsert_shuffle}[plan]
+    sent = {BROADCAST: F.broadcast, SHUFFLE: lambda keys: keys}[plan]
     before = F.col(hit_before) if hit_before else F.lit(False)
     changes = changes.select(*spec.columns, before.alias(BEFORE))
-    result = build(target.select(*spec.columns), changes, spec, now_text, gather)
+    result = _upsert_joined(target.select(*spec.columns), changes, spec, now_text, gather, sent)
     return result.withColumnRenamed(EFFECT, effect) if effect else result.drop(EFFECT)
 
 
@@ -105,14 +106,14 @@ def _gathered(rows: DataFrame, column: str | None) -> DataFrame:
     return rows.hint("rebalance", column) if column else rows
 
 
-def _upsert_broadcast(target, changes, spec, now_text, gather) -> DataFrame:
+def _upsert_joined(target, changes, spec, now_text, gather, sent) -> DataFrame:
+    """Target rows without a change, and the changes; ``sent`` is what is done to key tables."""
     key = list(spec.pk)
-    change_keys = F.broadcast(changes.select(*key))
+    change_keys = sent(changes.select(*key))
     kept = target.join(change_keys, key, "left_anti")
     # Distinct, so no larger than the change keys that were measured.
     found = target.select(*key).join(change_keys, key, "left_semi").distinct()
-    found = found.withColumn(FOUND, F.lit(True))
-    touched = changes.join(F.broadcast(found), key, "left")
+    touched = changes.join(sent(found.withColumn(FOUND, F.lit(True))), key, "left")
     touched = touched.withColumn(FOUND, F.coalesce(FOUND, F.lit(False)))
     hit = F.col(FOUND) | F.col(BEFORE)
     rows = [_incoming(spec, c, F.col(c), hit, now_text) for c in spec.columns]
@@ -121,24 +122,6 @@ def _upsert_broadcast(target, changes, spec, now_text, gather) -> DataFrame:
     return kept.unionByName(_gathered(touched.select(*rows, done), gather))
 
 
-def _upsert_shuffle(target, changes, spec, now_text, gather) -> DataFrame:
-    key = list(spec.pk)
-    new_name = {c: f"_new_{c}" for c in spec.payload}
-    new = changes.select(*key, *[F.col(c).alias(n) for c, n in new_name.items()], BEFORE)
-    both = target.withColumn(FOUND, F.lit(True)).join(new, key, "full")
-    changed = F.col(BEFORE).isNotNull()
-    found = F.col(FOUND).isNotNull() & changed
-    hit = found | F.col(BEFORE)
-
-    def value(name: str) -> Column:
-        incoming = _incoming(spec, name, F.col(new_name[name]), hit, now_text)
-        return F.when(changed, incoming).otherwise(F.col(name)).alias(name)
-
-    done = F.when(found, UPDATED).when(changed, INSERTED).otherwise(KEPT).alias(EFFECT)
-    rows = both.select(*[F.col(c) if c in key else value(c) for c in spec.columns], done)
-    return _gathered(rows, gather)
-
-
 def upsert_counts(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
     """One row: how many rows an upsert would insert, update and keep. Only keys move."""
     key = list(spec.pk)

@@ -55,6 +55,11 @@ c AS (SELECT * REPLACE (l_orderkey * 2 AS l_orderkey, l_quantity + 1 AS l_quanti
 SELECT t.* FROM t ANTI JOIN c USING (l_orderkey, l_linenumber)
 UNION ALL SELECT * FROM c"""
 
+UPSERT_RAW_LINEITEM = f"""
+WITH c AS (SELECT * REPLACE (l_quantity + 1 AS l_quantity) FROM ({UNIQUE_LINES}) WHERE l_linenumber <= 3)
+SELECT t.* FROM lineitem t ANTI JOIN c USING (l_orderkey, l_linenumber)
+UNION ALL SELECT * FROM c"""
+
 UPSERT_COUNTS = f"""
 WITH c AS ({ORDER_CHANGES})
 SELECT count(*) FILTER (t.o_orderkey IS NULL) AS inserted_rows,
@@ -419,6 +424,7 @@ ORACLES: dict[str, str] = {
     "upsert_shuffled_orders": UPSERT_ORDERS,
     "upsert_marker_documents": UPSERT_MARKER_DOCUMENTS,
     "upsert_lineitem": UPSERT_LINEITEM,
+    "upsert_raw_lineitem": UPSERT_RAW_LINEITEM,
     "upsert_counts": UPSERT_COUNTS,
     "latest_per_key_lineitem": UNIQUE_LINES,
     "latest_event_per_user": LATEST_EVENT,
@@ -437,6 +443,9 @@ ORACLES: dict[str, str] = {
     "cdc_after_k_batches": feed_sql(
         "documents", "doc_id", DOCUMENT_CHANGES, "text", "lang, source, n_chars", 100
     ),
+    "cdc_two_feeds_documents": feed_sql(
+        "documents", "doc_id", DOCUMENT_CHANGES, "text", "lang, source, n_chars", 100
+    ),
     "cdc_stream_orders": feed_sql(
         "orders", "o_orderkey", ORDER_CHANGES, "o_orderpriority",
         "o_custkey, o_orderstatus, o_totalprice, o_orderdate", 1000,

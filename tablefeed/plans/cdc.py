@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -38,21 +39,27 @@ class Feed:
     operations: int = 0
     started: float = field(default_factory=time.monotonic)
 
-    def apply_ticks(self, first: int, end: int, number: int) -> Applied:
-        """Apply the batches due at ticks first..end-1 as set ``number``, unless done before."""
+    def apply_ticks(self, first: int, end: int, number: int, run: str = "feed") -> Applied:
+        """Apply the batches due at ticks first..end-1 as set ``number`` of a run, unless done before."""
         changes = self.source.at_ticks(first, end, self.pace.batch_rows)
-        effect = self.sink.apply(changes, self.spec, number, timestamp_text(self.clock(number)))
+        now_text = timestamp_text(self.clock(number))
+        effect = self.sink.apply(changes, self.spec, number, now_text, run)
         self.sets += 1
         self.operations += effect.rows
         return effect
 
 
-def apply_batches(feed: Feed, first: int, end: int, ticks_per_set: int = 1) -> None:
-    """Apply the batches of ticks first..end-1 and stop."""
-    number = feed.sink.last_applied(feed.spec) + 1
-    for low in range(first, end, ticks_per_set):
-        feed.apply_ticks(low, min(low + ticks_per_set, end), number)
-        number += 1
+def apply_batches(
+    feed: Feed, first: int, end: int, ticks_per_set: int = 1, run: str | None = None
+) -> None:
+    """Apply the batches of ticks first..end-1 and stop.
+
+    A run that broke off goes on where it stopped if called again with the same
+    arguments and ``run``, a name of its own; without one, every call is a new run.
+    """
+    run = run or f"run-{uuid.uuid4().hex}"
+    for number, low in enumerate(range(first, end, ticks_per_set)):
+        feed.apply_ticks(low, min(low + ticks_per_set, end), number, run)
 
 
 def progress(spark: SparkSession, feeds: Sequence[Feed]) -> DataFrame:

@@ -107,6 +107,13 @@ def upsert_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return checked_upsert(target, changes, spec)
 
 
+def upsert_raw_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of unique keys over the lines as given, whose keys repeat."""
+    latest, spec = unique_lineitem(spark, folder)
+    changes = latest.withColumn("l_quantity", F.col("l_quantity") + 1).where("l_linenumber <= 3")
+    return upsert(read_table(spark, folder, "lineitem"), changes, spec, plan=SHUFFLE)
+
+
 def upsert_counts_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
     return upsert_counts(orders, order_changes(orders), spec_of(orders, "orders"))
@@ -271,6 +278,20 @@ def cdc_after_k_batches(spark: SparkSession, folder: str) -> DataFrame:
     return feed.sink.read(spec)
 
 
+def cdc_two_feeds_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``cdc_after_k_batches``, by two runs that each number their sets from 0."""
+    documents = read_table(spark, folder, "documents")
+    spec = spec_of(documents, "documents", comment="text")
+    source = TableChanges(spark, document_changes(documents), spec.pk)
+    sink, pace = _loaded_sink(spark, spec, documents), Pace(spec.name, 1000)
+    first = Feed(spec, source, sink, pace, clock)
+    second = Feed(spec, source, sink, pace, lambda number: clock(number + 1))
+    ticks, per_set = _one_and_a_half_passes(first)
+    apply_batches(first, 0, per_set, per_set)
+    apply_batches(second, per_set, ticks, per_set)
+    return sink.read(spec)
+
+
 def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     """As ``cdc_after_k_batches``, by a streaming query; the priority stands in for a comment."""
     orders = read_table(spark, folder, "orders")
@@ -386,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "upsert_shuffled_orders": upsert_shuffled_orders,
     "upsert_marker_documents": upsert_marker_documents,
     "upsert_lineitem": upsert_lineitem,
+    "upsert_raw_lineitem": upsert_raw_lineitem,
     "upsert_counts": upsert_counts_orders,
     "latest_per_key_lineitem": latest_per_key_lineitem,
     "latest_event_per_user": latest_event_per_user,
@@ -402,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "staged_copy_orders": staged_copy_orders,
     "truncate_reload_customer": truncate_reload_customer,
     "cdc_after_k_batches": cdc_after_k_batches,
+    "cdc_two_feeds_documents": cdc_two_feeds_documents,
     "cdc_stream_orders": cdc_stream_orders,
     "cdc_progress": cdc_progress,
     "gen_region": gen_region,

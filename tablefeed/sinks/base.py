@@ -56,16 +56,20 @@ class Sink:
     def drop_staging(self, staging: str) -> None:
         raise NotImplementedError
 
-    def apply(self, changes: DataFrame, spec: TableSpec, number: int, now_text: str) -> Applied:
+    def apply(
+        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+    ) -> Applied:
         """Upsert a set of change batches, whose rows carry their tick.
 
-        ``number`` is that of the set: a set applied before is not applied again.
+        ``number`` is that of the set in its feed: a set applied before is not
+        applied again. Feeds number their sets each for itself, so two feeds of a
+        table must not have the same name.
         """
         raise NotImplementedError
 
     def read(self, spec: TableSpec) -> DataFrame:
         raise NotImplementedError
 
-    def last_applied(self, spec: TableSpec) -> int:
-        """The number of the last set of changes applied, or -1."""
+    def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
+        """The number of a feed's last set applied since the table was filled anew, or -1."""
         raise NotImplementedError

@@ -110,10 +110,18 @@ class JdbcSink(Sink):
         self.database.run([self.dialect.create_table(spec)])
 
     def drop_table(self, spec: TableSpec) -> None:
-        self.database.run([self.dialect.drop(spec.name)])
+        self.database.run([self.dialect.drop(spec.name), *self._forget(spec)])
 
     def truncate_table(self, spec: TableSpec) -> None:
-        self.database.run([self.dialect.truncate(spec.name)])
+        self.database.run([self.dialect.truncate(spec.name), *self._forget(spec)])
+
+    def _forget(self, spec: TableSpec) -> list[str]:
+        """Statements after which no set of any feed counts as applied."""
+        there = f"SELECT COUNT(*) FROM information_schema.tables WHERE table_name = '{LEDGER}'"
+        if not self.database.value(there):
+            return []
+        ledger = self.dialect.quote(LEDGER)
+        return [f"DELETE FROM {ledger} WHERE table_name = {self._name_text(spec)}"]
 
     def _write(self, df: DataFrame, table: str) -> int:
         seen = Observation()
@@ -154,31 +162,40 @@ class JdbcSink(Sink):
     def _name_text(self, spec: TableSpec) -> str:
         return "'" + spec.name.replace("'", "''") + "'"
 
-    def last_applied(self, spec: TableSpec) -> int:
+    def _feed_text(self, feed: str) -> str:
+        return "'" + feed.replace("'", "''") + "'"
+
+    def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
         self.database.run([self._ledger_table()])
         ledger = self.dialect.quote(LEDGER)
         found = self.database.value(
-            f"SELECT MAX(number) FROM {ledger} WHERE table_name = {self._name_text(spec)}"
+            f"SELECT MAX(number) FROM {ledger} WHERE table_name = {self._name_text(spec)} "
+            f"AND feed = {self._feed_text(feed)}"
         )
         return -1 if found is None else found
 
     def _ledger_table(self) -> str:
-        body = "table_name VARCHAR(200) NOT NULL, number BIGINT NOT NULL, PRIMARY KEY (table_name)"
+        body = (
+            "table_name VARCHAR(200) NOT NULL, feed VARCHAR(200) NOT NULL, number BIGINT NOT NULL, "
+            "PRIMARY KEY (table_name, feed)"
+        )
         return self.dialect.create_if_absent(LEDGER, self.dialect.quote(LEDGER), body)
 
-    def apply(self, changes: DataFrame, spec: TableSpec, number: int, now_text: str) -> Applied:
+    def apply(
+        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+    ) -> Applied:
         """Stage the rows, then upsert and record the set in one transaction."""
-        if number <= self.last_applied(spec):
+        if number <= self.last_applied(spec, feed):
             return Applied(0, 0, 0)
         path = scratch_path(self.spark, f"changes-{spec.name}")
         require_values(changes.select(*spec.columns, TICK), spec).write.parquet(path)
         try:
-            return self._apply_written(self.spark.read.parquet(path), spec, number, now_text)
+            return self._apply_written(self.spark.read.parquet(path), spec, number, now_text, feed)
         finally:
             files.delete(self.spark, path)
 
     def _apply_written(
-        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str
+        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str
     ) -> Applied:
         require_unique(changes, [*spec.pk, TICK], f"changes of {spec.name}")
         span = changes.agg(
@@ -190,7 +207,7 @@ class JdbcSink(Sink):
             # them and is marked.
             folded = fold_batches(changes, spec)
             sets = [folded.where(F.col(CHANGED_BEFORE)), folded]
-        ledger, name = self.dialect.quote(LEDGER), self._name_text(spec)
+        ledger, name, own = self.dialect.quote(LEDGER), self._name_text(spec), self._feed_text(feed)
         staging: list[str] = []
         try:
             for part in sets:
@@ -199,8 +216,8 @@ class JdbcSink(Sink):
             self.database.run(
                 [self.dialect.upsert_staged(spec, table, now_text) for table in staging]
                 + [
-                    f"DELETE FROM {ledger} WHERE table_name = {name}",
-                    f"INSERT INTO {ledger} (table_name, number) VALUES ({name}, {number})",
+                    f"DELETE FROM {ledger} WHERE table_name = {name} AND feed = {own}",
+                    f"INSERT INTO {ledger} (table_name, feed, number) VALUES ({name}, {own}, {number})",
                 ]
             )
         finally:

@@ -173,13 +173,19 @@ class ParquetSink(Sink):
         )
         self.spark.sql(f"MSCK REPAIR TABLE {quoted}")
 
+    def _forget(self, spec: TableSpec) -> None:
+        """No set of any feed counts as applied, and none is half done."""
+        files.delete(self.spark, self._ledger(spec))
+        files.delete(self.spark, self._pending(spec))
+
     def drop_table(self, spec: TableSpec) -> None:
+        self._forget(spec)
         files.delete(self.spark, self.path(spec))
-        files.delete(self.spark, self._ledger(spec))
         files.delete(self.spark, self._layout(spec))
         self._known_widths.pop(spec.name, None)
 
     def truncate_table(self, spec: TableSpec) -> None:
+        self._forget(spec)
         overwrite = self._empty(spec).write.mode("overwrite").option("partitionOverwriteMode", "static")
         overwrite.partitionBy(RANGE).parquet(self.path(spec))
 
@@ -225,12 +231,16 @@ class ParquetSink(Sink):
 
     # -- changes --------------------------------------------------------------
 
-    def last_applied(self, spec: TableSpec) -> int:
-        done = [name.removesuffix(".json") for name in files.names(self.spark, self._ledger(spec))]
+    def _pending(self, spec: TableSpec) -> str:
+        return f"{self.root}/_pending/{spec.name}"
+
+    def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
+        folder = f"{self._ledger(spec)}/{feed}"
+        done = [name.removesuffix(".json") for name in files.names(self.spark, folder)]
         return max((int(number) for number in done if number.isdigit()), default=-1)
 
-    def _record(self, spec: TableSpec, number: int) -> None:
-        folder = self._ledger(spec)
+    def _record(self, spec: TableSpec, number: int, feed: str) -> None:
+        folder = f"{self._ledger(spec)}/{feed}"
         older = files.names(self.spark, folder)
         name = f"{number:020d}.json"
         files.write_text(self.spark, f"{folder}/{name}", "{}")
@@ -238,10 +248,12 @@ class ParquetSink(Sink):
             if other != name:
                 files.delete(self.spark, f"{folder}/{other}")
 
-    def apply(self, changes: DataFrame, spec: TableSpec, number: int, now_text: str) -> Applied:
-        if number <= self.last_applied(spec):
+    def apply(
+        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+    ) -> Applied:
+        if number <= self.last_applied(spec, feed):
             return Applied(0, 0, 0)
-        work = f"{self.root}/_pending/{spec.name}-{number}"
+        work = f"{self._pending(spec)}/{feed}-{number}"
         summary = f"{work}/summary.json"
         if not files.exists(self.spark, summary):
             files.delete(self.spark, work)
@@ -250,8 +262,10 @@ class ParquetSink(Sink):
             files.write_text(self.spark, summary, json.dumps(found))
         found = json.loads(files.read_text(self.spark, summary))
         self._swap(spec, f"{work}/rows", found["ranges"])
-        self._record(spec, number)
+        self._record(spec, number, feed)
         files.delete(self.spark, work)
+        if not files.names(self.spark, self._pending(spec)):
+            files.delete(self.spark, self._pending(spec))
         return Applied(**found["effect"])
 
     def _prepare(

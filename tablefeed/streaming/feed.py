@@ -8,6 +8,7 @@ and the sink applies each micro-batch once.
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tablefeed import files
 from tablefeed.plans.cdc import Feed
 
 # A micro-batch takes the batches due in this time, unless told how many: the
@@ -28,6 +30,10 @@ def ticks(spark: SparkSession, per_trigger: int) -> DataFrame:
     return clock.option("rowsPerBatch", per_trigger).option("numPartitions", 1).load()
 
 
+class FeedFinished(Exception):
+    """Ends a stream that is past its last tick."""
+
+
 class RunningFeed:
     """A started feed. ``until`` is the tick to stop before, or None to go on for ever.
 
@@ -48,7 +54,8 @@ class RunningFeed:
             ticks_per_set = feed.pace.ticks_in(SECONDS_PER_SET)
         self.feed = feed
         self.until = until
-        self.finished, self.stopping = threading.Event(), threading.Event()
+        self.finished = threading.Event()
+        self.spark, self.checkpoint = spark, checkpoint
         if seconds is None:
             seconds = feed.pace.interval_seconds * ticks_per_set
         writer = ticks(spark, ticks_per_set).writeStream.queryName(f"changes of {feed.spec.name}")
@@ -61,16 +68,20 @@ class RunningFeed:
         span = due.agg(F.min("value").alias("first"), F.max("value").alias("last")).first()
         first, end = span["first"], span["last"] + 1
         if self.until is None or end < self.until:
-            self.feed.apply_ticks(first, end, number)
+            self.feed.apply_ticks(first, end, number, self._run())
             return
         if first < self.until:
-            self.feed.apply_ticks(first, self.until, number)
+            self.feed.apply_ticks(first, self.until, number, self._run())
             self.finished.set()
             return
         # Past the last tick: must not count as done, or a later start would skip it.
         self.finished.set()
-        self.stopping.wait()
-        raise RuntimeError("stopped")
+        raise FeedFinished(f"the changes of {self.feed.spec.name} end at tick {self.until}")
+
+    def _run(self) -> str:
+        """The stream's id, which lives in its checkpoint: with a new one, sets count anew."""
+        kept = files.read_text(self.spark, f"{self.checkpoint}/metadata")
+        return f"stream-{json.loads(kept)['id']}"
 
     def wait(self) -> None:
         """Return when the feed has reached its last tick; raise if it failed."""
@@ -78,10 +89,26 @@ class RunningFeed:
             if not self.query.isActive:
                 self.query.awaitTermination()
                 raise RuntimeError(f"the changes of {self.feed.spec.name} were stopped")
-        self.stopping.set()
+        self.stop()
+
+    def stop(self) -> None:
+        """End the feed now; a set that is being applied is left to the next start."""
         self.query.stop()
 
 
+def wait_all(feeds: Sequence[RunningFeed]) -> None:
+    """Return when all feeds have reached their last tick. If one fails, all end."""
+    try:
+        for feed in feeds:
+            while not feed.finished.wait(timeout=0.2):
+                for other in feeds:
+                    if not other.finished.is_set() and not other.query.isActive:
+                        other.wait()
+    finally:
+        for feed in feeds:
+            feed.stop()
+
+
 def start_feeds(
     spark: SparkSession,
     feeds: Sequence[Feed],
@@ -90,7 +117,14 @@ def start_feeds(
     until: int | None = None,
     seconds: float | None = None,
 ) -> list[RunningFeed]:
-    return [
-        RunningFeed(spark, feed, f"{checkpoints}/{feed.spec.name}", ticks_per_set, until, seconds)
-        for feed in feeds
-    ]
+    """Start a feed for each table; if one can't start, none goes on."""
+    started: list[RunningFeed] = []
+    try:
+        for feed in feeds:
+            at = f"{checkpoints}/{feed.spec.name}"
+            started.append(RunningFeed(spark, feed, at, ticks_per_set, until, seconds))
+    except BaseException:
+        for running in started:
+            running.stop()
+        raise
+    return started

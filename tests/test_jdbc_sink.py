@@ -92,7 +92,7 @@ def test_changes(spark, sink, per_set):
     run_snapshot(spark, sink, generated_loads(spark, "orders", SIZES), strict=True)
     source = GeneratedChanges(spark, "orders", Sizes(300, 150, 50, 150))
     feed = Feed(ORDERS, source, sink, Pace("orders", 100), lambda n: dt.datetime(2024, 1, 1))
-    apply_batches(feed, 0, 3, per_set)
+    apply_batches(feed, 0, 3, per_set, run="feed")
     got = {r[0]: r for r in sink.database.rows("orders")}
     want = {r[0]: tuple(r) for r in source.between(0, 150).drop("_ordinal").collect()}
     seen = {r[0] for r in generate(spark, "orders", SIZES).select("o_orderkey").collect()}

@@ -161,6 +161,38 @@ def test_apply_rewrites_only_the_ranges_it_touches(spark, tmp_path):
     assert marked.count() == 15
 
 
+def test_feeds_number_their_sets_apart(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    assert sink.apply(changes(spark, 1000, 1010), spec, 7, NOW, "one").rows == 10
+    assert sink.apply(changes(spark, 1010, 1020), spec, 0, NOW, "two").rows == 10
+    assert sink.apply(changes(spark, 1010, 1020), spec, 0, NOW, "two").rows == 0
+    assert sink.read(spec).where("k >= 1000").count() == 20
+
+
+def test_an_emptied_table_takes_changes_again(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    sink.apply(changes(spark, 1000, 1010), spec, 0, NOW)
+    sink.truncate_table(spec)
+    assert sink.last_applied(spec) == -1
+    assert sink.apply(changes(spark, 1000, 1010), spec, 0, NOW).rows == 10
+    assert sink.read(spec).count() == 10
+
+
+def test_a_failed_set_is_not_taken_for_another(spark, tmp_path, monkeypatch):
+    sink, spec = small_sink(spark, tmp_path)
+
+    def broken(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ParquetSink, "_swap", broken)
+        with pytest.raises(OSError):
+            sink.apply(changes(spark, 1000, 1010), spec, 0, NOW, "one")
+    assert sink.apply(changes(spark, 2000, 2005), spec, 0, NOW, "two").rows == 5
+    got = {r.k for r in sink.read(spec).where("k >= 1000").collect()}
+    assert got == set(range(2000, 2005))
+
+
 def test_a_set_is_applied_once(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
     sink.apply(changes(spark, 1000, 1010), spec, 3, NOW)
@@ -169,7 +201,7 @@ def test_a_set_is_applied_once(spark, tmp_path):
     assert sink.read(spec).where(F.col("t").contains("CDC")).isEmpty()
     reopened = ParquetSink(spark, str(tmp_path), widths={"small": 100})
     assert reopened.last_applied(spec) == 3
-    assert files.names(spark, f"{tmp_path}/_applied/small") == [f"{3:020d}.json"]
+    assert files.names(spark, f"{tmp_path}/_applied/small/feed") == [f"{3:020d}.json"]
 
 
 @pytest.mark.parametrize("broken", ["_swap", "_record"])
@@ -290,7 +322,7 @@ def test_stream_stops_and_goes_on(spark, tmp_path):
         # Time to run past the last tick, which must not lose the ticks that follow.
         time.sleep(2)
         running.wait()
-    assert sink.last_applied(spec) == 2
+    assert sink.last_applied(spec, running._run()) == 2
     assert same(sink.read(spec), plain.read(spec))
 
 

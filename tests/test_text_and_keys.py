@@ -122,3 +122,21 @@ def test_a_key_with_a_third_of_all_rows(spark):
         want[7 if i % 3 == 0 else i] = i
     assert got == want
     assert [tuple(r) for r in duplicate_keys(hot, ["k"]).collect()] == [(7, 10_001)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_conversion_is_the_same_in_every_session(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.sql(
+            "SELECT CAST('0.0000000001' AS decimal(20,10)) d, DATE'1969-12-31' t, CAST(-1234567.05 AS decimal(15,2)) m, CAST(-7 AS decimal(9,0)) z"
+        )
+        assert tuple(encode(df).first()) == ("0.0000000001", "1969-12-31", "-1234567.05", "-7")
+        assert decode(encode(df), df.schema).first() == df.first()
+        for bad in ("junk", "x1"):
+            wrong = spark.createDataFrame([(bad, "1969-12-31", "1", "2")], "d string, t string, m string, z string")
+            with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+                decode(wrong, df.schema).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
