@@ -20,6 +20,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    fs, where = _open(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def move(spark: SparkSession, source: str, to: str) -> None:
     """Put a folder in the place of another, which may be absent."""
     fs, where = _open(spark, source)
