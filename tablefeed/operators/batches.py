@@ -11,14 +11,79 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablefeed import files
 from tablefeed.functions.draws import range_number
 from tablefeed.session import scratch_path
 from tablefeed.sources.generate import ORDINAL, Sizes, row_count, rows_between
 
 BATCH, TICK = "batch_no", "tick"
+CHUNK, PLACE = "_chunk", "_place"
 POSITION_BITS = 33
 
+# A task sorts and writes a chunk of about this size in memory.
+CHUNK_BYTES = 256 * 1024 * 1024
+
+
+class NumberedRows:
+    """Rows kept in order in one folder, a sub-folder for each chunk of the order.
+
+    Reading some ordinals opens the chunks that hold them and no others. The
+    driver keeps one number per chunk, where it starts.
+    """
+
+    def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str], path: str) -> None:
+        self.spark, self.path, self.columns = spark, path, df.columns
+        ranged = df.repartitionByRange(chunk_count(spark, df), *order).sortWithinPartitions(*order)
+        position = F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1)
+        placed = ranged.withColumns({CHUNK: F.spark_partition_id(), PLACE: position})
+        placed.write.partitionBy(CHUNK).parquet(path)
+
+        self.rows = spark.read.schema(placed.schema).parquet(path)
+        counts = self.rows.groupBy(CHUNK).count().orderBy(CHUNK).collect()
+        self.starts, self.total = [], 0
+        for row in counts:
+            self.starts.append((row[CHUNK], self.total))
+            self.total += row["count"]
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """The rows with ordinals low..high-1, with the ordinal."""
+        ends = [start for _, start in self.starts[1:]] + [self.total]
+        held = [s for s, end in zip(self.starts, ends) if s[1] < high and end > low] or [(0, 0)]
+        # One row per chunk: far below any broadcast limit.
+        starts = self.spark.createDataFrame(held, f"{CHUNK} int, _start long")
+        rows = self.rows.where(F.col(CHUNK).between(held[0][0], held[-1][0]))
+        ordinal = (F.col("_start") + F.col(PLACE)).alias(ORDINAL)
+        found = rows.join(F.broadcast(starts), CHUNK).select(*self.columns, ordinal)
+        return found.where((F.col(ORDINAL) >= low) & (F.col(ORDINAL) < high))
+
+    def drop(self) -> None:
+        files.delete(self.spark, self.path)
+
+
+def chunk_count(spark: SparkSession, df: DataFrame) -> int:
+    """Chunks of ``CHUNK_BYTES`` or less, by the measured size of the rows."""
+
+    def width(field: T.StructField) -> Column:
+        column, kind = F.col(field.name), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(kind, (T.ArrayType, T.MapType)):
+            size = F.size(column) * 16
+        else:
+            size = F.lit(16)
+        return F.coalesce(size, F.lit(0)).cast("long")
+
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        total = total + width(field)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total).alias("bytes")).first()
+    by_size = -(-(size["bytes"] or 0) // CHUNK_BYTES)
+    # Small tables still use the cores there are.
+    by_cores = min(spark.sparkContext.defaultParallelism, size["rows"] // 10_000)
+    return max(1, by_size, by_cores)
+
 
 def numbered(spark: SparkSession, df: DataFrame, order: Sequence[str], path: str | None = None):
     """The rows with ``ORDINAL``, their place in ``order``, from 0.
@@ -26,26 +91,11 @@ def numbered(spark: SparkSession, df: DataFrame, order: Sequence[str], path: str
     ``order`` must tell any two rows apart. The rows are range-partitioned,
     sorted within partitions and written once with their partition and place in
     it, so that counting the partitions and numbering the rows see the same
-    ones, also after executors are lost. What comes back to the driver is one
-    count per partition.
+    ones, also after executors are lost. ``df`` is run three times, to measure,
+    sample and write it: write it first if it is costly.
     """
-    path = path or scratch_path(spark, "numbered")
-    place = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.withColumn("_place", place).write.parquet(path)
-
-    rows = spark.read.parquet(path)
-    chunk = F.shiftright("_place", POSITION_BITS)
-    counts = rows.groupBy(chunk.alias("_chunk")).count().orderBy("_chunk").collect()
-    offsets, total = [], 0
-    for row in counts:
-        offsets.append((row["_chunk"], total))
-        total += row["count"]
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_chunk long, _start long")
-    position = F.col("_place").bitwiseAND((1 << POSITION_BITS) - 1)
-    # One row per partition: far below any broadcast limit.
-    joined = rows.withColumn("_chunk", chunk).join(F.broadcast(starts), "_chunk")
-    return joined.select(*df.columns, (F.col("_start") + position).alias(ORDINAL))
+    kept = NumberedRows(spark, df, order, path or scratch_path(spark, "numbered"))
+    return kept.between(0, kept.total)
 
 
 def batch_number(size: int) -> Column:
@@ -93,15 +143,20 @@ class ChangeSource:
         first follows again.
         """
         per_pass = self.batches(size)
-        due: DataFrame | None = None
-        for turn in range(first // per_pass, (end - 1) // per_pass + 1):
-            start = turn * per_pass
-            low = max(first - start, 0) * size
-            high = min((end - start) * size, self.total)
-            part = self.between(low, high)
-            part = part.withColumn(TICK, batch_number(size) + start).drop(ORDINAL)
-            due = part if due is None else due.unionByName(part)
-        return due
+        low, last = first % per_pass, (end - 1) % per_pass
+        if end - first >= per_pass:
+            due = self.between(0, self.total)
+        elif low <= last:
+            due = self.between(low * size, min((last + 1) * size, self.total))
+        else:
+            due = self.between(low * size, self.total)
+            due = due.unionByName(self.between(0, (last + 1) * size))
+        wait = F.pmod(batch_number(size) - first, F.lit(per_pass).cast("long"))
+        tick = F.lit(first).cast("long") + wait
+        if end - first > per_pass:
+            step = F.lit(per_pass).cast("long")
+            tick = F.explode(F.sequence(tick, F.lit(end - 1).cast("long"), step))
+        return due.withColumn(TICK, tick).drop(ORDINAL)
 
 
 @dataclass
@@ -120,13 +175,15 @@ class GeneratedChanges(ChangeSource):
 
 
 class TableChanges(ChangeSource):
-    """A table, numbered once in key order and kept as files sorted by ordinal."""
+    """A table, numbered once in key order and kept in chunks of that order."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str]) -> None:
-        path = scratch_path(spark, "changes")
-        numbered(spark, df, order).write.parquet(path)
-        self.ordered = spark.read.parquet(path)
-        self.total = self.ordered.count()
+        self.kept = NumberedRows(spark, df, order, scratch_path(spark, "changes"))
+        self.total = self.kept.total
 
     def between(self, low: int, high: int) -> DataFrame:
-        return self.ordered.where((F.col(ORDINAL) >= low) & (F.col(ORDINAL) < high))
+        return self.kept.between(low, high)
+
+    def close(self) -> None:
+        """Delete the kept rows; the source is of no use after that."""
+        self.kept.drop()

@@ -18,9 +18,9 @@ def fold_batches(changes: DataFrame, spec: TableSpec) -> DataFrame:
     changed before would have been found by its last batch. Each batch must
     hold a key once (``require_unique`` on the key and the tick).
     """
-    row = F.struct(*spec.payload)
+    row = F.struct(TICK, *spec.payload)
     last = changes.groupBy(*spec.pk).agg(
-        F.max_by(row, F.col(TICK)).alias("_row"),
+        F.max(row).alias("_row"),
         (F.count(F.lit(1)) > 1).alias(CHANGED_BEFORE),
     )
     values = [

@@ -38,11 +38,14 @@ def require_absent(df: DataFrame, existing: DataFrame, key: Sequence[str], what:
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per key the row that is largest by ``order``, compared column by column.
 
-    An aggregate, not a window: each task sends at most one row per key.
+    An aggregate, not a window: each task sends at most one row per key. Rows
+    alike in ``order`` are told apart by their other columns, in column order;
+    all columns must be of types that can be compared.
     """
-    rest = [c for c in df.columns if c not in key]
-    row, rank = F.struct(*rest), F.struct(*order)
-    best = df.groupBy(*key).agg(F.max_by(row, rank).alias("_row"))
+    rest = [c for c in df.columns if c not in key and c not in order]
+    # The row is its own rank, so each value is carried once.
+    row = F.struct(*[c for c in order if c not in key], *rest)
+    best = df.groupBy(*key).agg(F.max(row).alias("_row"))
     return best.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

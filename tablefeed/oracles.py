@@ -101,7 +101,8 @@ FROM ({UNIQUE_LINES})"""
 REPLAY_ORDERS = f"""
 WITH b AS ({BATCHES_ORDERS}),
 t AS (SELECT unnest(range(2 * n + 1)) AS tick, n FROM (SELECT max(batch_no) + 1 AS n FROM b))
-SELECT tick, batch_no, o_orderkey FROM t JOIN b ON batch_no = tick % n"""
+SELECT tick, batch_no, {ORDER_COLUMNS} FROM t JOIN b ON batch_no = tick % n
+JOIN orders USING (o_orderkey)"""
 
 BATCH_PLAN = """
 WITH p(table_name, rate, batch_rows, source_rows) AS (

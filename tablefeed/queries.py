@@ -158,17 +158,17 @@ def batches_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def batches_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     lines, spec = unique_lineitem(spark, folder)
-    ordered = numbered(spark, lines, spec.pk)
+    ordered = numbered(spark, written(spark, lines, "lineitem"), spec.pk)
     return ordered.select(*spec.pk, batch_number(BATCH_ROWS).alias(BATCH))
 
 
 def replay_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Two passes over the orders in batches, and the first batch of a third."""
-    orders = read_table(spark, folder, "orders").select("o_orderkey")
+    orders = read_table(spark, folder, "orders")
     ordered = numbered(spark, orders, ["o_orderkey"])
     batches = batch_total(orders.count(), BATCH_ROWS)
     due = replayed(ordered.withColumn(BATCH, batch_number(BATCH_ROWS)), batches, 2 * batches + 1)
-    return due.select(TICK, BATCH, "o_orderkey")
+    return due.select(TICK, BATCH, *orders.columns)
 
 
 def batch_plan_default(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,6 +275,7 @@ def cdc_after_k_batches(spark: SparkSession, folder: str) -> DataFrame:
     feed = Feed(spec, source, _loaded_sink(spark, spec, documents), Pace(spec.name, 1000), clock)
     ticks, per_set = _one_and_a_half_passes(feed)
     apply_batches(feed, 0, ticks, per_set)
+    source.close()
     return feed.sink.read(spec)
 
 
@@ -289,6 +290,7 @@ def cdc_two_feeds_documents(spark: SparkSession, folder: str) -> DataFrame:
     ticks, per_set = _one_and_a_half_passes(first)
     apply_batches(first, 0, per_set, per_set)
     apply_batches(second, per_set, ticks, per_set)
+    source.close()
     return sink.read(spec)
 
 
@@ -303,6 +305,7 @@ def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
         spark, feed, scratch_path(spark, "stream"), per_set, until=ticks, seconds=0
     )
     running.wait()
+    source.close()
     return feed.sink.read(spec)
 
 

@@ -48,11 +48,6 @@ DEFAULT_WIDTH = 1_000_000
 ROWS_PER_RANGE = 500_000
 RANGES_PER_TABLE = 20_000
 
-# Above this many touched ranges the whole table is read instead of a list of them.
-MOST_RANGES = 10_000
-# Up to this many are read, and put in place, folder by folder.
-MOST_FOLDERS = 500
-
 
 def range_widths(sizes: Sizes) -> dict[str, int]:
     """Widths for the generated tables of a size."""
@@ -193,8 +188,9 @@ class ParquetSink(Sink):
         df = df.select(*spec.columns)
         if not keyed:
             require_unique(df, spec.pk, spec.name)
-        existing = self.read(spec)
-        if not existing.isEmpty():
+        ranged = df.withColumn(RANGE, self.key_range(spec))
+        if not self.read(spec).isEmpty():
+            existing = self._touched(spec, self._ranges(ranged))
             require_absent(df, existing, spec.pk, spec.name)
         seen = Observation()
         rows = require_values(df, spec).withColumn(RANGE, self.key_range(spec))
@@ -257,31 +253,27 @@ class ParquetSink(Sink):
         summary = f"{work}/summary.json"
         if not files.exists(self.spark, summary):
             files.delete(self.spark, work)
-            effect, ranges = self._prepare(changes, spec, now_text, work)
-            found = {"effect": vars(effect), "ranges": ranges}
-            files.write_text(self.spark, summary, json.dumps(found))
-        found = json.loads(files.read_text(self.spark, summary))
-        self._swap(spec, f"{work}/rows", found["ranges"])
+            effect = self._prepare(changes, spec, now_text, work)
+            files.write_text(self.spark, summary, json.dumps(vars(effect)))
+        effect = Applied(**json.loads(files.read_text(self.spark, summary)))
+        self._swap(spec, f"{work}/rows")
         self._record(spec, number, feed)
         files.delete(self.spark, work)
         if not files.names(self.spark, self._pending(spec)):
             files.delete(self.spark, self._pending(spec))
-        return Applied(**found["effect"])
+        return effect
 
     def _prepare(
         self, changes: DataFrame, spec: TableSpec, now_text: str, work: str
-    ) -> tuple[Applied, list[int] | None]:
-        """Write the new content of every range the changes touch.
-
-        Returns the ranges too, or None if they are too many to list.
-        """
+    ) -> Applied:
+        """Write the new content of every range the changes touch, once."""
         measured = Observation()
         rows = require_values(changes.select(*spec.columns, TICK), spec)
         ticks = [F.min(TICK).alias("first"), F.max(TICK).alias("last")]
         rows.observe(measured, *size_measures(spec), *ticks).write.parquet(f"{work}/changes")
         got = measured.get
         if got["rows"] == 0:
-            return Applied(0, 0, 0), []
+            return Applied(0, 0, 0)
         staged = self.spark.read.parquet(f"{work}/changes")
         require_unique(staged, [*spec.pk, TICK], f"changes of {spec.name}")
 
@@ -290,9 +282,8 @@ class ParquetSink(Sink):
             fold_batches(staged, spec).write.parquet(f"{work}/folded")
             staged, before = self.spark.read.parquet(f"{work}/folded"), CHANGED_BEFORE
         staged = staged.withColumn(RANGE, self.key_range(spec))
-        ranges = self._ranges(staged)
         result = upsert(
-            self._touched(spec, ranges),
+            self._touched(spec, self._ranges(staged)),
             staged,
             replace(spec, schema=self._stored_schema(spec)),
             now_text,
@@ -308,40 +299,27 @@ class ParquetSink(Sink):
             F.count_if(F.col(EFFECT) == UPDATED).alias("updated"),
         )
         result.drop(EFFECT).write.partitionBy(RANGE).parquet(f"{work}/rows")
-        effect = Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
-        return effect, ranges
+        return Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
 
-    def _ranges(self, changes: DataFrame) -> list[int] | None:
-        found = changes.select(RANGE).distinct().limit(MOST_RANGES + 1).collect()
-        return None if len(found) > MOST_RANGES else sorted(row[RANGE] for row in found)
+    def _ranges(self, rows: DataFrame) -> set[int]:
+        """The key ranges of some rows: no more than there are folders to be listed or made."""
+        return {row[RANGE] for row in rows.select(RANGE).distinct().collect()}
 
-    def _touched(self, spec: TableSpec, ranges: list[int] | None) -> DataFrame:
-        """The target's rows in some key ranges, or all."""
+    def _touched(self, spec: TableSpec, ranges: set[int]) -> DataFrame:
+        """The target's rows in some key ranges; no other folder is opened."""
         base = self.path(spec)
-        if ranges is None:
-            return self._open(spec, base)
-        if len(ranges) > MOST_FOLDERS:
-            return self._open(spec, base).where(F.col(RANGE).isin(ranges))
-        folders = [f"{base}/{RANGE}={number}" for number in ranges]
-        present = [folder for folder in folders if files.exists(self.spark, folder)]
+        wanted = {f"{RANGE}={number}" for number in ranges}
+        present = [name for name in files.names(self.spark, base) if name in wanted]
         if not present:
             return self._empty(spec)
         reader = self.spark.read.schema(self._stored_schema(spec)).option("basePath", base)
-        return reader.parquet(*present)
+        return reader.parquet(*[f"{base}/{name}" for name in present])
 
-    def _swap(self, spec: TableSpec, rows: str, ranges: list[int] | None) -> None:
-        """Put new ranges in place of the old; may be run again after breaking off.
+    def _swap(self, spec: TableSpec, rows: str) -> None:
+        """Put new ranges in place of the old, one renamed folder each, however many.
 
-        A few folders are moved; many are copied by executors.
+        May be run again after breaking off: those that were moved are gone from ``rows``.
         """
-        base = self.path(spec)
-        if ranges is None or len(ranges) > MOST_FOLDERS:
-            overwrite = self._open(spec, rows).write.mode("overwrite")
-            overwrite = overwrite.option("partitionOverwriteMode", "dynamic")
-            overwrite.partitionBy(RANGE).parquet(base)
-            return
-        for number in ranges:
-            folder = f"{RANGE}={number}"
-            # One that is gone was moved before.
-            if files.exists(self.spark, f"{rows}/{folder}"):
-                files.move(self.spark, f"{rows}/{folder}", f"{base}/{folder}")
+        for name in files.names(self.spark, rows):
+            if name.startswith(f"{RANGE}="):
+                files.move(self.spark, f"{rows}/{name}", f"{self.path(spec)}/{name}")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablefeed import files
+from tablefeed.operators import batches
 from tablefeed.operators.batches import (
     BATCH,
     TICK,
@@ -81,7 +83,27 @@ def test_an_empty_source_is_an_error(spark):
         replayed(spark.range(0).withColumn(BATCH, F.col("id")), 0, 1)
 
 
-def test_a_range_of_ordinals_prunes_files(spark):
+def test_a_range_of_ordinals_opens_its_chunks_only(spark, monkeypatch):
+    monkeypatch.setattr(batches, "CHUNK_BYTES", 4000)
     source = TableChanges(spark, spark.range(1000), ["id"])
-    text = source.between(10, 20)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(_ordinal), GreaterThanOrEqual(_ordinal,10)" in text
+    assert len(source.kept.starts) == 4
+    third = source.kept.starts[2][1]
+    some = source.between(third + 10, third + 20)
+    assert sorted(r.id for r in some.collect()) == list(range(third + 10, third + 20))
+    held = spark.read.parquet(source.kept.path).where("_chunk = 2").inputFiles()
+    read = {r[0] for r in some.select(F.input_file_name()).collect()}
+    assert len(read) == 1 and {f.split("/")[-2] for f in read} == {"_chunk=2"} and held
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_chunk" in plan and ">= 2)" in plan
+    source.close()
+    assert not files.exists(spark, source.kept.path)
+
+
+def test_any_number_of_ticks_has_one_plan(spark):
+    source = TableChanges(spark, spark.range(5), ["id"])
+
+    def plan(ticks):
+        return source.at_ticks(0, ticks, 2)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert len(plan(10_000).splitlines()) == len(plan(10).splitlines())
+    assert source.at_ticks(0, 10_000, 2).count() == 10_000 // 3 * 5 + 2

@@ -99,7 +99,7 @@ def test_latest_per_key_compares_columns_in_order(spark):
 def test_latest_per_key_aggregates_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     plan = latest_per_key(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("partial_max_by") == 1
+    assert plan.count("partial_max(struct") == 1
     assert "Window" not in plan
 
 
