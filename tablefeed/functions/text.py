@@ -18,6 +18,13 @@ def timestamp_text(now: dt.datetime, fraction_digits: int = 3) -> str:
     return now.strftime("%Y-%m-%d %H:%M:%S.%f")[: 20 + fraction_digits]
 
 
+def zoned_timestamp_text(now: dt.datetime) -> str:
+    """``now`` in UTC, which a time without a zone is taken to be in, to microseconds."""
+    if now.tzinfo:
+        now = now.astimezone(dt.timezone.utc)
+    return timestamp_text(now, 6) + "+00"
+
+
 def marked(comment: Column, now_text: str) -> Column:
     """An updated row's comment: the start of the new one, and when it was applied.
 

@@ -201,9 +201,11 @@ class Draws:
 
     def comment(self, low: int, high: int) -> str:
         pieces = words.SENTENCES if high > 50 else words.PHRASES
-        n = math.ceil((high + 1) / (min(map(len, pieces)) + 1))
+        n = math.ceil((high + words.STARTS) / (min(map(len, pieces)) + 1))
         parts = " || ' ' || ".join(self.one_of(f"phrase{i}", pieces) for i in range(n))
-        return f"left({parts}, {self.number('comment length', high - low + 1)} + {low})"
+        start = f"{self.number('comment start', words.STARTS)} + 1"
+        length = f"{self.number('comment length', high - low + 1)} + {low}"
+        return f"substr({parts}, {start}, {length})"
 
     def address(self) -> str:
         alphabets = ["aQmX3 kRt9", "Zb7,Lw Hd2", "pF5oGy8,Us", "eJ NcV1iT4"]
@@ -300,8 +302,11 @@ FROM ({rows})"""
 def gen_part() -> str:
     d = Draws("s1", "s2")
     rows = states("SELECT p_partkey + 1 AS id FROM part", "id", "part", "s1", "s2")
-    start, step = d.number("color", 92), f"({d.number('color step', 18)} + 1)"
-    colors = [chosen(words.COLORS, f"({start} + {step} * {i}) % 92") for i in range(5)]
+    for i, n in enumerate((88, 89, 90, 91, 92)):
+        drawn = d.number(f"color{i}", n)
+        before = [f"{drawn} = c{j}" for j in range(i)] or ["false"]
+        rows = f"SELECT *, CASE WHEN {' OR '.join(before)} THEN {n - 1} ELSE {drawn} END AS c{i} FROM ({rows})"
+    colors = [chosen(words.COLORS, f"c{i}") for i in range(5)]
     maker = f"({d.number('maker', 5)} + 1)"
     return f"""
 SELECT id AS p_partkey, {" || ' ' || ".join(colors)} AS p_name,
@@ -451,7 +456,10 @@ ORACLES: dict[str, str] = {
         "orders", "o_orderkey", ORDER_CHANGES, "o_orderpriority",
         "o_custkey, o_orderstatus, o_totalprice, o_orderdate", 1000,
     ),
-    "cdc_progress": "SELECT 'orders' AS table_name, count(*) AS operations FROM orders",
+    "cdc_progress": """
+WITH t AS (SELECT 'orders' AS table_name, count(*) AS operations FROM orders
+           UNION ALL SELECT 'customer', count(*) FROM customer)
+SELECT * FROM t UNION ALL SELECT 'all tables', sum(operations)::BIGINT FROM t""",
     "gen_region": gen_region(),
     "gen_nation": gen_nation(),
     "gen_supplier": gen_supplier(),

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-import logging
-import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefeed.functions.text import timestamp_text
 from tablefeed.operators.batches import ChangeSource
 from tablefeed.plans.rates import Pace
-from tablefeed.sinks.base import Applied, Sink
+from tablefeed.sinks.base import Applied, Sink, Totals
 from tablefeed.specs import TableSpec
 
-log = logging.getLogger(__name__)
+ALL_TABLES = "all tables"
 
 Clock = Callable[[int], dt.datetime]
 
@@ -35,18 +32,12 @@ class Feed:
     sink: Sink
     pace: Pace
     clock: Clock = wall_clock
-    sets: int = 0
-    operations: int = 0
-    started: float = field(default_factory=time.monotonic)
 
     def apply_ticks(self, first: int, end: int, number: int, run: str = "feed") -> Applied:
         """Apply the batches due at ticks first..end-1 as set ``number`` of a run, unless done before."""
         changes = self.source.at_ticks(first, end, self.pace.batch_rows)
-        now_text = timestamp_text(self.clock(number))
-        effect = self.sink.apply(changes, self.spec, number, now_text, run)
-        self.sets += 1
-        self.operations += effect.rows
-        return effect
+        now_text = self.sink.time_text(self.clock(number))
+        return self.sink.apply(changes, self.spec, number, now_text, run)
 
 
 def apply_batches(
@@ -63,12 +54,13 @@ def apply_batches(
 
 
 def progress(spark: SparkSession, feeds: Sequence[Feed]) -> DataFrame:
-    """Rows applied so far, in all and per second, for each table."""
-    now = time.monotonic()
-    rows = [
-        (f.spec.name, f.sets, f.operations, f.operations / max(now - f.started, 1e-9))
-        for f in feeds
-    ]
+    """Rows applied, in all and per second, for each table and for all of them.
+
+    Read from the sets that the targets have recorded: a restart forgets nothing.
+    """
+    parts = {f.spec.name: f.sink.totals(f.spec) for f in feeds}
+    parts[ALL_TABLES] = Totals.of_all(list(parts.values()))
+    rows = [(name, t.sets, t.operations, t.per_second) for name, t in parts.items()]
     return spark.createDataFrame(
         rows, "table_name string, sets long, operations long, operations_per_second double"
     )

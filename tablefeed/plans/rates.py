@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,9 +28,9 @@ class Pace:
     def interval_seconds(self) -> float:
         return self.batch_rows / self.rate
 
-    def ticks_in(self, seconds: float) -> int:
-        """Batches due in a time, but one at least."""
-        return max(1, math.ceil(seconds / self.interval_seconds))
+    def ticks_by(self, seconds: int) -> int:
+        """Batches due in a whole number of seconds from the start."""
+        return seconds * self.rate // self.batch_rows
 
 
 def split_rate(tables: Sequence[str], rate: int) -> list[Pace]:

@@ -310,16 +310,18 @@ def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cdc_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """One pass of generated orders, as many as there are given ones, over an empty table."""
+    """One pass of generated rows, as many as there are given ones, over empty tables."""
     sizes = sizes_of(spark, folder)
-    spec = TABLES["orders"]
     sink = ParquetSink(spark, widths=range_widths(sizes))
-    sink.create_table(spec)
-    source = GeneratedChanges(spark, "orders", sizes)
-    feed = Feed(spec, source, sink, Pace("orders", 10_000), clock)
-    ticks = source.batches(feed.pace.batch_rows)
-    apply_batches(feed, 0, ticks, -(-ticks // 2))
-    return progress(spark, [feed]).select("table_name", "operations")
+    feeds = []
+    for name in ("orders", "customer"):
+        sink.create_table(TABLES[name])
+        source = GeneratedChanges(spark, name, sizes)
+        feed = Feed(TABLES[name], source, sink, Pace(name, 10_000), clock)
+        ticks = source.batches(feed.pace.batch_rows)
+        apply_batches(feed, 0, ticks, -(-ticks // 2))
+        feeds.append(feed)
+    return progress(spark, feeds).select("table_name", "operations")
 
 
 # -- generated tables -----------------------------------------------------------

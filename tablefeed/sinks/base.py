@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tablefeed.functions.text import timestamp_text
 from tablefeed.specs import TableSpec
 
 
@@ -18,6 +20,40 @@ class Applied:
     updated: int | None = None
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What the feeds of a table have done to it since it was filled anew.
+
+    ``started`` and ``ended`` are seconds since 1970: when the first set began
+    and the last was recorded.
+    """
+
+    sets: int = 0
+    operations: int = 0
+    started: float | None = None
+    ended: float | None = None
+
+    def and_then(self, rows: int, began: float, now: float) -> Totals:
+        started = began if self.started is None else self.started
+        return Totals(self.sets + 1, self.operations + rows, started, now)
+
+    @staticmethod
+    def of_all(parts: list[Totals]) -> Totals:
+        parts = [p for p in parts if p.sets]
+        if not parts:
+            return Totals()
+        return Totals(
+            sum(p.sets for p in parts),
+            sum(p.operations for p in parts),
+            min(p.started for p in parts),
+            max(p.ended for p in parts),
+        )
+
+    @property
+    def per_second(self) -> float:
+        return self.operations / max(self.ended - self.started, 1e-9) if self.sets else 0.0
+
+
 class Sink:
     """Tables by specification, each with an optional staging table of a run."""
 
@@ -70,6 +106,14 @@ class Sink:
     def read(self, spec: TableSpec) -> DataFrame:
         raise NotImplementedError
 
+    def time_text(self, now: dt.datetime) -> str:
+        """A time as change markers show it."""
+        return timestamp_text(now)
+
+    def totals(self, spec: TableSpec) -> Totals:
+        """From the recorded sets, so also after a restart."""
+        raise NotImplementedError
+
     def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
         """The number of a feed's last set applied since the table was filled anew, or -1."""
         raise NotImplementedError

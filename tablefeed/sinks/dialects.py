@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-from tablefeed.functions.text import MARKER_KEEP, MARKER_LABEL
+from tablefeed.functions.text import (
+    MARKER_KEEP,
+    MARKER_LABEL,
+    timestamp_text,
+    zoned_timestamp_text,
+)
 from tablefeed.specs import TableSpec
 
 
@@ -33,6 +39,7 @@ class Dialect:
     staging_table: str
     create_if_absent: Callable[[str, str, str], str]
     upsert: Callable[[Dialect, TableSpec, str, str], str]
+    time_text: Callable[[dt.datetime], str] = timestamp_text
 
     def quote(self, name: str) -> str:
         start, end = self.quotes
@@ -138,11 +145,12 @@ POSTGRESQL = Dialect(
     },
     staging_types={},
     concat="||",
-    staged=False,
+    staged=True,
     nullable="",
     staging_table="CREATE UNLOGGED TABLE",
     create_if_absent=lambda _, quoted, body: f"CREATE TABLE IF NOT EXISTS {quoted} ({body})",
     upsert=_on_conflict,
+    time_text=zoned_timestamp_text,
 )
 
 SQL_SERVER = Dialect(

@@ -8,6 +8,8 @@ again may write its rows twice, so staged rows are counted before they are used.
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 import uuid
 from collections.abc import Sequence
 from typing import Protocol
@@ -22,7 +24,7 @@ from tablefeed.operators.fold import CHANGED_BEFORE, fold_batches
 from tablefeed.operators.keys import require_unique, require_values
 from tablefeed.plans.rates import SNAPSHOT_BATCH
 from tablefeed.session import scratch_path
-from tablefeed.sinks.base import Applied, Sink
+from tablefeed.sinks.base import Applied, Sink, Totals
 from tablefeed.sinks.dialects import Dialect
 from tablefeed.specs import TableSpec
 
@@ -44,6 +46,9 @@ class Database(Protocol):
     def write(self, df: DataFrame, table: str, batch_rows: int, connections: int) -> None:
         """Append rows to a table."""
 
+    def read(self, table: str, column: str, low: int, high: int, connections: int) -> DataFrame:
+        """A table's rows, read in as many ranges of an integer column as there are connections."""
+
 
 class JdbcDatabase:
     """A connection by URL. Statements run on the driver, rows are written by executors."""
@@ -89,6 +94,12 @@ class JdbcDatabase:
         writer.jdbc(self.url, table, properties=self.properties)
 
 
+    def read(self, table: str, column: str, low: int, high: int, connections: int) -> DataFrame:
+        return self.spark.read.jdbc(
+            self.url, table, column, low, high + 1, connections, properties=self.properties
+        )
+
+
 class JdbcSink(Sink):
     def __init__(
         self,
@@ -134,6 +145,17 @@ class JdbcSink(Sink):
         """Keys and nulls are the database's to check; ``keyed`` changes nothing."""
         return self._write(df.select(*spec.columns), spec.name)
 
+    def read(self, spec: TableSpec) -> DataFrame:
+        """The first key column must be an integer, by which connections share the rows."""
+        table, first = self.dialect.quote(spec.name), self.dialect.quote(spec.pk[0])
+        low = self.database.value(f"SELECT MIN({first}) FROM {table}") or 0
+        high = self.database.value(f"SELECT MAX({first}) FROM {table}") or 0
+        rows = self.database.read(table, first, low, high, self.connections)
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema])
+
+    def time_text(self, now: dt.datetime) -> str:
+        return self.dialect.time_text(now)
+
     # -- staging --------------------------------------------------------------
 
     def create_staging(self, spec: TableSpec) -> str:
@@ -174,10 +196,27 @@ class JdbcSink(Sink):
         )
         return -1 if found is None else found
 
+    def totals(self, spec: TableSpec) -> Totals:
+        return self._totals(f"table_name = {self._name_text(spec)}")
+
+    def _totals(self, which: str) -> Totals:
+        self.database.run([self._ledger_table()])
+
+        def one(measure: str) -> int | None:
+            return self.database.value(
+                f"SELECT {measure} FROM {self.dialect.quote(LEDGER)} WHERE {which}"
+            )
+
+        started, ended = one("MIN(started_ms)"), one("MAX(ended_ms)")
+        if started is None:
+            return Totals()
+        return Totals(one("SUM(sets)"), one("SUM(operations)"), started / 1000, ended / 1000)
+
     def _ledger_table(self) -> str:
         body = (
             "table_name VARCHAR(200) NOT NULL, feed VARCHAR(200) NOT NULL, number BIGINT NOT NULL, "
-            "PRIMARY KEY (table_name, feed)"
+            "sets BIGINT NOT NULL, operations BIGINT NOT NULL, "
+            "started_ms BIGINT NOT NULL, ended_ms BIGINT NOT NULL, PRIMARY KEY (table_name, feed)"
         )
         return self.dialect.create_if_absent(LEDGER, self.dialect.quote(LEDGER), body)
 
@@ -197,30 +236,41 @@ class JdbcSink(Sink):
     def _apply_written(
         self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str
     ) -> Applied:
+        began = time.time()
         require_unique(changes, [*spec.pk, TICK], f"changes of {spec.name}")
         span = changes.agg(
             F.count(F.lit(1)).alias("rows"), F.min(TICK).alias("first"), F.max(TICK).alias("last")
         ).first()
-        sets = [changes]
+        sets, made = [changes], []
         if span["first"] != span["last"]:
             # Keys that changed before go in twice, so that the last change finds
             # them and is marked.
-            folded = fold_batches(changes, spec)
+            path = scratch_path(self.spark, f"folded-{spec.name}")
+            made.append(path)
+            fold_batches(changes, spec).write.parquet(path)
+            folded = self.spark.read.parquet(path)
             sets = [folded.where(F.col(CHANGED_BEFORE)), folded]
         ledger, name, own = self.dialect.quote(LEDGER), self._name_text(spec), self._feed_text(feed)
+        which = f"table_name = {name} AND feed = {own}"
         staging: list[str] = []
         try:
+            totals = self._totals(which).and_then(span["rows"], began, time.time())
+            told = f"{totals.sets}, {totals.operations}, {round(totals.started * 1000)}, {round(totals.ended * 1000)}"
             for part in sets:
                 staging.append(self.create_staging(spec))
                 self.stage(part, spec, staging[-1])
             self.database.run(
                 [self.dialect.upsert_staged(spec, table, now_text) for table in staging]
                 + [
-                    f"DELETE FROM {ledger} WHERE table_name = {name} AND feed = {own}",
-                    f"INSERT INTO {ledger} (table_name, feed, number) VALUES ({name}, {own}, {number})",
+                    f"DELETE FROM {ledger} WHERE {which}",
+                    f"INSERT INTO {ledger} "
+                    "(table_name, feed, number, sets, operations, started_ms, ended_ms) "
+                    f"VALUES ({name}, {own}, {number}, {told})",
                 ]
             )
         finally:
             for table in staging:
                 self.drop_staging(table)
+            for path in made:
+                files.delete(self.spark, path)
         return Applied(span["rows"])

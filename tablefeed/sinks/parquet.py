@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -33,7 +34,7 @@ from tablefeed.operators.upsert import (
     upsert,
 )
 from tablefeed.session import scratch_path
-from tablefeed.sinks.base import Applied, Sink
+from tablefeed.sinks.base import Applied, Sink, Totals
 from tablefeed.sources.generate import Sizes
 from tablefeed.specs import TableSpec
 
@@ -235,11 +236,24 @@ class ParquetSink(Sink):
         done = [name.removesuffix(".json") for name in files.names(self.spark, folder)]
         return max((int(number) for number in done if number.isdigit()), default=-1)
 
-    def _record(self, spec: TableSpec, number: int, feed: str) -> None:
+    def _feed_totals(self, spec: TableSpec, feed: str) -> Totals:
+        last = self.last_applied(spec, feed)
+        if last < 0:
+            return Totals()
+        path = f"{self._ledger(spec)}/{feed}/{last:020d}.json"
+        return Totals(**json.loads(files.read_text(self.spark, path)))
+
+    def totals(self, spec: TableSpec) -> Totals:
+        feeds = files.names(self.spark, self._ledger(spec))
+        return Totals.of_all([self._feed_totals(spec, feed) for feed in feeds])
+
+    def _record(self, spec: TableSpec, number: int, feed: str, rows: int, began: float) -> None:
+        """The newest set of a feed, with the totals up to it."""
+        totals = self._feed_totals(spec, feed).and_then(rows, began, time.time())
         folder = f"{self._ledger(spec)}/{feed}"
         older = files.names(self.spark, folder)
         name = f"{number:020d}.json"
-        files.write_text(self.spark, f"{folder}/{name}", "{}")
+        files.write_text(self.spark, f"{folder}/{name}", json.dumps(vars(totals)))
         for other in older:
             if other != name:
                 files.delete(self.spark, f"{folder}/{other}")
@@ -249,6 +263,7 @@ class ParquetSink(Sink):
     ) -> Applied:
         if number <= self.last_applied(spec, feed):
             return Applied(0, 0, 0)
+        began = time.time()
         work = f"{self._pending(spec)}/{feed}-{number}"
         summary = f"{work}/summary.json"
         if not files.exists(self.spark, summary):
@@ -257,7 +272,7 @@ class ParquetSink(Sink):
             files.write_text(self.spark, summary, json.dumps(vars(effect)))
         effect = Applied(**json.loads(files.read_text(self.spark, summary)))
         self._swap(spec, f"{work}/rows")
-        self._record(spec, number, feed)
+        self._record(spec, number, feed, effect.rows, began)
         files.delete(self.spark, work)
         if not files.names(self.spark, self._pending(spec)):
             files.delete(self.spark, self._pending(spec))

@@ -47,6 +47,7 @@ CURRENT_DATE = dt.date(1995, 6, 17)
 CURRENT_DAY = (CURRENT_DATE - FIRST_DATE).days
 MAX_LINES = 7
 LINES_PER_BLOCK = 28
+COLORS_PER_PART = 5
 
 # Ordinal of a row in the order its table is generated, from 0.
 ORDINAL = "_ordinal"
@@ -88,12 +89,14 @@ def _money(cents: str) -> str:
 
 
 def _comment(of: State, low: int, high: int) -> str:
-    """Phrases of fixed words cut to a drawn length of low..high characters."""
+    """low..high characters, from a drawn place on, of a text of drawn phrases."""
     pieces = words.SENTENCES if high > 50 else words.PHRASES
-    n = math.ceil((high + 1) / (min(map(len, pieces)) + 1))
+    n = math.ceil((high + words.STARTS) / (min(map(len, pieces)) + 1))
     phrases = [pick(pieces, draw(of, f"phrase{i}", len(pieces))) for i in range(n)]
     length = draw(of, "comment length", high - low + 1, low)
-    return f"left(concat_ws(' ', {', '.join(phrases)}), cast({length} as int))"
+    start = draw(of, "comment start", words.STARTS, 1)
+    text = f"concat_ws(' ', {', '.join(phrases)})"
+    return f"substr({text}, cast({start} as int), cast({length} as int))"
 
 
 def _digits(number: str, width: int) -> str:
@@ -201,12 +204,25 @@ def _supplier_of(partkey: str, slot: str, suppliers: int) -> str:
     return f"({mod(f'{partkey} + {slot} * {stride}', suppliers)} + 1)"
 
 
+def _with_colors(df: DataFrame, of: State) -> DataFrame:
+    """Different colors, any set of them as likely as any other.
+
+    Each is drawn from one more color than the one before; if it was drawn
+    already, the color that has just been added is taken.
+    """
+    first = len(words.COLORS) - COLORS_PER_PART
+    for i in range(COLORS_PER_PART):
+        number, added = draw(of, f"color{i}", first + i + 1), first + i
+        before = ", ".join(f"_color{j}" for j in range(i))
+        df = with_columns(df, **{f"_drawn{i}": number})
+        chosen = f"if(_drawn{i} in ({before}), {added}L, _drawn{i})" if i else "_drawn0"
+        df = with_columns(df, **{f"_color{i}": chosen})
+    return df
+
+
 def part(ids: DataFrame, sizes: Sizes, seed: int = SEED) -> DataFrame:
     of = state("part")
-    n = len(words.COLORS)
-    # Five different colors: every step is short enough not to come round again.
-    start, step = draw(of, "color", n), draw(of, "color step", n // 5, 1)
-    colors = [pick(words.COLORS, mod(f"{start} + {step} * {i}", n)) for i in range(5)]
+    colors = [pick(words.COLORS, f"_color{i}") for i in range(COLORS_PER_PART)]
     maker = f"cast({draw(of, 'maker', 5, 1)} as string)"
     brand = f"cast({draw(of, 'brand', 5, 1)} as string)"
     kind = [
@@ -216,6 +232,7 @@ def part(ids: DataFrame, sizes: Sizes, seed: int = SEED) -> DataFrame:
     ]
     box = [_pick(of, "box", words.CONTAINER_SIZES), _pick(of, "kind", words.CONTAINER_KINDS)]
     df = with_columns(with_state(ids, "id", "part", seed), **{ORDINAL: "id - 1"})
+    df = _with_colors(df, of)
     return _shape(
         df, "part",
         p_partkey="id",

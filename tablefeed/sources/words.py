@@ -42,7 +42,12 @@ VERBS = [
     "combine", "dwindle", "persist", "recover", "advance", "recede", "collide", "repeat",
 ]
 
-# Every adverb with every subject, whose verb has the same position.
-PHRASES = [f"{a} {s} {v}" for a in ADVERBS for s, v in zip(SUBJECTS, VERBS)]
-# Every phrase followed by the one 37 places on.
-SENTENCES = [f"{p}, {q}" for p, q in zip(PHRASES, PHRASES[37:] + PHRASES[:37])]
+# Places in the first phrase where a comment may start.
+STARTS = 16
+
+# Every adverb with every subject and every verb.
+PHRASES = [f"{a} {s} {v}" for a in ADVERBS for s in SUBJECTS for v in VERBS]
+# Longer pieces for long comments: every adverb with every subject and the verb in its
+# place, followed by the one 37 places on.
+PAIRED = [f"{a} {s} {v}" for a in ADVERBS for s, v in zip(SUBJECTS, VERBS)]
+SENTENCES = [f"{p}, {q}" for p, q in zip(PAIRED, PAIRED[37:] + PAIRED[:37])]

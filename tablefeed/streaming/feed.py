@@ -1,7 +1,7 @@
 """Change feeds as Structured Streaming queries, one per table.
 
-The stream is a clock: each of its rows is a tick, and a tick stands for one
-batch of the change source. Which rows a tick stands for depends on nothing but
+The stream is a clock: its rows are ticks, or seconds that ticks are due at, and
+a tick stands for one batch of the change source. Which rows a tick stands for depends on nothing but
 its number, so a micro-batch that runs again after a failure gets the same rows,
 and the sink applies each micro-batch once.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tablefeed import files
 from tablefeed.plans.cdc import Feed
 
-# A micro-batch takes the batches due in this time, unless told how many: the
+# A micro-batch starts after this time, unless told how many batches to take: the
 # fixed cost of a micro-batch is a few seconds, whatever it holds.
 SECONDS_PER_SET = 10.0
 
@@ -30,6 +30,16 @@ def ticks(spark: SparkSession, per_trigger: int) -> DataFrame:
     return clock.option("rowsPerBatch", per_trigger).option("numPartitions", 1).load()
 
 
+def elapsed(spark: SparkSession) -> DataFrame:
+    """A stream of the seconds since it was first started; a micro-batch holds all new ones.
+
+    Which seconds a micro-batch holds is in its checkpoint, so a retry sees the
+    same, and time that a slow set or a stop took is in the next one.
+    """
+    clock = spark.readStream.format("rate")
+    return clock.option("rowsPerSecond", 1).option("numPartitions", 1).load()
+
+
 class FeedFinished(Exception):
     """Ends a stream that is past its last tick."""
 
@@ -37,6 +47,8 @@ class FeedFinished(Exception):
 class RunningFeed:
     """A started feed. ``until`` is the tick to stop before, or None to go on for ever.
 
+    A micro-batch takes ``ticks_per_set`` ticks, or by default those that are due
+    by the time that has passed, so that a feed which fell behind makes up for it.
     A stopped feed goes on where it stopped if it is started again with the same
     checkpoint, provided that ``until`` was a multiple of ``ticks_per_set``.
     """
@@ -50,15 +62,17 @@ class RunningFeed:
         until: int | None = None,
         seconds: float | None = None,
     ) -> None:
-        if ticks_per_set is None:
-            ticks_per_set = feed.pace.ticks_in(SECONDS_PER_SET)
+        self.timed = ticks_per_set is None
         self.feed = feed
         self.until = until
         self.finished = threading.Event()
         self.spark, self.checkpoint = spark, checkpoint
-        if seconds is None:
+        if seconds is None and self.timed:
+            seconds = SECONDS_PER_SET
+        elif seconds is None:
             seconds = feed.pace.interval_seconds * ticks_per_set
-        writer = ticks(spark, ticks_per_set).writeStream.queryName(f"changes of {feed.spec.name}")
+        due = elapsed(spark) if self.timed else ticks(spark, ticks_per_set)
+        writer = due.writeStream.queryName(f"changes of {feed.spec.name}")
         writer = writer.option("checkpointLocation", checkpoint).foreachBatch(self._apply)
         self.query: StreamingQuery = writer.trigger(
             processingTime=f"{round(seconds * 1000)} milliseconds"
@@ -66,7 +80,13 @@ class RunningFeed:
 
     def _apply(self, due: DataFrame, number: int) -> None:
         span = due.agg(F.min("value").alias("first"), F.max("value").alias("last")).first()
+        if span["first"] is None:
+            return
         first, end = span["first"], span["last"] + 1
+        if self.timed:
+            first, end = self.feed.pace.ticks_by(first), self.feed.pace.ticks_by(end)
+            if first == end:
+                return
         if self.until is None or end < self.until:
             self.feed.apply_ticks(first, end, number, self._run())
             return

@@ -105,6 +105,19 @@ def test_domains(spark):
         assert generate(spark, table, SIZES).where(~length.between(low, high)).isEmpty()
 
 
+def test_texts_do_not_run_out(spark):
+    for parts in (2_000, 40_000):
+        rows = generate(spark, "part", Sizes(supplier=100, customer=10, part=parts, orders=10))
+        names, comments = rows.agg(
+            F.count_distinct("p_name"), F.count_distinct("p_comment")
+        ).first()
+        # Comments may be as short as five characters, which many parts share.
+        assert names > 0.99 * parts and comments > 0.6 * parts
+    colors = rows.select(F.explode(F.split("p_name", " ")).alias("c")).groupBy("c").count()
+    counts = [r["count"] for r in colors.collect()]
+    assert len(counts) == len(words.COLORS) and max(counts) < 1.2 * min(counts)
+
+
 def test_large_scale_ids_do_not_overflow(spark):
     huge = Sizes.at_scale(100_000)
     assert row_count(spark, "lineitem", huge) > 5 * 10**11

@@ -6,6 +6,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from tablefeed.operators.batches import GeneratedChanges
@@ -61,6 +62,12 @@ class Recorder:
         con = self.con.cursor()
         con.execute(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM frame")
 
+    def read(self, table, column, low, high, connections):
+        assert column.strip('"') in ("o_orderkey",) and low <= high and connections == 16
+        return SparkSession.active().createDataFrame(
+            self.con.cursor().execute(f"SELECT * FROM {table}").fetchdf()
+        )
+
     def tables(self):
         return {r[0] for r in self.con.execute("SELECT table_name FROM duckdb_tables()").fetchall()}
 
@@ -97,13 +104,17 @@ def test_changes(spark, sink, per_set):
     want = {r[0]: tuple(r) for r in source.between(0, 150).drop("_ordinal").collect()}
     seen = {r[0] for r in generate(spark, "orders", SIZES).select("o_orderkey").collect()}
     keys = list(want)
+    marker = f"{NOW}000+00" if sink.dialect is POSTGRESQL else NOW
     seen |= set(keys[:100])
     for i, key in enumerate(keys):
         old = want[key]
         updated = key in seen
-        comment = old[-1][:40] + f" CDC:{NOW}" if updated else old[-1]
+        comment = old[-1][:40] + f" CDC:{marker}" if updated else old[-1]
         assert got[key] == (*old[:-1], comment)
     assert len(got) == 150
+    assert {tuple(r) for r in sink.read(ORDERS).collect()} == set(got.values())
+    totals = sink.totals(ORDERS)
+    assert (totals.sets, totals.operations) == (3 if per_set == 1 else 1, 250)
     assert sink.last_applied(ORDERS) == (2 if per_set == 1 else 0)
     assert sink.database.tables() == {"orders", "applied_change_sets"}
     number = sink.last_applied(ORDERS)

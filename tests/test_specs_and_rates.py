@@ -46,9 +46,11 @@ def test_rate_split(rate, tables, rates, batches, intervals):
     assert [p.interval_seconds for p in paces] == pytest.approx(intervals)
 
 
-@pytest.mark.parametrize(("rate", "due"), [(50, 5), (20_000, 200), (3, 1)])
-def test_ticks_in_a_time(rate, due):
-    assert split_rate(["t"], rate)[0].ticks_in(10) == due
+@pytest.mark.parametrize(("rate", "due"), [(1, 0), (50, 5), (1000, 100), (100_000, 1000)])
+def test_batches_due_in_a_time(rate, due):
+    pace = split_rate(["t"], rate)[0]
+    assert pace.ticks_by(10) == due
+    assert sum(pace.ticks_by(s + 1) - pace.ticks_by(s) for s in range(10)) == due
 
 
 @pytest.mark.parametrize(("rate", "tables"), [(1, 2), (0, 1), (5, 0)])
