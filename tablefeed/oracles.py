@@ -468,5 +468,6 @@ SELECT * FROM t UNION ALL SELECT 'all tables', sum(operations)::BIGINT FROM t"""
     "gen_partsupp": gen_partsupp(),
     "gen_orders": gen_orders(),
     "gen_lineitem": gen_lineitem(),
+    "gen_slices_lineitem": f"SELECT * EXCLUDE (row_ordinal) FROM ({gen_lineitem()})",
     "gen_invariants": GEN_INVARIANTS,
 }

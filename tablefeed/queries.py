@@ -35,7 +35,7 @@ from tablefeed.plans.rates import Pace, batch_plan
 from tablefeed.plans.snapshot import Load, generated_loads, run_snapshot
 from tablefeed.session import scratch_path
 from tablefeed.sinks.parquet import ParquetSink, range_widths
-from tablefeed.sources.generate import BUILDERS, ORDINAL, Sizes
+from tablefeed.sources.generate import BUILDERS, ORDINAL, Sizes, generate
 from tablefeed.sources.tables import read_table, sizes_of, spec_of, written
 from tablefeed.specs import TABLES, TableSpec
 from tablefeed.streaming.feed import RunningFeed
@@ -364,6 +364,15 @@ def gen_region(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("n_regionkey")
 
 
+def gen_slices_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the given orders, from three slices of the table made apart."""
+    orders, sizes = _generated(spark, folder, "orders", "orders", "o_orderkey")
+    slices = [generate(spark, "lineitem", sizes, part, 3) for part in (1, 2, 3)]
+    lines = slices[0].unionByName(slices[1]).unionByName(slices[2])
+    given = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    return encode(lines.join(given, "l_orderkey", "left_semi"))
+
+
 def gen_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of generated orders, lines and part suppliers that break a rule: none."""
     lines, sizes = _generated(spark, folder, "lineitem", "orders", "o_orderkey")
@@ -440,5 +449,6 @@ QUERIES: dict[str, Query] = {
     "gen_partsupp": gen_query("partsupp", "part", "p_partkey"),
     "gen_orders": gen_query("orders", "orders", "o_orderkey"),
     "gen_lineitem": gen_query("lineitem", "orders", "o_orderkey"),
+    "gen_slices_lineitem": gen_slices_lineitem,
     "gen_invariants": gen_invariants,
 }
