@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tablefeed.llm.decontaminate import OP13_SQL, op13_benchmark_decontamination
+from tablefeed.llm.divergence import OP11_SQL, op11_source_divergence
 from tablefeed.llm.embed_dedup import OP1_SQL, op1_embedding_near_dedup
 from tablefeed.llm.html import op7_html_extraction
+from tablefeed.llm.interaction import OP12_SQL, op12_filter_interaction
 from tablefeed.llm.minhash import op3_minhash_near_dedup
 from tablefeed.llm.mixing import op2_mixing_sources
 from tablefeed.llm.neighbours import op8_nearest_neighbours
@@ -26,7 +29,15 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_secret_scan,
         op10_best_fit_packing,
+        op11_source_divergence,
+        op12_filter_interaction,
+        op13_benchmark_decontamination,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": OP1_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_filter_interaction": OP12_SQL,
+    "op13_benchmark_decontamination": OP13_SQL,
+}
