@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,13 +28,16 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength()
 
 
-def move(spark: SparkSession, source: str, to: str) -> None:
-    """Put a folder in the place of another, which may be absent."""
-    fs, where = _open(spark, source)
-    _, there = _open(spark, to)
-    fs.delete(there, True)
-    if not fs.rename(where, there):
-        raise OSError(f"could not move {source} to {to}")
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file that is there with all its text or not at all."""
+    fs, where = _open(spark, path)
+    if fs.exists(where):
+        raise OSError(f"{path} is there already")
+    _, draft = _open(spark, f"{path}.draft-{uuid.uuid4().hex}")
+    write_text(spark, draft.toString(), text)
+    if not fs.rename(draft, where):
+        fs.delete(draft, False)
+        raise OSError(f"could not write {path}")
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:

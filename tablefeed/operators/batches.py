@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablefeed import files
 from tablefeed.functions.draws import range_number
+from tablefeed.functions.sizes import row_bytes
 from tablefeed.session import scratch_path
 from tablefeed.sources.generate import ORDINAL, Sizes, row_count, rows_between
 
@@ -35,10 +35,19 @@ class NumberedRows:
 
     def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str], path: str) -> None:
         self.spark, self.path, self.columns = spark, path, df.columns
-        ranged = df.repartitionByRange(chunk_count(spark, df), *order).sortWithinPartitions(*order)
+        # The source runs once: its rows are measured while they are written, and
+        # cut and sorted from these files.
+        made, size = f"{path}-unsorted", Observation()
+        df.observe(
+            size, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")
+        ).write.parquet(made)
+        kept = spark.read.parquet(made)
+        chunks = chunk_count(spark, size.get["rows"], size.get["bytes"] or 0)
+        ranged = kept.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
         position = F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1)
         placed = ranged.withColumns({CHUNK: F.spark_partition_id(), PLACE: position})
         placed.write.partitionBy(CHUNK).parquet(path)
+        files.delete(spark, made)
 
         self.rows = spark.read.schema(placed.schema).parquet(path)
         counts = self.rows.groupBy(CHUNK).count().orderBy(CHUNK).collect()
@@ -62,27 +71,11 @@ class NumberedRows:
         files.delete(self.spark, self.path)
 
 
-def chunk_count(spark: SparkSession, df: DataFrame) -> int:
+def chunk_count(spark: SparkSession, rows: int, size: int) -> int:
     """Chunks of ``CHUNK_BYTES`` or less, by the measured size of the rows."""
-
-    def width(field: T.StructField) -> Column:
-        column, kind = F.col(field.name), field.dataType
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            size = F.octet_length(column)
-        elif isinstance(kind, (T.ArrayType, T.MapType)):
-            size = F.size(column) * 16
-        else:
-            size = F.lit(16)
-        return F.coalesce(size, F.lit(0)).cast("long")
-
-    total = F.lit(0).cast("long")
-    for field in df.schema:
-        total = total + width(field)
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total).alias("bytes")).first()
-    by_size = -(-(size["bytes"] or 0) // CHUNK_BYTES)
     # Small tables still use the cores there are.
-    by_cores = min(spark.sparkContext.defaultParallelism, size["rows"] // 10_000)
-    return max(1, by_size, by_cores)
+    by_cores = min(spark.sparkContext.defaultParallelism, rows // 10_000)
+    return max(1, -(-size // CHUNK_BYTES), by_cores)
 
 
 def numbered(spark: SparkSession, df: DataFrame, order: Sequence[str], path: str | None = None):
@@ -91,8 +84,7 @@ def numbered(spark: SparkSession, df: DataFrame, order: Sequence[str], path: str
     ``order`` must tell any two rows apart. The rows are range-partitioned,
     sorted within partitions and written once with their partition and place in
     it, so that counting the partitions and numbering the rows see the same
-    ones, also after executors are lost. ``df`` is run three times, to measure,
-    sample and write it: write it first if it is costly.
+    ones, also after executors are lost. ``df`` is run once.
     """
     kept = NumberedRows(spark, df, order, path or scratch_path(spark, "numbered"))
     return kept.between(0, kept.total)

@@ -6,9 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefeed.operators.batches import TICK
+from tablefeed.operators.upsert import SHUFFLE, sent_whole
 from tablefeed.specs import TableSpec
 
 CHANGED_BEFORE = "_changed_before"
+MOST = "_most"
+
+
+def tick_counts(changes: DataFrame, spec: TableSpec) -> DataFrame:
+    """Per key its last tick, whether it has earlier ones, and the most rows that one tick has.
+
+    Numbers alone, so that tasks count in hash tables before they send anything;
+    nothing but keys and ticks is read.
+    """
+    each = changes.groupBy(*spec.pk, TICK).agg(F.count(F.lit(1)).alias(MOST))
+    return each.groupBy(*spec.pk).agg(
+        F.max(TICK).alias(TICK),
+        (F.count(F.lit(1)) > 1).alias(CHANGED_BEFORE),
+        F.max(MOST).alias(MOST),
+    )
+
+
+def last_changes(
+    changes: DataFrame, keys: DataFrame, spec: TableSpec, plan: str = SHUFFLE, *more: str
+) -> DataFrame:
+    """The changes at the last tick of their key, by ``tick_counts``, and columns of the latter."""
+    last = keys.select(*spec.pk, TICK, CHANGED_BEFORE, *more)
+    # A hash table over the keys finds them: neither side is sorted.
+    found = changes.join(sent_whole(last, plan), [*spec.pk, TICK])
+    return found.select(*spec.columns, CHANGED_BEFORE, *more)
 
 
 def fold_batches(changes: DataFrame, spec: TableSpec) -> DataFrame:
@@ -16,14 +42,7 @@ def fold_batches(changes: DataFrame, spec: TableSpec) -> DataFrame:
 
     Applying the result equals applying the batches one by one, as a key that
     changed before would have been found by its last batch. Each batch must
-    hold a key once (``require_unique`` on the key and the tick).
+    hold a key once (``require_unique`` on the key and the tick). ``changes`` is
+    read twice, the first time for keys and ticks alone.
     """
-    row = F.struct(TICK, *spec.payload)
-    last = changes.groupBy(*spec.pk).agg(
-        F.max(row).alias("_row"),
-        (F.count(F.lit(1)) > 1).alias(CHANGED_BEFORE),
-    )
-    values = [
-        F.col(c) if c in spec.pk else F.col(f"_row.{c}").alias(c) for c in spec.columns
-    ]
-    return last.select(*values, CHANGED_BEFORE)
+    return last_changes(changes, tick_counts(changes, spec), spec)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablefeed.sources.tables import written
 from tablefeed.specs import TableSpec
 
 
@@ -36,17 +37,44 @@ def require_absent(df: DataFrame, existing: DataFrame, key: Sequence[str], what:
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per key the row that is largest by ``order``, compared column by column.
-
-    An aggregate, not a window: each task sends at most one row per key. Rows
-    alike in ``order`` are told apart by their other columns, in column order;
-    all columns must be of types that can be compared.
+    """Per key the row that is largest by ``order``, compared column by column; nulls are least.
+
+    Rows alike in ``order`` are told apart by their other columns, in column order;
+    all columns must be of types that can be compared. The largest value of the
+    first column and the number of rows that have it are counted for each key,
+    from key and value alone, and written; a hash table of them then finds the
+    rows. Only keys that several such rows share go on to the next column. Nothing
+    is sorted, but for text among the order's columns, and the rows of a hot key
+    are spread over tasks by their values.
     """
-    rest = [c for c in df.columns if c not in key and c not in order]
-    # The row is its own rank, so each value is carried once.
-    row = F.struct(*[c for c in order if c not in key], *rest)
-    best = df.groupBy(*key).agg(F.max(row).alias("_row"))
-    return best.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    columns = [c for c in order if c not in key]
+    columns += [c for c in df.columns if c not in key and c not in columns]
+    return _latest(df, list(key), columns)
+
+
+def _latest(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    if not columns:
+        return df.distinct()
+    first, *others = columns
+    names = {c: f"_key_{i}" for i, c in enumerate(key)}
+    values = df.groupBy(*key, F.col(first).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    # Without any value that is not null, the nulls are the largest.
+    alike = F.coalesce(F.max_by("_rows", "_value"), F.sum("_rows"))
+    tops = values.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(
+        F.max("_value").alias("_top"), alike.alias("_alike")
+    )
+    tops = written(df.sparkSession, tops, "latest")
+
+    def at_top(which: DataFrame) -> DataFrame:
+        same = [df[c].eqNullSafe(which[n]) for c, n in names.items()]
+        found = df.join(which.hint("shuffle_hash"), [*same, df[first].eqNullSafe(which["_top"])])
+        return found.select(*(df[c] for c in df.columns))
+
+    latest, tied = at_top(tops.where("_alike = 1")), tops.where("_alike > 1")
+    if tied.isEmpty():
+        return latest
+    rest = written(df.sparkSession, at_top(tied), "tied")
+    return latest.unionByName(_latest(rest, key, others))
 
 
 def required_columns(spec: TableSpec) -> list[str]:

@@ -417,6 +417,35 @@ UNION ALL SELECT 'partsupp', 4 * {PARTS}, FALSE
 UNION ALL SELECT 'orders', {ORDERS}, FALSE
 UNION ALL SELECT 'lineitem', (SELECT count(*) FROM ({order_lines()})), FALSE"""
 
+CDC_FILES_ORDERS = f"""
+WITH c AS (
+    SELECT o_orderkey * 2 AS o_orderkey, o_custkey, o_orderstatus,
+           CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END + 100 AS o_totalprice,
+           o_orderdate, o_orderpriority, o_orderkey % 3 = 0 AS twice
+    FROM orders)
+SELECT {ORDER_COLUMNS} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c)
+UNION ALL
+SELECT c.o_orderkey, c.o_custkey, c.o_orderstatus, c.o_totalprice, c.o_orderdate,
+       CASE WHEN twice OR t.o_orderkey IS NOT NULL
+            THEN left(c.o_orderpriority, 40) || ' CDC:{NOW}' ELSE c.o_orderpriority END
+FROM c LEFT JOIN orders t ON t.o_orderkey = c.o_orderkey"""
+
+# The first run changes all orders in two sets, in order of their keys; the other comes between.
+CDC_RESUMED_ORDERS = f"""
+WITH n AS (SELECT (count(*) + 999) // 1000 AS ticks FROM orders),
+a AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) > (ticks + 1) // 2 * 1000 AS late FROM orders, n),
+b AS ({ORDER_CHANGES})
+SELECT a.o_orderkey,
+       CASE WHEN late OR b.o_orderkey IS NULL THEN a.o_custkey ELSE b.o_custkey END AS o_custkey,
+       CASE WHEN late OR b.o_orderkey IS NULL THEN a.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+       CASE WHEN late OR b.o_orderkey IS NULL THEN a.o_totalprice * 2 ELSE b.o_totalprice END AS o_totalprice,
+       CASE WHEN late OR b.o_orderkey IS NULL THEN a.o_orderdate ELSE b.o_orderdate END AS o_orderdate,
+       CASE WHEN late OR b.o_orderkey IS NULL THEN left(a.o_orderpriority, 40) || ' CDC:{NOW}'
+            ELSE left(b.o_orderpriority, 40) || ' CDC:2024-01-01 00:00:01.000' END AS o_orderpriority
+FROM a LEFT JOIN b ON a.o_orderkey = b.o_orderkey
+UNION ALL
+SELECT {ORDER_COLUMNS} FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)"""
+
 RULES = [
     "order_without_lines", "order_total", "order_status", "ship_before_order", "customer_of_three",
     "customer_range", "receipt_before_ship", "part_range", "supplier_range", "line_not_offered",
@@ -456,6 +485,8 @@ ORACLES: dict[str, str] = {
         "orders", "o_orderkey", ORDER_CHANGES, "o_orderpriority",
         "o_custkey, o_orderstatus, o_totalprice, o_orderdate", 1000,
     ),
+    "cdc_files_orders": CDC_FILES_ORDERS,
+    "cdc_resumed_orders": CDC_RESUMED_ORDERS,
     "cdc_progress": """
 WITH t AS (SELECT 'orders' AS table_name, count(*) AS operations FROM orders
            UNION ALL SELECT 'customer', count(*) FROM customer)

@@ -48,9 +48,11 @@ def apply_batches(
     A run that broke off goes on where it stopped if called again with the same
     arguments and ``run``, a name of its own; without one, every call is a new run.
     """
-    run = run or f"run-{uuid.uuid4().hex}"
+    name = run or f"run-{uuid.uuid4().hex}"
     for number, low in enumerate(range(first, end, ticks_per_set)):
-        feed.apply_ticks(low, min(low + ticks_per_set, end), number, run)
+        feed.apply_ticks(low, min(low + ticks_per_set, end), number, name)
+    if run is None:
+        feed.sink.end_feed(feed.spec, name)
 
 
 def progress(spark: SparkSession, feeds: Sequence[Feed]) -> DataFrame:

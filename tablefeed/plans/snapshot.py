@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import threading
+import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -17,6 +19,7 @@ from tablefeed.specs import TableSpec, select_tables
 log = logging.getLogger(__name__)
 
 REPORT = "table_name string, loaded_rows long, error string"
+CANCEL_SECONDS = 0.2
 
 # With fewer suppliers the standard formula for partsupp repeats keys at some scale
 # factors; such a table fails to load, and another scale factor has to be chosen.
@@ -72,8 +75,10 @@ def run_snapshot(
 ) -> DataFrame:
     """Load the tables and report (table_name, loaded_rows, error).
 
-    A failure to drop or create a table ends the job. A failed load is reported
-    and the other tables carry on; with ``strict`` it is raised at the end.
+    All tables are loaded at once, each in a scheduler pool of its own, so that small
+    ones don't wait for large ones where the scheduler is fair. A failure to drop or
+    create a table ends the job. A failed load is reported and the other tables carry
+    on; with ``strict`` the other loads are cancelled, and then it is raised.
     """
     if drop:
         for load in loads:
@@ -82,19 +87,53 @@ def run_snapshot(
         sink.create_table(load.spec)
     if create_only:
         return spark.createDataFrame([], REPORT)
+    report = _load_all(spark, sink, loads, strict)
+    failed = [name for name, _, error in report if error]
+    if strict and failed:
+        raise LoadError(f"not loaded: {', '.join(failed)}")
+    return spark.createDataFrame(report, REPORT)
+
+
+Outcome = tuple[str, int | None, str | None]
 
-    def attempt(load: Load) -> tuple[str, int | None, str | None]:
+
+def _load_all(
+    spark: SparkSession, sink: Sink, loads: Sequence[Load], strict: bool
+) -> list[Outcome]:
+    context, tag = spark.sparkContext, f"snapshot-{uuid.uuid4().hex}"
+    broken = threading.Event()
+
+    def attempt(load: Load) -> Outcome:
+        name = load.spec.name
+        if broken.is_set():
+            return name, None, "cancelled: another table failed"
+        context.setLocalProperty("spark.scheduler.pool", name)
+        context.setInterruptOnCancel(True)
+        context.addJobTag(tag)
         try:
             rows = load_table(sink, load)
         except Exception as failure:
-            log.error("%s was not loaded: %s", load.spec.name, failure)
-            return load.spec.name, None, f"{type(failure).__name__}: {failure}"
-        log.info("%s: loaded %d rows", load.spec.name, rows)
-        return load.spec.name, rows, None
+            if broken.is_set():
+                return name, None, "cancelled: another table failed"
+            if strict:
+                broken.set()
+            log.error("%s was not loaded: %s", name, failure)
+            return name, None, f"{type(failure).__name__}: {failure}"
+        finally:
+            context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
+            context.setLocalProperty("spark.scheduler.pool", None)
+        log.info("%s: loaded %d rows", name, rows)
+        return name, rows, None
 
     with ThreadPoolExecutor(max_workers=max(len(loads), 1)) as pool:
-        report = list(pool.map(inheritable_thread_target(spark)(attempt), loads))
-    failed = [name for name, _, error in report if error]
-    if strict and failed:
-        raise LoadError(f"not loaded: {', '.join(failed)}")
-    return spark.createDataFrame(report, REPORT)
+        running: list[Future[Outcome]] = [
+            pool.submit(inheritable_thread_target(spark)(attempt), load) for load in loads
+        ]
+        left = set(running)
+        while left:
+            left = wait(left, timeout=CANCEL_SECONDS).not_done
+            if broken.is_set():
+                # Again and again: a load may be between two jobs.
+                context.cancelJobsWithTag(tag)
+        return [outcome.result() for outcome in running]

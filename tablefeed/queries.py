@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ from tablefeed.operators.keys import (
     duplicate_keys,
     latest_per_key,
     null_counts,
-    require_unique,
 )
 from tablefeed.operators.upsert import SHUFFLE, measure_changes, plan_for, upsert, upsert_counts
 from tablefeed.plans.cdc import Feed, apply_batches, progress
@@ -39,6 +39,7 @@ from tablefeed.sources.generate import BUILDERS, ORDINAL, Sizes, generate
 from tablefeed.sources.tables import read_table, sizes_of, spec_of, written
 from tablefeed.specs import TABLES, TableSpec
 from tablefeed.streaming.feed import RunningFeed
+from tablefeed.streaming.file_feed import FileFeed
 
 NOW = "2024-01-01 00:00:00.000"
 BATCH_ROWS = 1000
@@ -71,7 +72,6 @@ def checked_upsert(
     target: DataFrame, changes: DataFrame, spec: TableSpec, now: str | None = None
 ) -> DataFrame:
     """An upsert by the plan that the measured size of the changes allows."""
-    require_unique(changes, spec.pk, f"changes of {spec.name}")
     return upsert(target, changes, spec, now, plan_for(measure_changes(changes, spec)))
 
 
@@ -111,7 +111,8 @@ def upsert_raw_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of unique keys over the lines as given, whose keys repeat."""
     latest, spec = unique_lineitem(spark, folder)
     changes = latest.withColumn("l_quantity", F.col("l_quantity") + 1).where("l_linenumber <= 3")
-    return upsert(read_table(spark, folder, "lineitem"), changes, spec, plan=SHUFFLE)
+    lines = read_table(spark, folder, "lineitem")
+    return upsert(lines, changes, spec, plan=SHUFFLE, repeats=True)
 
 
 def upsert_counts_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,6 +263,22 @@ def _loaded_sink(spark: SparkSession, spec: TableSpec, rows: DataFrame) -> Parqu
     return sink
 
 
+class BrokenOff(RuntimeError):
+    """Stands for the end of a driver between the rows of a set and its record."""
+
+
+class _BreaksOff(ParquetSink):
+    """The same tables, until the first set but one has written its rows."""
+
+    def __init__(self, sink: ParquetSink) -> None:
+        super().__init__(sink.spark, sink.root)
+
+    def _write(self, rows: DataFrame, spec: TableSpec, number: int) -> None:
+        super()._write(rows, spec, number)
+        if self._log(spec).current().feeds:
+            raise BrokenOff
+
+
 def _one_and_a_half_passes(feed: Feed) -> tuple[int, int]:
     """Ticks to run, and ticks in each of three sets."""
     ticks = feed.source.batches(feed.pace.batch_rows) * 3 // 2
@@ -309,6 +326,50 @@ def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     return feed.sink.read(spec)
 
 
+def cdc_files_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Change files of orders, some keys in two of them; the stream starts twice.
+
+    The files that the first start finds hold every order with its key doubled; those
+    that come before the second, every third of these again.
+    """
+    orders = read_table(spark, folder, "orders")
+    spec = spec_of(orders, "orders", comment="o_orderpriority")
+    sink, arriving = _loaded_sink(spark, spec, orders), scratch_path(spark, "arriving")
+    feed = FileFeed(spec, arriving, sink, "version", 4, lambda number: clock(0))
+    checkpoint = scratch_path(spark, "stream")
+    again = orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    for version, rows in enumerate((orders, again)):
+        changes = order_changes(rows).withColumn("version", F.lit(version).cast("long"))
+        changes.repartition(6, "o_orderkey").write.mode("append").parquet(arriving)
+        feed.start(spark, checkpoint).awaitTermination()
+    return sink.read(spec)
+
+
+def cdc_resumed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs over one table; the first breaks off in its second set and goes on after the other.
+
+    What it had half done must not come back over what the other has changed meanwhile.
+    """
+    orders = read_table(spark, folder, "orders")
+    spec = spec_of(orders, "orders", comment="o_orderpriority")
+    sink, pace = _loaded_sink(spark, spec, orders), Pace(spec.name, 10_000)
+    dearer = orders.withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    first = TableChanges(spark, dearer, spec.pk)
+    other = TableChanges(spark, order_changes(orders), spec.pk)
+    feed = Feed(spec, first, sink, pace, lambda number: clock(0))
+    ticks = first.batches(pace.batch_rows)
+    half = -(-ticks // 2)
+    try:
+        apply_batches(replace(feed, sink=_BreaksOff(sink)), 0, ticks, half, "first")
+    except BrokenOff:
+        pass
+    apply_batches(Feed(spec, other, sink, pace, lambda number: clock(1)), 0, ticks, ticks)
+    apply_batches(feed, 0, ticks, half, "first")
+    first.close()
+    other.close()
+    return sink.read(spec)
+
+
 def cdc_progress(spark: SparkSession, folder: str) -> DataFrame:
     """One pass of generated rows, as many as there are given ones, over empty tables."""
     sizes = sizes_of(spark, folder)
@@ -440,6 +501,8 @@ QUERIES: dict[str, Query] = {
     "cdc_after_k_batches": cdc_after_k_batches,
     "cdc_two_feeds_documents": cdc_two_feeds_documents,
     "cdc_stream_orders": cdc_stream_orders,
+    "cdc_files_orders": cdc_files_orders,
+    "cdc_resumed_orders": cdc_resumed_orders,
     "cdc_progress": cdc_progress,
     "gen_region": gen_region,
     "gen_nation": gen_nation,

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A task that meets few key ranges writes them side by side instead of sorting.
     "spark.sql.maxConcurrentOutputFileWriters": "16",
+    # Tables that are loaded at once, and feeds, get equal shares.
+    "spark.scheduler.mode": "FAIR",
 }
 
 

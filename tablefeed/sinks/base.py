@@ -117,3 +117,6 @@ class Sink:
     def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
         """The number of a feed's last set applied since the table was filled anew, or -1."""
         raise NotImplementedError
+
+    def end_feed(self, spec: TableSpec, feed: str) -> None:
+        """A feed will not go on: its totals are kept, its name is forgotten."""

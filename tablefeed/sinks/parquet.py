@@ -1,28 +1,32 @@
-"""Tables as Parquet folders, one sub-folder per range of the first key column.
+"""Tables as Parquet folders, one sub-folder per range of the key.
 
-A set of changes rewrites only the key ranges it touches. The new content of
-those ranges is first written in full beside the table, then swapped in, then
-recorded as applied; each step can be repeated after a failure, so a set takes
-effect once. One writer per table; readers see a mix of old and new ranges
-while a swap runs.
+A set of changes rewrites only the key ranges it touches. Its files count from
+the moment that its record is written (``sets``): all of them, once, and never
+if it broke off before. Readers see the table as it was when they opened it, and
+have the time until the set after the next begins to read it. One writer per
+table at a time; feeds of one application take turns.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import threading
 import time
+import uuid
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablefeed import files
-from tablefeed.functions.draws import range_number
+from tablefeed.functions.sizes import row_bytes
 from tablefeed.functions.text import decode, encode
 from tablefeed.operators.batches import TICK
-from tablefeed.operators.fold import CHANGED_BEFORE, fold_batches
+from tablefeed.operators.fold import CHANGED_BEFORE, last_changes, tick_counts
 from tablefeed.operators.keys import require_absent, require_unique, require_values
 from tablefeed.operators.upsert import (
     EFFECT,
@@ -35,19 +39,16 @@ from tablefeed.operators.upsert import (
 )
 from tablefeed.session import scratch_path
 from tablefeed.sinks.base import Applied, Sink, Totals
+from tablefeed.sinks.ranges import RANGE, RANGE_BYTES, Layout, sampled_starts
+from tablefeed.sinks.sets import DELETING, SET, SetLog, State
 from tablefeed.sources.generate import Sizes
 from tablefeed.specs import TableSpec
 
-RANGE = "_key_range"
-
-# Keys in a range unless the sink is told otherwise: a million rows or so of a
-# table with dense keys. See ``range_widths`` for the generated tables.
-DEFAULT_WIDTH = 1_000_000
-
-# A range is read and rewritten as a whole, so it should hold few rows; but each
-# is a folder that has to be listed, so there should not be too many.
+# A range is read and rewritten as a whole, so it should hold few rows.
 ROWS_PER_RANGE = 500_000
-RANGES_PER_TABLE = 20_000
+
+_turns: dict[str, threading.RLock] = {}
+_turns_guard = threading.Lock()
 
 
 def range_widths(sizes: Sizes) -> dict[str, int]:
@@ -63,7 +64,7 @@ def range_widths(sizes: Sizes) -> dict[str, int]:
     }
     widths = {}
     for name, (keys, rows_per_key) in tables.items():
-        ranges = min(math.ceil(keys * rows_per_key / ROWS_PER_RANGE), RANGES_PER_TABLE)
+        ranges = math.ceil(keys * rows_per_key / ROWS_PER_RANGE)
         widths[name] = math.ceil(keys / ranges)
     return widths
 
@@ -89,119 +90,186 @@ def text(value: str) -> str:
 
 
 class ParquetSink(Sink):
+    """Tables below a folder.
+
+    ``widths`` names the tables whose first key column has dense integers, and how
+    many of these make a range. Other tables are cut by their whole key when they
+    are first filled, and where they grow, into ranges of ``range_bytes``.
+    """
+
     def __init__(
         self,
         spark: SparkSession,
         root: str | None = None,
         staged: bool = False,
         widths: dict[str, int] | None = None,
+        range_bytes: int = RANGE_BYTES,
     ) -> None:
         self.spark = spark
         self.root = root or scratch_path(spark, "tables")
         self.staged = staged
         self.widths = widths or {}
-        self._known_widths: dict[str, int] = {}
+        self.range_bytes = range_bytes
 
     # -- layout ---------------------------------------------------------------
 
     def path(self, spec: TableSpec) -> str:
         return f"{self.root}/{spec.name}"
 
-    def _ledger(self, spec: TableSpec) -> str:
-        return f"{self.root}/_applied/{spec.name}"
-
-    def key_range(self, spec: TableSpec) -> Column:
-        first = spec.pk[0]
-        if not isinstance(spec.schema[first].dataType, (T.LongType, T.IntegerType, T.ShortType)):
-            raise TypeError(f"{spec.name}.{first} must be an integer to be split into ranges")
-        return range_number(first, self.width(spec))
-
-    def width(self, spec: TableSpec) -> int:
-        """Keys in a range, as fixed when the table was created."""
-        if spec.name not in self._known_widths:
-            stored = files.read_text(self.spark, self._layout(spec))
-            self._known_widths[spec.name] = json.loads(stored)["width"]
-        return self._known_widths[spec.name]
-
-    def _layout(self, spec: TableSpec) -> str:
-        return f"{self.root}/_layout/{spec.name}.json"
-
-    def _stored_schema(self, spec: TableSpec) -> T.StructType:
+    def _state_folder(self, spec: TableSpec) -> str:
+        return f"{self.root}/_state/{spec.name}"
+
+    def _log(self, spec: TableSpec) -> SetLog:
+        return SetLog(self.spark, f"{self._state_folder(spec)}/sets", self.path(spec))
+
+    def _layout_path(self, spec: TableSpec, number: int) -> str:
+        return f"{self._state_folder(spec)}/layout-{number}.json"
+
+    def layout(self, spec: TableSpec, state: State | None = None) -> Layout:
+        """How the table is cut now."""
+        number = (state or self._log(spec).current()).layout
+        return Layout.read(files.read_text(self.spark, self._layout_path(spec, number)))
+
+    def _new_layout(self, spec: TableSpec, layout: Layout) -> int:
+        """Keep a layout, for the next record to name. Those that no record names stay unused."""
+        kept = files.names(self.spark, self._state_folder(spec))
+        numbers = [int(n[len("layout-") : -len(".json")]) for n in kept if n.startswith("layout-")]
+        number = max(numbers, default=-1) + 1
+        files.publish_text(self.spark, self._layout_path(spec, number), layout.text())
+        return number
+
+    @contextmanager
+    def _turn(self, spec: TableSpec) -> Iterator[None]:
+        """Feeds of this application change the table one after the other."""
+        with _turns_guard:
+            turn = _turns.setdefault(self.path(spec), threading.RLock())
+        with turn:
+            yield
+
+    @contextmanager
+    def _work(self, spec: TableSpec) -> Iterator[str]:
+        """A folder for the time of one write."""
+        path = f"{self.root}/_work/{spec.name}-{uuid.uuid4().hex}"
+        try:
+            yield path
+        finally:
+            files.delete(self.spark, path)
+
+    def _stored_schema(self, spec: TableSpec, *parts: str) -> T.StructType:
         columns = [T.StructField(f.name, f.dataType) for f in spec.schema]
-        return T.StructType([*columns, T.StructField(RANGE, T.LongType())])
+        return T.StructType([*columns, *(T.StructField(c, T.LongType()) for c in parts)])
 
     def _empty(self, spec: TableSpec) -> DataFrame:
-        columns = self._stored_schema(spec)
-        return self.spark.range(0).select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in columns]
-        )
+        return self.spark.createDataFrame([], self._stored_schema(spec, RANGE, SET))
 
-    def _open(self, spec: TableSpec, path: str) -> DataFrame:
-        return self.spark.read.schema(self._stored_schema(spec)).parquet(path)
+    def _rows(self, spec: TableSpec, state: State, ranges: Iterable[int] | None = None) -> DataFrame:
+        """The rows that count, of all ranges or some; no folder of another range is opened."""
+        base = self.path(spec)
+        paths = [base]
+        if ranges is not None:
+            wanted = {f"{RANGE}={number}" for number in ranges}
+            paths = [f"{base}/{name}" for name in files.names(self.spark, base) if name in wanted]
+            if not paths:
+                return self._empty(spec).drop(SET)
+        reader = self.spark.read.schema(self._stored_schema(spec, RANGE, SET))
+        return reader.option("basePath", base).parquet(*paths).where(state.counts()).drop(SET)
 
     def read(self, spec: TableSpec) -> DataFrame:
-        return self._open(spec, self.path(spec)).select(*spec.columns)
+        """The table as it is now. The rows can be read until the set after the next one begins."""
+        return self._rows(spec, self._log(spec).current()).select(*spec.columns)
 
     # -- tables ---------------------------------------------------------------
 
     def create_table(self, spec: TableSpec) -> None:
-        if not files.exists(self.spark, self._layout(spec)):
-            width = self.widths.get(spec.name, DEFAULT_WIDTH)
-            files.write_text(self.spark, self._layout(spec), json.dumps({"width": width}))
-        empty = self._empty(spec)
-        empty.write.mode("ignore").partitionBy(RANGE).parquet(self.path(spec))
+        if self._log(spec).current().revision < 0:
+            self._create(spec, self.widths.get(spec.name))
+
+    def _create(self, spec: TableSpec, width: int | None) -> None:
+        layout = Layout(width)
+        layout.check(spec)
+        self._empty(spec).write.mode("ignore").partitionBy(RANGE, SET).parquet(self.path(spec))
+        self._log(spec).put(State(layout=self._new_layout(spec, layout)))
 
     def register(self, spec: TableSpec, name: str) -> None:
         """Make the table known to the session catalog, with its key as a property.
 
         ``name`` may have a database in front. The catalog keeps a list of the
-        key ranges, so call this again after new ones were written.
+        folders, so call this again after the table has changed.
         """
         quoted = ".".join(quote(part) for part in name.split("."))
         columns = ", ".join(
-            f"{quote(f.name)} {f.dataType.simpleString()}" for f in self._stored_schema(spec)
+            f"{quote(f.name)} {f.dataType.simpleString()}"
+            for f in self._stored_schema(spec, RANGE, SET)
         )
         properties = {"primary_key": ", ".join(spec.pk), "comment_column": spec.comment or ""}
         listed = ", ".join(f"'{key}' = {text(value)}" for key, value in properties.items())
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {quoted} ({columns}) USING parquet "
-            f"PARTITIONED BY ({RANGE}) LOCATION {text(self.path(spec))} TBLPROPERTIES ({listed})"
-        )
-        self.spark.sql(f"MSCK REPAIR TABLE {quoted}")
-
-    def _forget(self, spec: TableSpec) -> None:
-        """No set of any feed counts as applied, and none is half done."""
-        files.delete(self.spark, self._ledger(spec))
-        files.delete(self.spark, self._pending(spec))
+        with self._turn(spec):
+            # Only rows that count are left, so the catalog needs no condition.
+            self._log(spec).begin()
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {quoted} ({columns}) USING parquet PARTITIONED BY "
+                f"({RANGE}, {SET}) LOCATION {text(self.path(spec))} TBLPROPERTIES ({listed})"
+            )
+            self.spark.sql(f"MSCK REPAIR TABLE {quoted} SYNC PARTITIONS")
 
     def drop_table(self, spec: TableSpec) -> None:
-        self._forget(spec)
-        files.delete(self.spark, self.path(spec))
-        files.delete(self.spark, self._layout(spec))
-        self._known_widths.pop(spec.name, None)
+        with self._turn(spec):
+            files.delete(self.spark, self._state_folder(spec))
+            files.delete(self.spark, self.path(spec))
 
     def truncate_table(self, spec: TableSpec) -> None:
-        self._forget(spec)
-        overwrite = self._empty(spec).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        overwrite.partitionBy(RANGE).parquet(self.path(spec))
+        """Empty the table; no set of any feed counts as applied any more."""
+        with self._turn(spec):
+            width = self.layout(spec).width
+            self.drop_table(spec)
+            self._create(spec, width)
 
     def append(self, df: DataFrame, spec: TableSpec, keyed: bool = False) -> int:
         df = df.select(*spec.columns)
-        if not keyed:
-            require_unique(df, spec.pk, spec.name)
-        ranged = df.withColumn(RANGE, self.key_range(spec))
-        if not self.read(spec).isEmpty():
-            existing = self._touched(spec, self._ranges(ranged))
-            require_absent(df, existing, spec.pk, spec.name)
-        seen = Observation()
-        rows = require_values(df, spec).withColumn(RANGE, self.key_range(spec))
-        if not keyed:
-            # Few files per range, and a range with very many rows is split over tasks.
-            rows = rows.hint("rebalance", RANGE)
-        # Counted after the shuffle: a task before it may run, and count, twice.
-        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        rows.write.mode("append").partitionBy(RANGE).parquet(self.path(spec))
-        return seen.get["rows"]
+        if keyed and self.layout(spec).width is not None:
+            return self._append(df, spec, keyed=True)
+        with self._work(spec) as path:
+            # The rows may come from anywhere: they are made once.
+            require_values(df, spec).write.parquet(path)
+            return self._append(self.spark.read.parquet(path), spec, keyed)
+
+    def _append(self, df: DataFrame, spec: TableSpec, keyed: bool) -> int:
+        """Add rows, which are read several times unless they are ``keyed`` and new."""
+        with self._turn(spec):
+            state, number = self._log(spec).begin()
+            empty = self._rows(spec, state).isEmpty()
+            if not keyed:
+                require_unique(df, spec.pk, spec.name)
+            layout = self.layout(spec, state)
+            if empty and layout.width is None:
+                layout = self._first_layout(df, spec)
+                state = replace(state, layout=self._new_layout(spec, layout))
+            ranged = layout.range_of(spec)
+            if not empty:
+                touched = self._ranges(df.select(ranged.alias(RANGE)))
+                self._log(spec).touches(number, touched)
+                require_absent(df, self._rows(spec, state, touched), spec.pk, spec.name)
+            seen = Observation()
+            rows = require_values(df, spec).withColumn(RANGE, ranged)
+            if not keyed:
+                # Few files per range, and a range with very many rows is split over tasks.
+                rows = rows.hint("rebalance", RANGE)
+            # Counted after the shuffle: a task before it may run, and count, twice.
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+            self._write(rows, spec, number)
+            count = seen.get["rows"]
+            self._log(spec).commit(state, number, [])
+            return count
+
+    def _write(self, rows: DataFrame, spec: TableSpec, number: int) -> None:
+        placed = rows.withColumn(SET, F.lit(number).cast("long"))
+        placed.write.mode("append").partitionBy(RANGE, SET).parquet(self.path(spec))
+
+    def _first_layout(self, df: DataFrame, spec: TableSpec) -> Layout:
+        size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")).first()
+        parts = -(-(size["bytes"] or 0) // self.range_bytes)
+        starts = sampled_starts(df, spec.pk, size["rows"], parts)
+        return Layout(None, tuple(starts), tuple(range(len(starts) + 1)))
 
     # -- staging --------------------------------------------------------------
 
@@ -221,91 +289,80 @@ class ParquetSink(Sink):
         return decode(self.spark.read.schema(schema).parquet(staging), spec.schema)
 
     def copy_staged(self, spec: TableSpec, staging: str, keyed: bool = False) -> None:
-        self.append(self.staged_rows(spec, staging), spec, keyed)
+        self._append(self.staged_rows(spec, staging).select(*spec.columns), spec, keyed)
 
     def drop_staging(self, staging: str) -> None:
         files.delete(self.spark, staging)
 
     # -- changes --------------------------------------------------------------
 
-    def _pending(self, spec: TableSpec) -> str:
-        return f"{self.root}/_pending/{spec.name}"
-
     def last_applied(self, spec: TableSpec, feed: str = "feed") -> int:
-        folder = f"{self._ledger(spec)}/{feed}"
-        done = [name.removesuffix(".json") for name in files.names(self.spark, folder)]
-        return max((int(number) for number in done if number.isdigit()), default=-1)
-
-    def _feed_totals(self, spec: TableSpec, feed: str) -> Totals:
-        last = self.last_applied(spec, feed)
-        if last < 0:
-            return Totals()
-        path = f"{self._ledger(spec)}/{feed}/{last:020d}.json"
-        return Totals(**json.loads(files.read_text(self.spark, path)))
+        return self._log(spec).current().last(feed)
 
     def totals(self, spec: TableSpec) -> Totals:
-        feeds = files.names(self.spark, self._ledger(spec))
-        return Totals.of_all([self._feed_totals(spec, feed) for feed in feeds])
-
-    def _record(self, spec: TableSpec, number: int, feed: str, rows: int, began: float) -> None:
-        """The newest set of a feed, with the totals up to it."""
-        totals = self._feed_totals(spec, feed).and_then(rows, began, time.time())
-        folder = f"{self._ledger(spec)}/{feed}"
-        older = files.names(self.spark, folder)
-        name = f"{number:020d}.json"
-        files.write_text(self.spark, f"{folder}/{name}", json.dumps(vars(totals)))
-        for other in older:
-            if other != name:
-                files.delete(self.spark, f"{folder}/{other}")
+        return self._log(spec).current().totals()
+
+    def end_feed(self, spec: TableSpec, feed: str) -> None:
+        with self._turn(spec):
+            state = self._log(spec).current()
+            if feed in state.feeds:
+                self._log(spec).put(state.without_feed(feed))
 
     def apply(
         self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
     ) -> Applied:
-        if number <= self.last_applied(spec, feed):
-            return Applied(0, 0, 0)
-        began = time.time()
-        work = f"{self._pending(spec)}/{feed}-{number}"
-        summary = f"{work}/summary.json"
-        if not files.exists(self.spark, summary):
-            files.delete(self.spark, work)
-            effect = self._prepare(changes, spec, now_text, work)
-            files.write_text(self.spark, summary, json.dumps(vars(effect)))
-        effect = Applied(**json.loads(files.read_text(self.spark, summary)))
-        self._swap(spec, f"{work}/rows")
-        self._record(spec, number, feed, effect.rows, began)
-        files.delete(self.spark, work)
-        if not files.names(self.spark, self._pending(spec)):
-            files.delete(self.spark, self._pending(spec))
-        return effect
-
-    def _prepare(
-        self, changes: DataFrame, spec: TableSpec, now_text: str, work: str
-    ) -> Applied:
-        """Write the new content of every range the changes touch, once."""
+        with self._turn(spec), self._work(spec) as work:
+            state = self._log(spec).current()
+            if number <= state.last(feed):
+                return Applied(0, 0, 0)
+            began = time.time()
+            state, set_number = self._log(spec).begin()
+            effect, touched, layout = self._write_set(changes, spec, state, set_number, now_text, work)
+            totals = state.feed_totals(feed).and_then(effect.rows, began, time.time())
+            state = replace(state.with_feed(feed, number, totals), layout=layout)
+            self._log(spec).commit(state, set_number, touched)
+            return effect
+
+    def _write_set(
+        self, changes: DataFrame, spec: TableSpec, state: State, number: int, now_text: str, work: str
+    ) -> tuple[Applied, set[int], int]:
+        """Write the new content of every range the changes touch; also these, and the layout."""
         measured = Observation()
         rows = require_values(changes.select(*spec.columns, TICK), spec)
         ticks = [F.min(TICK).alias("first"), F.max(TICK).alias("last")]
+        ticks.append(F.avg(row_bytes(spec.schema)).alias("row_bytes"))
         rows.observe(measured, *size_measures(spec), *ticks).write.parquet(f"{work}/changes")
         got = measured.get
         if got["rows"] == 0:
-            return Applied(0, 0, 0)
+            return Applied(0, 0, 0), set(), state.layout
         staged = self.spark.read.parquet(f"{work}/changes")
-        require_unique(staged, [*spec.pk, TICK], f"changes of {spec.name}")
 
-        before = None
-        if got["first"] != got["last"]:
-            fold_batches(staged, spec).write.parquet(f"{work}/folded")
-            staged, before = self.spark.read.parquet(f"{work}/folded"), CHANGED_BEFORE
-        staged = staged.withColumn(RANGE, self.key_range(spec))
+        # One pass over the keys: are they unique in each batch, which change of
+        # each is the last, and which ranges are they in.
+        layout, keyed = self.layout(spec, state), Observation()
+        keys = tick_counts(staged, spec).withColumn(RANGE, layout.range_of(spec))
+        found = [F.max("_most").alias("most"), F.collect_set(RANGE).alias("ranges")]
+        keys.observe(keyed, *found).write.parquet(f"{work}/keys")
+        if keyed.get["most"] > 1:
+            require_unique(staged, [*spec.pk, TICK], f"changes of {spec.name}")
+        keys, touched = self.spark.read.parquet(f"{work}/keys"), set(keyed.get["ranges"])
+        self._log(spec).touches(number, touched)
+
+        plan = plan_for(ChangeSize(got["rows"], got["key_bytes"]))
+        several = got["first"] != got["last"]
+        last = last_changes(staged, keys, spec, plan, RANGE)
+        target = self._rows(spec, state, touched)
+        stored = replace(spec, schema=self._stored_schema(spec, RANGE))
+        grown, named = self._cut_grown(spec, layout, target, keys, got["row_bytes"]), state.layout
+        if grown != layout:
+            named = self._new_layout(spec, grown)
+            last = last.withColumn(RANGE, grown.range_of(spec))
+            target = target.withColumn(RANGE, grown.range_of(spec))
+            new = set(grown.numbers) - set(layout.numbers)
+            self._log(spec).touches(number, touched | new)
+        before = CHANGED_BEFORE if several else None
         result = upsert(
-            self._touched(spec, self._ranges(staged)),
-            staged,
-            replace(spec, schema=self._stored_schema(spec)),
-            now_text,
-            plan_for(ChangeSize(got["rows"], got["key_bytes"])),
-            before,
-            EFFECT,
-            gather=RANGE,
+            target, last, stored, now_text, plan, before, EFFECT, RANGE, keys.select(*spec.pk)
         )
         counts = Observation()
         result = result.observe(
@@ -313,28 +370,34 @@ class ParquetSink(Sink):
             F.count_if(F.col(EFFECT) == INSERTED).alias("inserted"),
             F.count_if(F.col(EFFECT) == UPDATED).alias("updated"),
         )
-        result.drop(EFFECT).write.partitionBy(RANGE).parquet(f"{work}/rows")
-        return Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
+        self._write(result.drop(EFFECT), spec, number)
+        effect = Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
+        return effect, touched, named
 
-    def _ranges(self, rows: DataFrame) -> set[int]:
-        """The key ranges of some rows: no more than there are folders to be listed or made."""
-        return {row[RANGE] for row in rows.select(RANGE).distinct().collect()}
+    def _cut_grown(
+        self, spec: TableSpec, layout: Layout, target: DataFrame, keys: DataFrame, row: float
+    ) -> Layout:
+        """The layout with those ranges cut that hold too much, or would with all keys of the changes.
 
-    def _touched(self, spec: TableSpec, ranges: set[int]) -> DataFrame:
-        """The target's rows in some key ranges; no other folder is opened."""
+        ``row`` is the mean size of the changes. A range is weighed by its files and by
+        its changes, as if all were new: one that is cut early is no harm.
+        """
+        if layout.width is not None:
+            return layout
+        added = {r[RANGE]: r["count"] for r in keys.groupBy(RANGE).count().collect()}
         base = self.path(spec)
-        wanted = {f"{RANGE}={number}" for number in ranges}
-        present = [name for name in files.names(self.spark, base) if name in wanted]
-        if not present:
-            return self._empty(spec)
-        reader = self.spark.read.schema(self._stored_schema(spec)).option("basePath", base)
-        return reader.parquet(*[f"{base}/{name}" for name in present])
+        present = set(files.names(self.spark, base)) & {f"{RANGE}={n}" for n in added}
+        with ThreadPoolExecutor(DELETING) as pool:
+            held = dict(zip(present, pool.map(lambda n: files.size(self.spark, f"{base}/{n}"), present)))
+        weights = {n: held.get(f"{RANGE}={n}", 0) + count * row for n, count in added.items()}
+        for number in sorted(n for n, weight in weights.items() if weight >= 2 * self.range_bytes):
+            own = F.col(RANGE) == number
+            every = target.where(own).select(*spec.pk).unionByName(keys.where(own).select(*spec.pk))
+            parts = int(weights[number] // self.range_bytes)
+            starts = sampled_starts(every, spec.pk, every.count(), parts)
+            layout = layout.cut(number, starts) if starts else layout
+        return layout
 
-    def _swap(self, spec: TableSpec, rows: str) -> None:
-        """Put new ranges in place of the old, one renamed folder each, however many.
-
-        May be run again after breaking off: those that were moved are gone from ``rows``.
-        """
-        for name in files.names(self.spark, rows):
-            if name.startswith(f"{RANGE}="):
-                files.move(self.spark, f"{rows}/{name}", f"{self.path(spec)}/{name}")
+    def _ranges(self, rows: DataFrame) -> set[int]:
+        """The key ranges of some rows: no more than there are folders to be listed or made."""
+        return {row[RANGE] for row in rows.select(RANGE).distinct().collect()}

@@ -40,6 +40,12 @@ def elapsed(spark: SparkSession) -> DataFrame:
     return clock.option("rowsPerSecond", 1).option("numPartitions", 1).load()
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """From the stream's id, which lives in its checkpoint: with a new one, sets count anew."""
+    kept = files.read_text(spark, f"{checkpoint}/metadata")
+    return f"stream-{json.loads(kept)['id']}"
+
+
 class FeedFinished(Exception):
     """Ends a stream that is past its last tick."""
 
@@ -99,9 +105,7 @@ class RunningFeed:
         raise FeedFinished(f"the changes of {self.feed.spec.name} end at tick {self.until}")
 
     def _run(self) -> str:
-        """The stream's id, which lives in its checkpoint: with a new one, sets count anew."""
-        kept = files.read_text(self.spark, f"{self.checkpoint}/metadata")
-        return f"stream-{json.loads(kept)['id']}"
+        return stream_name(self.spark, self.checkpoint)
 
     def wait(self) -> None:
         """Return when the feed has reached its last tick; raise if it failed."""

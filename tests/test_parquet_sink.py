@@ -13,10 +13,14 @@ from tablefeed.plans.cdc import Feed, apply_batches, progress
 from tablefeed.plans.rates import Pace
 from tablefeed.plans.snapshot import Load, LoadError, generated_loads, run_snapshot
 from tablefeed.operators.upsert import BROADCAST, upsert
-from tablefeed.sinks.parquet import RANGE, ParquetSink, range_widths
+from tablefeed.sinks.parquet import ParquetSink, range_widths
+from tablefeed.sinks.ranges import RANGE, Layout, sampled_starts
+from tablefeed.sinks.sets import SET, SetGivenUp, SetLog
 from tablefeed.sources.generate import Sizes, generate
 from tablefeed.specs import TABLES, TableSpec
 from tablefeed.streaming.feed import RunningFeed, start_feeds
+from tablefeed.streaming.file_feed import FileFeed
+from tablefeed.streaming.report import ProgressReport
 
 SIZES = Sizes(supplier=100, customer=150, part=200, orders=300)
 NOW = "2024-01-01 00:00:00.000"
@@ -115,29 +119,105 @@ def test_nulls_in_key_are_refused(spark, tmp_path):
     assert "t.k must not be null" in report.first().error
 
 
-def test_a_text_key_has_no_ranges(spark, tmp_path):
-    df = spark.createDataFrame([("a",)], "k string")
-    sink = ParquetSink(spark, str(tmp_path))
-    with pytest.raises(TypeError):
-        sink.key_range(TableSpec.of(df, "t", ("k",)))
+def listed(sink, spec):
+    """The rows that count, by range."""
+    rows = sink._rows(spec, sink._log(spec).current())
+    return {r[RANGE]: r["count"] for r in rows.groupBy(RANGE).count().collect()}
+
+
+def test_text_keys_are_cut_into_ranges(spark, tmp_path):
+    df = spark.range(5000).selectExpr("concat('key ', hex(id * 7919 % 5000), 'ü') k", "id v")
+    spec = TableSpec.of(df, "t", ("k",))
+    sink = ParquetSink(spark, str(tmp_path), range_bytes=20_000)
+    sink.create_table(spec)
+    assert sink.append(df, spec) == 5000
+    sizes = listed(sink, spec)
+    assert 5 <= len(sizes) <= 10 and max(sizes.values()) < 3 * min(sizes.values())
+    change = spark.createDataFrame([("key 1F0ü", -1, 0), ("a new key", -2, 0)], f"k string, v long, {TICK} long")
+    effect = sink.apply(change, spec, 0, NOW)
+    assert (effect.inserted, effect.updated) == (1, 1)
+    got = {r.k: r.v for r in sink.read(spec).collect()}
+    assert len(got) == 5001 and got["key 1F0ü"] == -1 and got["a new key"] == -2
+
+
+def test_one_hot_first_key_is_cut_too(spark, tmp_path):
+    """One order with nine of ten lines."""
+    columns = "CASE WHEN id % 10 = 0 THEN id ELSE 77 END k", "id line", "concat('text ', id) t"
+    df = spark.range(20_000).selectExpr(*columns)
+    spec = TableSpec.of(df, "lines", ("k", "line"), "t")
+    sink = ParquetSink(spark, str(tmp_path), range_bytes=100_000)
+    sink.create_table(spec)
+    sink.append(df, spec)
+    sizes = listed(sink, spec)
+    assert len(sizes) >= 6 and max(sizes.values()) < 20_000 / 3
+    change = spark.createDataFrame([(77, 11, "c", 0), (77, 20_001, "c", 0)], f"k long, line long, t string, {TICK} long")
+    before = files.names(spark, sink.path(spec))
+    effect = sink.apply(change, spec, 0, NOW)
+    assert (effect.inserted, effect.updated) == (1, 1)
+    assert files.names(spark, sink.path(spec)) == before
+    assert sink.read(spec).count() == 20_001
+    assert len(sink._log(spec).current().replaced) <= 2
+
+
+def test_ranges_are_found_by_keys_of_any_type(spark):
+    df = spark.range(300).selectExpr(
+        "cast(id % 3 as int) a", "concat('\"x', id % 7, '\\\\') b", "date_add(date'1969-12-01', cast(id as int)) c",
+        "cast(id * 1.5 - 100 as decimal(15,2)) d",
+    )
+    spec = TableSpec.of(df, "t", ("a", "b", "c", "d"))
+    layout = Layout(None, tuple(sampled_starts(df, spec.pk, 300, 9)), tuple(range(9)))
+    assert len(layout.starts) == 8
+    layout = layout.cut(4, [])
+    assert sorted(layout.numbers) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    got = df.withColumn("n", layout.range_of(spec)).orderBy(*spec.pk).collect()
+    in_order = [r.n for r in got]
+    assert list(dict.fromkeys(in_order)) == list(layout.numbers)
+    assert all(25 <= in_order.count(n) <= 42 for n in layout.numbers)
+
+
+def test_a_range_that_has_grown_is_cut(spark, tmp_path):
+    df = spark.range(100).selectExpr("id k", "concat('t', id) t")
+    spec = TableSpec.of(df, "small", ("k",), "t")
+    sink = ParquetSink(spark, str(tmp_path), range_bytes=20_000)
+    sink.create_table(spec)
+    sink.append(df, spec)
+    assert len(listed(sink, spec)) == 1
+    for number in range(3):
+        effect = sink.apply(changes(spark, 0, 4000 * (number + 1)), spec, number, NOW)
+        assert effect.updated == (100 if not number else 4000 * number)
+        got = sink.read(spec)
+        assert (got.count(), got.select("k").distinct().count()) == (4000 * (number + 1),) * 2
+    sizes = listed(sink, spec)
+    assert len(sizes) >= 6 and max(sizes.values()) <= 12_000 / 2
+    sink.apply(changes(spark, 5000, 5001), spec, 3, NOW)
+    assert len(sink._log(spec).current().replaced) == 1
+
+
+def test_keys_that_cannot_be_cut_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1.5, "a")], "k double, t string")
+    with pytest.raises(TypeError, match="t.k"):
+        ParquetSink(spark, str(tmp_path)).create_table(TableSpec.of(df, "t", ("k",)))
+    with pytest.raises(TypeError, match="t.t must be an integer"):
+        ParquetSink(spark, str(tmp_path), widths={"t": 5}).create_table(TableSpec.of(df, "t", ("t",)))
 
 
 def test_the_width_of_ranges_stays_with_the_table(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
     other = ParquetSink(spark, str(tmp_path), widths={"small": 7})
     other.create_table(spec)
-    assert other.width(spec) == 100
+    assert other.layout(spec).width == 100
     other.apply(changes(spark, 0, 10), spec, 0, NOW)
     assert sink.read(spec).count() == 1000
     other.drop_table(spec)
     other.create_table(spec)
-    assert other.width(spec) == 7
+    assert other.layout(spec).width == 7
 
 
 def test_widths_follow_the_size():
     small_widths, large = (range_widths(Sizes.at_scale(sf)) for sf in (1, 100_000))
     assert small_widths["lineitem"] == 500_000 and small_widths["supplier"] == 10_000
-    assert large["lineitem"] == 4 * 1_500_000 * 100_000 // 20_000
+    # However large the table is.
+    assert large["lineitem"] == 500_000
 
 
 def test_apply_rewrites_only_the_ranges_it_touches(spark, tmp_path):
@@ -177,19 +257,99 @@ def test_an_emptied_table_takes_changes_again(spark, tmp_path):
     assert sink.read(spec).count() == 10
 
 
-def test_a_failed_set_is_not_taken_for_another(spark, tmp_path, monkeypatch):
-    sink, spec = small_sink(spark, tmp_path)
+def broken(*args):
+    raise OSError("lost")
+
+
+def after(whole):
+    """Do it, and break off then."""
 
-    def broken(*args):
+    def call(*args):
+        whole(*args)
         raise OSError("lost")
 
+    return call
+
+
+BREAKS = {
+    "before rows": (ParquetSink, "_write", lambda whole: broken),
+    "between rows and record": (ParquetSink, "_write", after),
+    "before the record": (SetLog, "commit", lambda whole: broken),
+    "after the record": (SetLog, "commit", after),
+}
+
+
+@pytest.mark.parametrize("where", BREAKS)
+def test_a_set_that_broke_off_does_not_come_back_over_another(spark, tmp_path, monkeypatch, where):
+    """One feed breaks off, a second changes the same range, the first goes on."""
+    sink, spec = small_sink(spark, tmp_path, 400)
+    owner, name, instead = BREAKS[where]
     with monkeypatch.context() as patch:
-        patch.setattr(ParquetSink, "_swap", broken)
+        patch.setattr(owner, name, instead(getattr(owner, name)))
         with pytest.raises(OSError):
-            sink.apply(changes(spark, 1000, 1010), spec, 0, NOW, "one")
-    assert sink.apply(changes(spark, 2000, 2005), spec, 0, NOW, "two").rows == 5
-    got = {r.k for r in sink.read(spec).where("k >= 1000").collect()}
-    assert got == set(range(2000, 2005))
+            sink.apply(changes(spark, 50, 350), spec, 0, NOW, "one")
+    seen = {r.k: r.t for r in sink.read(spec).collect()}
+    done = where == "after the record"
+    assert all((seen[k] != str(k)) == (done and 50 <= k < 350) for k in range(400))
+    other = changes(spark, 300, 400).withColumn("t", F.concat(F.lit("other "), "k"))
+    assert sink.apply(other, spec, 0, NOW, "two").updated == 100
+    effect = sink.apply(changes(spark, 50, 350), spec, 0, NOW, "one")
+    assert (effect.updated, sink.last_applied(spec, "one")) == (0 if done else 300, 0)
+    got = {r.k: r.t for r in sink.read(spec).collect()}
+    assert len(got) == 400
+    for k in range(400):
+        last = f"other {k}" if k >= 350 or (done and k >= 300) else f"c{k}"
+        assert got[k] == (f"{last} CDC:{NOW}" if k >= 50 else str(k))
+    assert sink.totals(spec).operations == 400
+
+
+def test_a_writer_that_was_overtaken_fails(spark, tmp_path, monkeypatch):
+    sink, spec = small_sink(spark, tmp_path)
+    other, write, met = ParquetSink(spark, str(tmp_path)), ParquetSink._write, []
+
+    def meets_another(self, rows, *args):
+        write(self, rows, *args)
+        monkeypatch.setattr(ParquetSink, "_write", write)
+        met.append(other.apply(changes(spark, 0, 10), spec, 0, NOW, "two"))
+
+    monkeypatch.setattr(ParquetSink, "_write", meets_another)
+    with pytest.raises(SetGivenUp):
+        sink.apply(changes(spark, 5, 500), spec, 0, NOW, "one")
+    assert met[0].updated == 10 and sink.last_applied(spec, "one") == -1
+    got = sink.read(spec)
+    assert got.count() == 1000 and got.where(F.col("t").contains("CDC")).count() == 10
+
+
+def test_readers_keep_the_table_they_opened(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    opened = sink.read(spec)
+    sink.apply(changes(spark, 0, 1100), spec, 0, NOW)
+    assert opened.count() == 1000 and opened.where(F.col("t").contains("CDC")).isEmpty()
+    now = sink.read(spec)
+    assert (now.count(), now.where(F.col("t").contains("CDC")).count()) == (1100, 1000)
+
+
+def test_replaced_files_go_with_the_next_set(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    for number in range(4):
+        sink.apply(changes(spark, 150, 160), spec, number, NOW)
+    assert files.names(spark, f"{sink.path(spec)}/{RANGE}=1") == [f"{SET}=4", f"{SET}=5"]
+    assert files.names(spark, f"{sink.path(spec)}/{RANGE}=2") == [f"{SET}=1"]
+    assert files.names(spark, f"{tmp_path}/_work") == []
+    assert len(files.names(spark, f"{tmp_path}/_state/small/sets")) == 2
+
+
+def test_a_failed_load_leaves_no_rows(spark, tmp_path, monkeypatch):
+    sink, spec = small_sink(spark, tmp_path)
+    more = spark.range(2000, 2100).selectExpr("id k", "'x' t")
+    with monkeypatch.context() as patch:
+        patch.setattr(ParquetSink, "_write", after(ParquetSink._write))
+        with pytest.raises(OSError):
+            sink.append(more, spec)
+    assert sink.read(spec).count() == 1000
+    assert sink.append(more, spec) == 100
+    assert sink.read(spec).count() == 1100
+    assert files.names(spark, f"{sink.path(spec)}/{RANGE}=20") == [f"{SET}=3"]
 
 
 def test_a_set_is_applied_once(spark, tmp_path):
@@ -200,29 +360,23 @@ def test_a_set_is_applied_once(spark, tmp_path):
     assert sink.read(spec).where(F.col("t").contains("CDC")).isEmpty()
     reopened = ParquetSink(spark, str(tmp_path), widths={"small": 100})
     assert reopened.last_applied(spec) == 3
-    assert files.names(spark, f"{tmp_path}/_applied/small/feed") == [f"{3:020d}.json"]
 
 
-@pytest.mark.parametrize("broken", ["_swap", "_record"])
-def test_a_set_broken_off_is_finished_on_retry(spark, tmp_path, broken):
+@pytest.mark.parametrize("where", BREAKS)
+def test_a_set_broken_off_is_applied_on_retry(spark, tmp_path, monkeypatch, where):
     sink, spec = small_sink(spark, tmp_path)
-    whole = getattr(sink, broken)
-
-    def fail(*args):
-        raise RuntimeError("lost")
-
-    setattr(sink, broken, fail)
+    owner, name, instead = BREAKS[where]
     batch = changes(spark, 990, 1010)
-    with pytest.raises(RuntimeError):
-        sink.apply(batch, spec, 0, NOW)
-    setattr(sink, broken, whole)
-    effect = sink.apply(batch, spec, 0, "another time")
-    assert (effect.rows, effect.inserted, effect.updated) == (20, 10, 10)
+    with monkeypatch.context() as patch:
+        patch.setattr(owner, name, instead(getattr(owner, name)))
+        with pytest.raises(OSError):
+            sink.apply(batch, spec, 0, NOW)
+    effect, done = sink.apply(batch, spec, 0, "later"), where == "after the record"
+    assert (effect.rows, effect.inserted, effect.updated) == ((0, 0, 0) if done else (20, 10, 10))
     got = sink.read(spec)
     assert got.count() == 1010
-    assert got.where(F.col("t").endswith(f" CDC:{NOW}")).count() == 10
-    assert got.where(F.col("t").contains("another time")).isEmpty()
-    assert files.names(spark, f"{tmp_path}/_pending") == []
+    assert got.where(F.col("t").endswith(f" CDC:{NOW if done else 'later'}")).count() == 10
+    assert got.where(F.col("t").contains("CDC")).count() == 10
 
 
 def test_many_ranges_at_once(spark, tmp_path):
@@ -236,44 +390,24 @@ def test_many_ranges_at_once(spark, tmp_path):
 
 def test_appending_reads_only_the_ranges_of_the_new_rows(spark, tmp_path, monkeypatch):
     sink, spec = small_sink(spark, tmp_path)
-    touched, seen = sink._touched, []
+    rows, seen = sink._rows, []
 
-    def spy(spec, ranges):
+    def spy(spec, state, ranges=None):
         seen.append(ranges)
-        return touched(spec, ranges)
+        return rows(spec, state, ranges)
 
-    monkeypatch.setattr(sink, "_touched", spy)
+    monkeypatch.setattr(sink, "_rows", spy)
     new = spark.range(1990, 2110).selectExpr("id k", "cast(id as string) t")
-    assert sink.append(new, spec) == 120 and seen == [{19, 20, 21}]
+    assert sink.append(new, spec) == 120 and seen == [None, {19, 20, 21}]
     with pytest.raises(KeyViolation):
         sink.append(spark.range(2100, 2120).selectExpr("id k", "'x' t"), spec)
 
 
-def test_a_swap_broken_off_between_folders(spark, tmp_path, monkeypatch):
-    sink, spec = small_sink(spark, tmp_path)
-    move, moved = files.move, []
-
-    def once(spark, source, to):
-        if moved:
-            raise OSError("lost")
-        moved.append(to)
-        move(spark, source, to)
-
-    monkeypatch.setattr(files, "move", once)
-    with pytest.raises(OSError):
-        sink.apply(changes(spark, 150, 450), spec, 0, NOW)
-    monkeypatch.setattr(files, "move", move)
-    assert sink.apply(changes(spark, 150, 450), spec, 0, "later").updated == 300
-    got = sink.read(spec)
-    assert got.count() == 1000
-    assert got.where(F.col("t").endswith(f" CDC:{NOW}")).count() == 300
-
-
 def test_kept_rows_are_not_shuffled(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
-    staged = changes(spark, 150, 250).withColumn(RANGE, sink.key_range(spec))
-    stored = dataclasses.replace(spec, schema=sink._stored_schema(spec))
-    target = sink._touched(spec, [1, 2])
+    staged = changes(spark, 150, 250).withColumn(RANGE, sink.layout(spec).range_of(spec))
+    stored = dataclasses.replace(spec, schema=sink._stored_schema(spec, RANGE))
+    target = sink._rows(spec, sink._log(spec).current(), [1, 2])
     result = upsert(target, staged, stored, NOW, BROADCAST, gather=RANGE)
     kept = result._jdf.queryExecution().executedPlan().toString().split("LeftOuter")[0]
     assert kept.count("Exchange hashpartitioning") == kept.count("Exchange hashpartitioning(_key")
@@ -282,12 +416,13 @@ def test_kept_rows_are_not_shuffled(spark, tmp_path):
 
 def test_a_broken_preparation_starts_over(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path)
-    touched = sink._touched
-    sink._touched = lambda *args: 1 / 0
+    rows = sink._rows
+    sink._rows = lambda *args: 1 / 0
     with pytest.raises(ZeroDivisionError):
         sink.apply(changes(spark, 0, 10), spec, 0, NOW)
-    sink._touched = touched
+    sink._rows = rows
     assert sink.apply(changes(spark, 0, 10), spec, 0, NOW).updated == 10
+    assert files.names(spark, f"{tmp_path}/_work") == []
 
 
 def test_a_key_twice_in_one_batch_is_refused(spark, tmp_path):
@@ -396,3 +531,97 @@ def test_a_registered_table_is_readable_by_name(spark, tmp_path):
     finally:
         spark.sql(f"DROP TABLE {table}")
     assert sink.read(spec).count() == 620
+
+
+def test_a_strict_run_cancels_the_other_loads(spark, tmp_path):
+    """One table fails at once; the others would take minutes, and leave no staging."""
+    slow = spark.range(8).selectExpr("id k", "cast(id as string) t")
+    bad = spark.createDataFrame([(1, "a"), (1, "b")], "k long, t string")
+    sink = ParquetSink(spark, str(tmp_path), staged=True)
+    made, create = [], sink.create_staging
+    sink.create_staging = lambda spec: made.append(create(spec)) or made[-1]
+    pauses = F.udf(lambda k: time.sleep(60) or str(k), "string")
+    loads = [
+        Load(TableSpec.of(slow, name, ("k",)), spark.range(0, 8, 1, 1).select(F.col("id").alias("k"), pauses("id").alias("t")))
+        for name in ("slow", "slower")
+    ]
+    loads.append(Load(TableSpec.of(bad, "bad", ("k",)), bad))
+    began = time.time()
+    with pytest.raises(LoadError, match="slow, slower, bad"):
+        run_snapshot(spark, sink, loads, strict=True)
+    assert time.time() - began < 40
+    assert len(made) == 3 and not any(files.exists(spark, path) for path in made)
+    assert sink.read(loads[0].spec).isEmpty()
+    report = run_snapshot(spark, sink, [Load(loads[0].spec, slow.limit(0)), loads[2]])
+    assert [bool(r.error) for r in report.collect()] == [False, True]
+
+
+def test_change_files_are_applied_once_over_restarts(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path / "t", 300)
+    arriving, sets = str(tmp_path / "in"), []
+    apply = sink.apply
+    sink.apply = lambda rows, *args: sets.append(apply(rows, *args)) or sets[-1]
+    feed = FileFeed(spec, arriving, sink, files_per_set=2, clock=clock)
+
+    def arrive(low, high, text):
+        rows = spark.range(low, high, 1, 1).selectExpr("id k", f"'{text}' t")
+        rows.write.mode("append").parquet(arriving)
+        time.sleep(0.05)
+
+    for n in range(3):
+        arrive(n * 10, n * 10 + 20, f"file {n}")
+    feed.start(spark, str(tmp_path / "at")).awaitTermination()
+    assert [s.rows for s in sets] == [40, 20]
+    arrive(290, 310, "file 3")
+    for _ in range(2):
+        feed.start(spark, str(tmp_path / "at")).awaitTermination()
+    assert [s.rows for s in sets] == [40, 20, 20] and sets[-1].inserted == 10
+    got = {r.k: r.t for r in sink.read(spec).collect()}
+    for k in range(310):
+        last = 3 if k >= 290 else min(k // 10, 2) if k < 40 else None
+        assert got[k].startswith(f"file {last}") if last is not None else got[k] == str(k)
+        assert ("CDC" in got[k]) == (last is not None and k < 300)
+    assert sink.totals(spec).operations == 80
+
+
+def test_change_files_that_keep_arriving(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path / "t", 10)
+    arriving = str(tmp_path / "in")
+    spark.range(0, 5).selectExpr("id k", "'x' t", "0L n").write.parquet(arriving)
+    query = FileFeed(spec, arriving, sink, "n", clock=clock).start(spark, str(tmp_path / "at"), 0.2)
+    try:
+        spark.range(5, 30).selectExpr("id k", "'y' t", "1L n").write.mode("append").parquet(arriving)
+        until = time.time() + 60
+        while sink.totals(spec).operations < 30 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sink.totals(spec).operations == 30 and sink.read(spec).count() == 30
+
+
+def test_progress_arrives_by_itself(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path / "t", 10)
+    source = TableChanges(spark, small(spark, 1000)[0], ["k"])
+    feed = Feed(spec, source, sink, Pace("small", 500), clock)
+    report = ProgressReport(spark, [feed], str(tmp_path / "rows"), str(tmp_path / "clock"), 1.0)
+    running = RunningFeed(spark, feed, str(tmp_path / "at"), until=30, seconds=0)
+    running.wait()
+    time.sleep(2)
+    report.stop()
+    rows = report.rows().orderBy("at", "table_name").collect()
+    assert len(rows) >= 6 and {r.table_name for r in rows} == {"small", "all tables"}
+    own = [r.operations for r in rows if r.table_name == "small"]
+    assert own == sorted(own) and own[-1] == sink.totals(spec).operations
+    times = sorted({r["at"] for r in rows})
+    assert all((b - a).total_seconds() < 10 for a, b in zip(times, times[1:]))
+
+
+def test_a_finished_run_leaves_no_name(spark, tmp_path):
+    sink, spec = small_sink(spark, tmp_path)
+    source = TableChanges(spark, small(spark, 450)[0], ["k"])
+    feed = Feed(spec, source, sink, Pace("small", 100), clock)
+    for _ in range(3):
+        apply_batches(feed, 0, 2, 1)
+    apply_batches(feed, 0, 1, 1, "named")
+    assert set(sink._log(spec).current().feeds) == {"named"}
+    assert (sink.totals(spec).sets, sink.totals(spec).operations) == (7, 700)

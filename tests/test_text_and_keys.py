@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablefeed.functions.text import decode, encode, marked, rejects, timestamp_text
+from tablefeed.operators.batches import TICK
+from tablefeed.operators.fold import fold_batches
 from tablefeed.operators.keys import (
     KeyViolation,
     duplicate_keys,
@@ -96,11 +98,33 @@ def test_latest_per_key_compares_columns_in_order(spark):
     assert [tuple(r) for r in got] == [(1, 5, "c", 2.0), (2, None, "q", 4.0)]
 
 
-def test_latest_per_key_aggregates_before_the_shuffle(spark):
-    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+def test_latest_per_key_sorts_nothing(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.lit("x").alias("t"))
     plan = latest_per_key(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("partial_max(struct") == 1
-    assert "Window" not in plan
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMerge", "Sort")
+    spec = TableSpec.of(df, "t", ("k",))
+    changes = df.withColumn(TICK, F.col("id"))
+    plan = fold_batches(changes, spec)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan and plan.count("partial_max") >= 1
+
+
+def test_latest_per_key_takes_ties_nulls_and_repeated_rows(spark):
+    rows = [
+        (1, None, 5.0, "a"), (1, None, 5.0, "b"), (1, None, None, "z"),
+        (2, 7, float("nan"), "c"), (2, 7, 1e300, "d"), (2, 6, float("nan"), "e"),
+        (None, 1, 0.0, "f"), (None, 1, -0.0, "g"), (None, 1, -0.0, "g"), (3, 1, 1.0, None), (3, 1, 1.0, None),
+    ]
+    df = spark.createDataFrame(rows, "k long, a long, b double, t string")
+    got = {r.k: (r.a, r.t) for r in latest_per_key(df, ["k"], ["a", "b"]).collect()}
+    assert got == {1: (None, "b"), 2: (7, "c"), None: (1, "g"), 3: (1, None)}
+    assert latest_per_key(df, ["k"], ["a", "b"]).count() == 4
+    assert latest_per_key(df.limit(0), ["k"], ["a"]).collect() == []
+
+
+def test_a_hot_key_is_spread_by_its_values(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) k", "id v", "concat('t', id) t")
+    got = {r.k: (r.v, r.t) for r in latest_per_key(df, ["k"], ["v"]).where("k < 5").collect()}
+    assert got == {0: (29_997, "t29997"), **{k: (k, f"t{k}") for k in (1, 2, 4)}}
 
 
 def test_required_values(spark):

@@ -146,6 +146,8 @@ def test_repeated_target_keys_give_the_same_rows_by_both_plans(spark):
         [(1, 1, 1.0, "a"), (1, 1, 2.0, "b"), (2, 1, 3.0, "c"), (3, 1, 4.0, "d"), (3, 1, 4.0, "d")], COLUMNS
     )
     changes = spark.createDataFrame([(1, 1, 9.0, "n"), (4, 1, 8.0, "m")], COLUMNS)
-    got = [rows(upsert(target, changes, spec(target), None, plan)) for plan in (BROADCAST, SHUFFLE)]
+    got = [
+        rows(upsert(target, changes, spec(target), None, plan, repeats=True)) for plan in (BROADCAST, SHUFFLE)
+    ]
     assert got[0] == got[1] and len(got[0]) == 5
     assert [r[2:] for r in got[0] if r[0] == 1] == [(9.0, "n")]
