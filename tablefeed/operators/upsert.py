@@ -26,16 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablefeed.functions.text import marked
-from tablefeed.operators.keys import require_unique
+from tablefeed.operators.keys import BROADCAST_KEY_BYTES, ROW_OVERHEAD_BYTES, require_unique
 from tablefeed.specs import TableSpec
 
 BROADCAST, SHUFFLE = "broadcast", "shuffle"
 
-# Most bytes of change keys that are sent to every task. A hash table over
-# them takes a few times as much.
-BROADCAST_KEY_BYTES = 64 * 1024 * 1024
-ROW_OVERHEAD_BYTES = 32
-
 FOUND, BEFORE, EFFECT = "_found", "_before", "_effect"
 KEPT, INSERTED, UPDATED = 0, 1, 2
 
