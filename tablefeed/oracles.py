@@ -202,10 +202,16 @@ class Draws:
     def comment(self, low: int, high: int) -> str:
         pieces = words.SENTENCES if high > 50 else words.PHRASES
         n = math.ceil((high + words.STARTS) / (min(map(len, pieces)) + 1))
-        parts = " || ' ' || ".join(self.one_of(f"phrase{i}", pieces) for i in range(n))
-        start = f"{self.number('comment start', words.STARTS)} + 1"
-        length = f"{self.number('comment length', high - low + 1)} + {low}"
-        return f"substr({parts}, {start}, {length})"
+        upper, lower = (
+            middle(self.a, self.b, constant(f"comment/{part}/a", 30), constant(f"comment/{part}/b", 30))
+            for part in ("high", "low")
+        )
+        drawn, size = f"({upper} * {M + 1} + {lower})", len(pieces)
+        parts = [chosen(pieces, f"{drawn} // {size**i} % {size}") for i in range(n)]
+        start = f"{drawn} // {size**n} % {words.STARTS} + 1"
+        rest, values = f"{drawn} // {size**n * words.STARTS}", 2**62 // (size**n * words.STARTS)
+        length = f"({rest} * {high - low + 1}) // {values} + {low}"
+        return f"substr({" || ' ' || ".join(parts)}, {start}, {length})"
 
     def address(self) -> str:
         alphabets = ["aQmX3 kRt9", "Zb7,Lw Hd2", "pF5oGy8,Us", "eJ NcV1iT4"]

@@ -28,6 +28,7 @@ from tablefeed.functions.draws import (
     State,
     div,
     draw,
+    fields,
     fixed_line_state,
     key_draw,
     mod,
@@ -89,14 +90,18 @@ def _money(cents: str) -> str:
 
 
 def _comment(of: State, low: int, high: int) -> str:
-    """low..high characters, from a drawn place on, of a text of drawn phrases."""
+    """low..high characters, from a drawn place on, of a text of drawn phrases.
+
+    Phrases, place and length are bits of one drawn number.
+    """
     pieces = words.SENTENCES if high > 50 else words.PHRASES
     n = math.ceil((high + words.STARTS) / (min(map(len, pieces)) + 1))
-    phrases = [pick(pieces, draw(of, f"phrase{i}", len(pieces))) for i in range(n)]
-    length = draw(of, "comment length", high - low + 1, low)
-    start = draw(of, "comment start", words.STARTS, 1)
-    text = f"concat_ws(' ', {', '.join(phrases)})"
-    return f"substr({text}, cast({start} as int), cast({length} as int))"
+    # Both lists have a power of two of pieces, and so many places to start at.
+    widths = [*[len(pieces).bit_length() - 1] * n, words.STARTS.bit_length() - 1]
+    *places, start, rest = fields(of, "comment", widths)
+    length = f"(shiftright({rest} * {high - low + 1}L, {62 - sum(widths)}) + {low}L)"
+    text = f"concat_ws(' ', {', '.join(pick(pieces, place) for place in places)})"
+    return f"substr({text}, cast({start} + 1L as int), cast({length} as int))"
 
 
 def _digits(number: str, width: int) -> str:
