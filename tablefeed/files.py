@@ -22,6 +22,14 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that goes when the driver's JVM ends."""
+    fs, where = _open(spark, path)
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a path."""
     fs, where = _open(spark, path)

@@ -119,6 +119,11 @@ SELECT o_orderkey, o_custkey, o_orderstatus,
        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority
 FROM orders"""
 
+REJECTS_ORDERS = f"""
+SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE o_totalprice END AS o_totalprice,
+                  CASE WHEN o_orderkey % 11 = 0 THEN '1995-02-30' ELSE o_orderdate END AS o_orderdate)
+FROM ({ENCODE_ORDERS}) WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0"""
+
 GIVEN_ORDERS = f"SELECT {ORDER_COLUMNS} FROM orders"
 
 SNAPSHOT_REPORT = "\nUNION ALL\n".join(
@@ -477,6 +482,7 @@ ORACLES: dict[str, str] = {
     "batch_plan": BATCH_PLAN,
     "encode_orders": ENCODE_ORDERS,
     "decode_orders": GIVEN_ORDERS,
+    "rejects_orders": REJECTS_ORDERS,
     "snapshot_report": SNAPSHOT_REPORT,
     "snapshot_generated": SNAPSHOT_GENERATED,
     "staged_copy_orders": GIVEN_ORDERS,

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefeed.functions.text import decode, encode
+from tablefeed.functions.text import decode, encode, rejects
 from tablefeed.operators.batches import (
     BATCH,
     TICK,
@@ -209,6 +209,18 @@ def decode_orders(spark: SparkSession, folder: str) -> DataFrame:
     return plain_orders(decode(encode(orders), orders.schema))
 
 
+def rejects_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The staged orders that would not load, where every seventh total and eleventh date is spoilt."""
+    orders = typed_orders(spark, folder)
+    staged = encode(orders).withColumns(
+        {
+            "o_totalprice": F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_totalprice")),
+            "o_orderdate": F.when(F.col("o_orderkey") % 11 == 0, "1995-02-30").otherwise(F.col("o_orderdate")),
+        }
+    )
+    return rejects(staged, orders.schema)
+
+
 # -- loads ----------------------------------------------------------------------
 
 
@@ -494,6 +506,7 @@ QUERIES: dict[str, Query] = {
     "batch_plan": batch_plan_default,
     "encode_orders": encode_orders,
     "decode_orders": decode_orders,
+    "rejects_orders": rejects_orders,
     "snapshot_report": snapshot_report,
     "snapshot_generated": snapshot_generated,
     "staged_copy_orders": staged_copy_orders,

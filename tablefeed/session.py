@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tablefeed import files
+
 # Only what correctness or large inputs need; cluster sizing stays with the
 # cluster's own configuration.
 DEFAULTS = {
@@ -46,5 +48,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the scratch root that no other run uses."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the scratch root that no other run uses.
+
+    All of an application's are in one folder, which is deleted when the driver's
+    JVM ends: what is to stay has to be written elsewhere.
+    """
+    own = f"{scratch_root(spark)}/tablefeed-{spark.sparkContext.applicationId}"
+    files.delete_on_exit(spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's scratch tables now; frames that read them are of no use then."""
+    own = f"{scratch_root(spark)}/tablefeed-{spark.sparkContext.applicationId}"
+    for name in files.names(spark, own):
+        files.delete(spark, f"{own}/{name}")
