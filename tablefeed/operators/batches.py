@@ -117,6 +117,8 @@ class ChangeSource:
     """Rows that can be fetched by ordinal, and the endless batches made from them."""
 
     total: int
+    #: Whether the rows lie in files.
+    kept = False
 
     def between(self, low: int, high: int) -> DataFrame:
         """The rows with ordinals low..high-1, with the ordinal."""
@@ -169,6 +171,8 @@ class GeneratedChanges(ChangeSource):
 class TableChanges(ChangeSource):
     """A table, numbered once in key order and kept in chunks of that order."""
 
+    kept = True
+
     def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str]) -> None:
         self.kept = NumberedRows(spark, df, order, scratch_path(spark, "changes"))
         self.total = self.kept.total

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablefeed.functions.sizes import row_bytes
 from tablefeed.operators.batches import TICK
 from tablefeed.operators.upsert import SHUFFLE, sent_whole
 from tablefeed.specs import TableSpec
 
 CHANGED_BEFORE = "_changed_before"
-MOST = "_most"
+MOST, FIRST, ROWS, BYTES = "_most", "_first", "_rows", "_bytes"
 
 
 def tick_counts(changes: DataFrame, spec: TableSpec) -> DataFrame:
-    """Per key its last tick, whether it has earlier ones, and the most rows that one tick has.
+    """Per key: first and last tick, whether they differ, rows, their bytes, and the most of a tick.
 
-    Numbers alone, so that tasks count in hash tables before they send anything;
-    nothing but keys and ticks is read.
+    Numbers alone, so that tasks count in hash tables before they send anything.
     """
-    each = changes.groupBy(*spec.pk, TICK).agg(F.count(F.lit(1)).alias(MOST))
+    each = changes.groupBy(*spec.pk, TICK).agg(
+        F.count(F.lit(1)).alias(ROWS), F.sum(row_bytes(spec.schema)).alias(BYTES)
+    )
     return each.groupBy(*spec.pk).agg(
         F.max(TICK).alias(TICK),
+        F.min(TICK).alias(FIRST),
         (F.count(F.lit(1)) > 1).alias(CHANGED_BEFORE),
-        F.max(MOST).alias(MOST),
+        F.max(ROWS).alias(MOST),
+        F.sum(ROWS).alias(ROWS),
+        F.sum(BYTES).alias(BYTES),
     )
 
 
@@ -43,6 +48,6 @@ def fold_batches(changes: DataFrame, spec: TableSpec) -> DataFrame:
     Applying the result equals applying the batches one by one, as a key that
     changed before would have been found by its last batch. Each batch must
     hold a key once (``require_unique`` on the key and the tick). ``changes`` is
-    read twice, the first time for keys and ticks alone.
+    read twice.
     """
     return last_changes(changes, tick_counts(changes, spec), spec)

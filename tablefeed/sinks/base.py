@@ -93,10 +93,19 @@ class Sink:
         raise NotImplementedError
 
     def apply(
-        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+        self,
+        changes: DataFrame,
+        spec: TableSpec,
+        number: int,
+        now_text: str,
+        feed: str = "feed",
+        kept: bool = False,
     ) -> Applied:
         """Upsert a set of change batches, whose rows carry their tick.
 
+        ``kept`` says that they are read from files which stay as they are for the
+        time, so that reading them again costs little and gives the same rows.
+
         ``number`` is that of the set in its feed: a set applied before is not
         applied again. Feeds number their sets each for itself, so two feeds of a
         table must not have the same name.

@@ -221,11 +221,20 @@ class JdbcSink(Sink):
         return self.dialect.create_if_absent(LEDGER, self.dialect.quote(LEDGER), body)
 
     def apply(
-        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+        self,
+        changes: DataFrame,
+        spec: TableSpec,
+        number: int,
+        now_text: str,
+        feed: str = "feed",
+        kept: bool = False,
     ) -> Applied:
         """Stage the rows, then upsert and record the set in one transaction."""
         if number <= self.last_applied(spec, feed):
             return Applied(0, 0, 0)
+        if kept:
+            rows = require_values(changes.select(*spec.columns, TICK), spec)
+            return self._apply_written(rows, spec, number, now_text, feed)
         path = scratch_path(self.spark, f"changes-{spec.name}")
         require_values(changes.select(*spec.columns, TICK), spec).write.parquet(path)
         try:

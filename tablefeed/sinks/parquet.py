@@ -26,7 +26,15 @@ from tablefeed import files
 from tablefeed.functions.sizes import row_bytes
 from tablefeed.functions.text import decode, encode
 from tablefeed.operators.batches import TICK
-from tablefeed.operators.fold import CHANGED_BEFORE, last_changes, tick_counts
+from tablefeed.operators.fold import (
+    BYTES,
+    CHANGED_BEFORE,
+    FIRST,
+    MOST,
+    ROWS,
+    last_changes,
+    tick_counts,
+)
 from tablefeed.operators.keys import require_absent, require_unique, require_values
 from tablefeed.operators.upsert import (
     EFFECT,
@@ -309,7 +317,13 @@ class ParquetSink(Sink):
                 self._log(spec).put(state.without_feed(feed))
 
     def apply(
-        self, changes: DataFrame, spec: TableSpec, number: int, now_text: str, feed: str = "feed"
+        self,
+        changes: DataFrame,
+        spec: TableSpec,
+        number: int,
+        now_text: str,
+        feed: str = "feed",
+        kept: bool = False,
     ) -> Applied:
         with self._turn(spec), self._work(spec) as work:
             state = self._log(spec).current()
@@ -317,7 +331,12 @@ class ParquetSink(Sink):
                 return Applied(0, 0, 0)
             began = time.time()
             state, set_number = self._log(spec).begin()
-            effect, touched, layout = self._write_set(changes, spec, state, set_number, now_text, work)
+            rows = require_values(changes.select(*spec.columns, TICK), spec)
+            if not kept:
+                # They may come from anywhere: they are made once.
+                rows.write.parquet(f"{work}/changes")
+                rows = self.spark.read.parquet(f"{work}/changes")
+            effect, touched, layout = self._write_set(rows, spec, state, set_number, now_text, work)
             totals = state.feed_totals(feed).and_then(effect.rows, began, time.time())
             state = replace(state.with_feed(feed, number, totals), layout=layout)
             self._log(spec).commit(state, set_number, touched)
@@ -327,33 +346,35 @@ class ParquetSink(Sink):
         self, changes: DataFrame, spec: TableSpec, state: State, number: int, now_text: str, work: str
     ) -> tuple[Applied, set[int], int]:
         """Write the new content of every range the changes touch; also these, and the layout."""
-        measured = Observation()
-        rows = require_values(changes.select(*spec.columns, TICK), spec)
-        ticks = [F.min(TICK).alias("first"), F.max(TICK).alias("last")]
-        ticks.append(F.avg(row_bytes(spec.schema)).alias("row_bytes"))
-        rows.observe(measured, *size_measures(spec), *ticks).write.parquet(f"{work}/changes")
+        # One pass over the changes says how many and how large they are, whether keys
+        # are unique in each batch, which change of each is the last, and their ranges.
+        layout, measured = self.layout(spec, state), Observation()
+        keys = tick_counts(changes, spec).withColumn(RANGE, layout.range_of(spec))
+        measures = [
+            *size_measures(spec),
+            F.sum(ROWS).alias("changes"),
+            F.sum(BYTES).alias("bytes"),
+            F.min(FIRST).alias("first"),
+            F.max(TICK).alias("last"),
+            F.max(MOST).alias("most"),
+            F.collect_set(RANGE).alias("ranges"),
+        ]
+        # Observed after the shuffle: a task before it may run, and count, twice.
+        keys.observe(measured, *measures).write.parquet(f"{work}/keys")
         got = measured.get
         if got["rows"] == 0:
             return Applied(0, 0, 0), set(), state.layout
-        staged = self.spark.read.parquet(f"{work}/changes")
-
-        # One pass over the keys: are they unique in each batch, which change of
-        # each is the last, and which ranges are they in.
-        layout, keyed = self.layout(spec, state), Observation()
-        keys = tick_counts(staged, spec).withColumn(RANGE, layout.range_of(spec))
-        found = [F.max("_most").alias("most"), F.collect_set(RANGE).alias("ranges")]
-        keys.observe(keyed, *found).write.parquet(f"{work}/keys")
-        if keyed.get["most"] > 1:
-            require_unique(staged, [*spec.pk, TICK], f"changes of {spec.name}")
-        keys, touched = self.spark.read.parquet(f"{work}/keys"), set(keyed.get["ranges"])
+        if got["most"] > 1:
+            require_unique(changes, [*spec.pk, TICK], f"changes of {spec.name}")
+        keys, touched = self.spark.read.parquet(f"{work}/keys"), set(got["ranges"])
         self._log(spec).touches(number, touched)
 
         plan = plan_for(ChangeSize(got["rows"], got["key_bytes"]))
         several = got["first"] != got["last"]
-        last = last_changes(staged, keys, spec, plan, RANGE)
+        last = last_changes(changes, keys, spec, plan, RANGE)
         target = self._rows(spec, state, touched)
         stored = replace(spec, schema=self._stored_schema(spec, RANGE))
-        grown, named = self._cut_grown(spec, layout, target, keys, got["row_bytes"]), state.layout
+        grown, named = self._cut_grown(spec, layout, target, keys, got["bytes"] / got["changes"]), state.layout
         if grown != layout:
             named = self._new_layout(spec, grown)
             last = last.withColumn(RANGE, grown.range_of(spec))
@@ -371,7 +392,7 @@ class ParquetSink(Sink):
             F.count_if(F.col(EFFECT) == UPDATED).alias("updated"),
         )
         self._write(result.drop(EFFECT), spec, number)
-        effect = Applied(got["rows"], counts.get["inserted"], counts.get["updated"])
+        effect = Applied(got["changes"], counts.get["inserted"], counts.get["updated"])
         return effect, touched, named
 
     def _cut_grown(

@@ -58,7 +58,7 @@ class FileFeed:
         def apply(batch: DataFrame, number: int) -> None:
             now_text = self.sink.time_text(self.clock(number))
             feed = stream_name(spark, checkpoint)
-            self.sink.apply(self._ticked(batch), self.spec, number, now_text, feed)
+            self.sink.apply(self._ticked(batch), self.spec, number, now_text, feed, kept=True)
 
         writer = rows.writeStream.queryName(f"change files of {self.spec.name}")
         writer = writer.option("checkpointLocation", checkpoint).foreachBatch(apply)

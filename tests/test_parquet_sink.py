@@ -560,7 +560,7 @@ def test_change_files_are_applied_once_over_restarts(spark, tmp_path):
     sink, spec = small_sink(spark, tmp_path / "t", 300)
     arriving, sets = str(tmp_path / "in"), []
     apply = sink.apply
-    sink.apply = lambda rows, *args: sets.append(apply(rows, *args)) or sets[-1]
+    sink.apply = lambda rows, *args, **more: sets.append(apply(rows, *args, **more)) or sets[-1]
     feed = FileFeed(spec, arriving, sink, files_per_set=2, clock=clock)
 
     def arrive(low, high, text):
