@@ -63,21 +63,21 @@ def unit(vector: np.ndarray) -> np.ndarray:
 
 
 def prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Label, vector and bucket keys of the rows that take part."""
+    """Every row; vector and bucket keys are null where it takes no part."""
     for batch in batches:
-        rows = []
-        for vec_id, embedding, label in zip(batch["vec_id"], batch["embedding"], batch["label"]):
-            if vec_id is None or label is None or pd.isna(vec_id) or pd.isna(label):
-                continue
-            vector = usable(embedding)
-            if vector is not None:
-                rows.append((int(vec_id), str(label), vector))
-        out = []
-        for size in {len(r[2]) for r in rows}:
-            own = [r for r in rows if len(r[2]) == size]
-            keys = bucket_keys(np.array([unit(v) for _, _, v in own]))
-            out += [(i, lab, shipped(v), k.tobytes()) for (i, lab, v), k in zip(own, keys)]
-        yield pd.DataFrame(out, columns=["vec_id", "label", "vector", "keys"])
+        vectors = [
+            None if pd.isna(label) else usable(embedding)
+            for embedding, label in zip(batch["embedding"], batch["label"])
+        ]
+        content = [None if v is None else shipped(v) for v in vectors]
+        keys: list[bytes | None] = [None] * len(vectors)
+        for size in {len(v) for v in vectors if v is not None}:
+            own = [n for n, v in enumerate(vectors) if v is not None and len(v) == size]
+            for n, k in zip(own, bucket_keys(np.array([unit(vectors[n]) for n in own]))):
+                keys[n] = k.tobytes()
+        yield pd.DataFrame(
+            {"vec_id": batch["vec_id"].astype("Int64"), "label": batch["label"], "vector": content, "keys": keys}
+        )
 
 
 def shipped(vector: np.ndarray) -> bytes:
@@ -160,32 +160,26 @@ def compared(
 def linked(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
 
-    Rows without a label, id, or usable vector link with nothing and are their own
+    Rows without a label or a usable vector link with nothing and are their own
     component; vectors of different dimension don't link. Rows that repeat a
-    vec_id are one vector, and the last of them by label and vector counts; rows
-    without an id are one row, too. No rows give none.
+    vec_id, and rows without one, are vectors of their own, which link like any
+    other; ids that are null are passed over in the smallest id of a component,
+    and a component without any id has none. No rows give none.
     """
-    given = (
-        embeddings.select(
-            F.col("vec_id").cast("long"), F.struct(F.col("label").cast("string").alias("label"), "embedding").alias("v")
-        )
-        .groupBy("vec_id")
-        .agg(F.max("v").alias("v"))
-        .select("vec_id", "v.*")
-    )
-    valid = keep(
-        given.where("vec_id is not null and label is not null and embedding is not null").mapInPandas(
-            prepared, "vec_id long, label string, vector binary, keys binary"
-        ),
-        "vectors",
-    )
+    rows = embeddings.select(
+        F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("label")
+    ).mapInPandas(prepared, "vec_id long, label string, vector binary, keys binary")
+    # Fixed once it is written: a task that runs again gives its rows the same numbers.
+    given = keep(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    valid = given.where("vector is not null")
     # equal vectors of one label are one, with a weight
     classes = keep(
         valid.groupBy("label", "vector", "keys").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("weight")
+            F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("vec_id").alias("low")
         ),
         "classes",
     )
+
     @F.pandas_udf("array<long>")
     def unpacked(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: np.frombuffer(k, np.int64))
@@ -219,20 +213,27 @@ def linked(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     counts = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("edge").select("a", "b"))
-    members = (
-        valid.join(classes.select("label", "vector", "rep", "weight"), ["label", "vector"])
+    own = F.coalesce("component", "rep").alias("component")
+    rooted = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
+        "label", "vector", "rep", "weight", "low", own
+    )
+    lowest = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
+    told = (
+        rooted.join(lowest, "component")
         .join(counts, "rep", "left")
-        .join(joined, F.col("rep") == F.col("node"), "left")
         .select(
-            "vec_id",
+            "label",
+            "vector",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            "component_id",
         )
     )
-    apart = given.select("vec_id").join(valid.select("vec_id"), "vec_id", "left_anti")
-    return members.unionByName(
-        apart.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    members = valid.join(told, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    apart = given.where("vector is null").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
+    kept = F.col("vec_id").eqNullSafe(F.col("component_id"))
+    return members.unionByName(apart).withColumn("kept", kept)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,20 +242,25 @@ def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH RECURSIVE v AS (
-    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-    WHERE label IS NOT NULL AND vec_id IS NOT NULL
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS row, * FROM embeddings),
+v AS (
+    SELECT row, label, embedding::DOUBLE[] AS e FROM r
+    WHERE label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
 ), n AS (
-    SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM v
+    SELECT row, label, e, sqrt(list_inner_product(e, e)) AS size FROM v
+    WHERE list_bool_or(list_transform(e, lambda x: x <> 0))
 ), p AS (
-    SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
-    ON a.label = b.label AND a.vec_id <> b.vec_id
+    SELECT a.row AS a, b.row AS b FROM n a JOIN n b
+    ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e)
     AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.93
 ), reach AS (
-    SELECT vec_id AS node, vec_id AS got FROM embeddings
+    SELECT row AS node, row AS got FROM r
     UNION SELECT reach.node, p.b FROM reach JOIN p ON reach.got = p.a
-), lowest AS (SELECT node, min(got) AS component_id FROM reach GROUP BY node)
-SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM embeddings JOIN lowest ON vec_id = node
-LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) ON a = vec_id
+), lowest AS (
+    SELECT node, min(vec_id) AS component_id FROM reach JOIN r ON got = row GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id,
+       vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN lowest ON row = node
+LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) ON a = row
 """

@@ -27,6 +27,10 @@ FACTOR = 1.0
 LEAF = 256
 SHARD_ROWS = 8_192
 QUERY_ROWS = 4_096
+#: Bound of the error of a product, as a share of the lengths of its vectors.
+ROUNDING = 1e-12
+#: Pairs whose products are worked out at a time.
+PAIRS = 100_000
 
 
 class Node:
@@ -94,13 +98,26 @@ class Search:
                 self.visit(half, at[open_])
 
     def scan(self, rows: np.ndarray, at: np.ndarray) -> None:
+        """Merge the rows of a leaf into the results of the queries ``at``.
+
+        A product in a matrix product depends in its last bit on its place there. So
+        that serves to leave out rows; what is near the k-th is worked out pair by pair.
+        """
         ids = self.ids[rows]
-        scores = self.queries[at] @ self.vectors[rows].T
-        scores[self.own[at][:, None] == ids[None]] = -np.inf
-        better = (scores >= self.scores[at, -1][:, None]).any(axis=1)
-        at, scores = at[better], scores[better]
+        about = self.queries[at] @ self.vectors[rows].T
+        about[self.own[at][:, None] == ids[None]] = -np.inf
+        slack = ROUNDING * np.sqrt(self.squares[at]) * self.longest
+        better = (about >= (self.scores[at, -1] - slack)[:, None]).any(axis=1)
+        at, about, slack = at[better], about[better], slack[better]
         if not len(at):
             return
+        both = np.concatenate([self.scores[at], about], axis=1)
+        least = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k] - slack
+        scores = np.full(about.shape, -np.inf)
+        query, row = np.nonzero((about >= least[:, None]) & (about > -np.inf))
+        for part in range(0, len(query), PAIRS):
+            q, r = query[part : part + PAIRS], row[part : part + PAIRS]
+            scores[q, r] = (self.queries[at[q]] * self.vectors[rows[r]]).sum(axis=1)
         all_scores = np.concatenate([self.scores[at], scores], axis=1)
         all_ids = np.concatenate([self.found[at], np.broadcast_to(ids, scores.shape)], axis=1)
         order = np.lexsort((all_ids, -all_scores))[:, : self.k]
@@ -149,7 +166,9 @@ def nearest(
 
     Both have (vec_id, embedding). Rows without an id or a usable vector take no
     part, and only vectors of the query's dimension are compared. Of rows that
-    repeat a vec_id, the one that is last in the order of arrays counts. Every
+    repeat a vec_id, the one that is last in the order of arrays counts. Equal
+    vectors have equal scores, and of equal scores the smaller vec_ids come first,
+    however many there are. Empty tables give no rows. Every
     shard meets every block of queries once, so a query's result holds k rows of
     each shard before the last step.
     """

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from compare import differences, oracle_connection
@@ -66,10 +67,13 @@ AWKWARD = [
 def test_awkward_vectors(spark, folder_of):
     rows = spark.createDataFrame(AWKWARD, SCHEMA).withColumns({"rep": F.lit(1), "key": F.lit("k"), "score": F.lit(0)})
     folder = folder_of(embeddings=rows)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in op1_embedding_near_dedup(spark, folder).collect()}
-    assert len(got) == 14
-    assert all(got[i] == (3, 1) for i in (1, 2, 12, 20))
-    assert all(got[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, None))
+    found = op1_embedding_near_dedup(spark, folder)
+    assert differences(found, vectors_connection(folder), OP1_SQL) == []
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found.collect()))
+    # One row per vector: 2 is there twice, and the one without an id links too.
+    linked_ids = [(0, 5, 1, False), (1, 5, 1, True), (2, 5, 1, False), (2, 5, 1, False)]
+    linked_ids += [(12, 5, 1, False), (20, 5, 1, False)]
+    assert got == sorted(linked_ids + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)])
     near = [(r.query_id, r["rank"], r.vec_id) for r in op8_nearest_neighbours(spark, folder).orderBy("rank").collect()]
     assert near == [(20, 1, 2), (20, 2, 3), (20, 3, 1), (20, 4, 4), (20, 5, 12)]
     empty = rows.limit(0)
@@ -77,6 +81,38 @@ def test_awkward_vectors(spark, folder_of):
     assert nearest(rows.where("vec_id = 1"), rows.where("vec_id = 1")).count() == 0
 
 
+def vectors_connection(folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return con
+
+
+def test_different_vectors_that_share_an_id_stay_apart(spark, folder_of):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (None, [0.0, 2.0], 1), (None, [5.0, 1.0], 2), (7, [5.0, 5.0], 1)]
+    folder = folder_of(embeddings=spark.createDataFrame(rows * 3, SCHEMA))
+    found = op1_embedding_near_dedup(spark, folder)
+    assert differences(found, vectors_connection(folder), OP1_SQL) == []
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in found.collect())
+    assert got == sorted([(1, 2, 1), (1, 5, 1), (0, 5, 1), (0, 2, 0), (7, 2, 7)] * 3)
+
+
+def test_thousands_of_equal_vectors_tie_exactly(spark):
+    rng = np.random.default_rng(9)
+    kinds = rng.standard_normal((5, 64)).astype(np.float32)
+    of = rng.integers(0, 5, 4000)
+    rows = spark.createDataFrame([(i, kinds[k].tolist()) for i, k in enumerate(of.tolist())], "vec_id long, embedding array<float>")
+    found = nearest(rows, rows.where("vec_id % 20 = 0"), 20, shard_rows=700, query_rows=64).collect()
+    x = kinds.astype(np.float64)
+    scores = {}
+    for q in range(0, 4000, 20):
+        best = np.argsort(-(x @ x[of[q]]), kind="stable")
+        want = [i for k in best for i in np.flatnonzero(of == k).tolist() if i != q][:20]
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == want
+        for r in own:
+            assert scores.setdefault((of[q], of[r.vec_id]), r.score) == r.score
+
+
 @pytest.mark.parametrize("factor", [1.0, 1.1])
 def test_neighbours_against_brute_force(spark, factor):
     rng = np.random.default_rng(5)
