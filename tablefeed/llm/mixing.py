@@ -193,7 +193,8 @@ def sized(documents: DataFrame) -> DataFrame:
 def take_copies(documents: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it is taken, in its own columns.
 
-    Repeated rows take the mean of their copies, the first of them the rest.
+    Repeated rows take the mean of their copies, and the first of them the rest: the
+    first by their other columns, so that every run takes the same ones.
     """
     sizes = sized(documents)
     taken = mixed(sizes).groupBy("copy_key").agg(
@@ -207,7 +208,7 @@ def take_copies(documents: DataFrame) -> DataFrame:
     )
     single = rows.join(taken.where("_rows = 1"), "copy_key")
     many = rows.join(taken.where("_rows > 1"), "copy_key")
-    nth = F.row_number().over(Window.partitionBy("copy_key").orderBy("copy_key"))
+    nth = F.row_number().over(Window.partitionBy("copy_key").orderBy(F.sha2(F.to_json("_row"), 256)))
     spread = many.withColumn(
         "_copies", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
     )

@@ -230,11 +230,15 @@ def learned(documents: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float
         )
 
     vectors_of = F.pandas_udf(vectors, "code long, buckets binary, values binary")
+    # Where ids repeat, more rows may be drawn: then the least hashes stay. Rows alike in
+    # both are alike in id and text.
+    by_id, by_text = F.xxhash64(F.lit("sample"), "doc_id"), F.xxhash64("text")
     drawn = (
-        documents.where(F.xxhash64(F.lit("sample"), "doc_id") <= least)
-        .select(vectors_of("text").alias("v"))
-        .select("v.*")
+        documents.where(by_id <= least)
+        .select(vectors_of("text").alias("v"), by_id.alias("by_id"), by_text.alias("by_text"))
+        .orderBy("by_id", "by_text")
         .limit(2 * sample)
+        .select("v.*")
         .collect()
     )
     drawn = sorted((r for r in drawn if r.buckets), key=lambda r: (r.code, bytes(r.buckets), bytes(r["values"])))

@@ -6,6 +6,7 @@ from test_minhash import brute_classes
 from test_secrets_tokens import base_spans
 from test_sharding_mixing_packing import check_packing
 
+from tablefeed.llm.quality import judged
 from tablefeed.llm.secrets import spans_of
 
 FOLDER = "/root/testdata/sf0.01"
@@ -56,3 +57,29 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     check_packing(rows)
     assert len(rows) > 50
+
+
+def test_rows_that_differ_in_other_columns_are_chosen_alike(spark):
+    """One document repeated under other languages and sizes, in two orders and partitionings."""
+    text = " ".join(f"word{i} and" for i in range(80))
+    rows = [(7, text, lang, "s", n) for n, lang in enumerate(["de", "en", "fr", "es"] * 5)]
+    rows += [(i, f"{text} number {i} " * 3, "en", "t", i) for i in range(30, 40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    given = [
+        spark.createDataFrame(rows, schema).repartition(3),
+        spark.createDataFrame(rows[::-1], schema).coalesce(1),
+    ]
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in ("near_dedup", "mixing"):
+        got = [sorted(map(tuple, stages[stage](spark, docs, None).collect())) for docs in given]
+        assert got[0] == got[1] and got[0]
+
+
+def test_the_scorer_is_the_same_on_every_run(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    many = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 50))
+    scores = []
+    for rows in (many.repartition(7), many.orderBy(F.desc("text")).coalesce(2)):
+        found = judged(rows, sample=100).select("text", "_judged.score").collect()
+        scores.append(sorted(map(tuple, found), key=repr))
+    assert scores[0] == scores[1]
