@@ -33,16 +33,25 @@ class NumberedRows:
     driver keeps one number per chunk, where it starts.
     """
 
-    def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str], path: str) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        df: DataFrame,
+        order: Sequence[str],
+        path: str,
+        stored: bool = False,
+    ) -> None:
         self.spark, self.path, self.columns = spark, path, df.columns
-        # The source runs once: its rows are measured while they are written, and
-        # cut and sorted from these files.
-        made, size = f"{path}-unsorted", Observation()
-        df.observe(
-            size, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")
-        ).write.parquet(made)
-        kept = spark.read.parquet(made)
-        chunks = chunk_count(spark, size.get["rows"], size.get["bytes"] or 0)
+        made, sizes = f"{path}-unsorted", Observation()
+        measures = [F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes")]
+        if stored:
+            kept, size = df, df.agg(*measures).first().asDict()
+        else:
+            # The source runs once: its rows are measured while they are written, and
+            # cut and sorted from these files.
+            df.observe(sizes, *measures).write.parquet(made)
+            kept, size = spark.read.parquet(made), sizes.get
+        chunks = chunk_count(spark, size["rows"], size["bytes"] or 0)
         ranged = kept.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
         position = F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1)
         placed = ranged.withColumns({CHUNK: F.spark_partition_id(), PLACE: position})
@@ -78,15 +87,22 @@ def chunk_count(spark: SparkSession, rows: int, size: int) -> int:
     return max(1, -(-size // CHUNK_BYTES), by_cores)
 
 
-def numbered(spark: SparkSession, df: DataFrame, order: Sequence[str], path: str | None = None):
+def numbered(
+    spark: SparkSession,
+    df: DataFrame,
+    order: Sequence[str],
+    path: str | None = None,
+    stored: bool = False,
+) -> DataFrame:
     """The rows with ``ORDINAL``, their place in ``order``, from 0.
 
     ``order`` must tell any two rows apart. The rows are range-partitioned,
     sorted within partitions and written once with their partition and place in
     it, so that counting the partitions and numbering the rows see the same
-    ones, also after executors are lost. ``df`` is run once.
+    ones, also after executors are lost. ``df`` is run once, into files, unless
+    ``stored`` says that it reads files itself and costs little.
     """
-    kept = NumberedRows(spark, df, order, path or scratch_path(spark, "numbered"))
+    kept = NumberedRows(spark, df, order, path or scratch_path(spark, "numbered"), stored)
     return kept.between(0, kept.total)
 
 
@@ -118,7 +134,7 @@ class ChangeSource:
 
     total: int
     #: Whether the rows lie in files.
-    kept = False
+    in_files = False
 
     def between(self, low: int, high: int) -> DataFrame:
         """The rows with ordinals low..high-1, with the ordinal."""
@@ -171,10 +187,12 @@ class GeneratedChanges(ChangeSource):
 class TableChanges(ChangeSource):
     """A table, numbered once in key order and kept in chunks of that order."""
 
-    kept = True
+    in_files = True
 
-    def __init__(self, spark: SparkSession, df: DataFrame, order: Sequence[str]) -> None:
-        self.kept = NumberedRows(spark, df, order, scratch_path(spark, "changes"))
+    def __init__(
+        self, spark: SparkSession, df: DataFrame, order: Sequence[str], stored: bool = False
+    ) -> None:
+        self.kept = NumberedRows(spark, df, order, scratch_path(spark, "changes"), stored)
         self.total = self.kept.total
 
     def between(self, low: int, high: int) -> DataFrame:

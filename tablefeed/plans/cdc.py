@@ -37,7 +37,7 @@ class Feed:
         """Apply the batches due at ticks first..end-1 as set ``number`` of a run, unless done before."""
         changes = self.source.at_ticks(first, end, self.pace.batch_rows)
         now_text = self.sink.time_text(self.clock(number))
-        return self.sink.apply(changes, self.spec, number, now_text, run, self.source.kept)
+        return self.sink.apply(changes, self.spec, number, now_text, run, self.source.in_files)
 
 
 def apply_batches(

@@ -32,11 +32,12 @@ class LoadError(RuntimeError):
 
 @dataclass(frozen=True)
 class Load:
-    """What to fill a table with; ``keyed`` as in ``Sink.append``."""
+    """What to fill a table with; ``keyed`` and ``stored`` as in ``Sink.append``."""
 
     spec: TableSpec
     rows: DataFrame
     keyed: bool = False
+    stored: bool = False
 
 
 def generated_loads(spark: SparkSession, tables: str, sizes: Sizes) -> list[Load]:
@@ -55,7 +56,7 @@ def load_table(sink: Sink, load: Load) -> int:
     """Fill one table, directly or through a staging table, and return the rows added."""
     spec = load.spec
     if not sink.staged:
-        return sink.append(load.rows, spec, load.keyed)
+        return sink.append(load.rows, spec, load.keyed, load.stored)
     staging = sink.create_staging(spec)
     try:
         rows = sink.stage(load.rows, spec, staging)

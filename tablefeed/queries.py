@@ -153,20 +153,20 @@ def null_violations_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def batches_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
-    ordered = numbered(spark, orders, ["o_orderkey"])
+    ordered = numbered(spark, orders, ["o_orderkey"], stored=True)
     return ordered.select("o_orderkey", batch_number(BATCH_ROWS).alias(BATCH))
 
 
 def batches_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     lines, spec = unique_lineitem(spark, folder)
-    ordered = numbered(spark, written(spark, lines, "lineitem"), spec.pk)
+    ordered = numbered(spark, lines, spec.pk)
     return ordered.select(*spec.pk, batch_number(BATCH_ROWS).alias(BATCH))
 
 
 def replay_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Two passes over the orders in batches, and the first batch of a third."""
     orders = read_table(spark, folder, "orders")
-    ordered = numbered(spark, orders, ["o_orderkey"])
+    ordered = numbered(spark, orders, ["o_orderkey"], stored=True)
     batches = batch_total(orders.count(), BATCH_ROWS)
     due = replayed(ordered.withColumn(BATCH, batch_number(BATCH_ROWS)), batches, 2 * batches + 1)
     return due.select(TICK, BATCH, *orders.columns)
@@ -234,7 +234,7 @@ def snapshot_report(spark: SparkSession, folder: str) -> DataFrame:
     loads = []
     for name in names:
         rows = read_table(spark, folder, name)
-        loads.append(Load(spec_of(rows, name), rows))
+        loads.append(Load(spec_of(rows, name), rows, stored=True))
     return _report(run_snapshot(spark, ParquetSink(spark), loads, drop=True))
 
 
@@ -258,7 +258,7 @@ def truncate_reload_customer(spark: SparkSession, folder: str) -> DataFrame:
     """Load, empty, drop, create and load again: the rows are there once."""
     customer = read_table(spark, folder, "customer")
     spec = spec_of(customer, "customer")
-    sink, load = ParquetSink(spark), Load(spec, customer)
+    sink, load = ParquetSink(spark), Load(spec, customer, stored=True)
     run_snapshot(spark, sink, [load], strict=True)
     sink.truncate_table(spec)
     run_snapshot(spark, sink, [load], strict=True)
@@ -271,7 +271,7 @@ def truncate_reload_customer(spark: SparkSession, folder: str) -> DataFrame:
 
 def _loaded_sink(spark: SparkSession, spec: TableSpec, rows: DataFrame) -> ParquetSink:
     sink = ParquetSink(spark)
-    run_snapshot(spark, sink, [Load(spec, rows)], strict=True)
+    run_snapshot(spark, sink, [Load(spec, rows, stored=True)], strict=True)
     return sink
 
 
@@ -300,7 +300,7 @@ def _one_and_a_half_passes(feed: Feed) -> tuple[int, int]:
 def cdc_after_k_batches(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     spec = spec_of(documents, "documents", comment="text")
-    source = TableChanges(spark, document_changes(documents), spec.pk)
+    source = TableChanges(spark, document_changes(documents), spec.pk, stored=True)
     feed = Feed(spec, source, _loaded_sink(spark, spec, documents), Pace(spec.name, 1000), clock)
     ticks, per_set = _one_and_a_half_passes(feed)
     apply_batches(feed, 0, ticks, per_set)
@@ -312,7 +312,7 @@ def cdc_two_feeds_documents(spark: SparkSession, folder: str) -> DataFrame:
     """As ``cdc_after_k_batches``, by two runs that each number their sets from 0."""
     documents = read_table(spark, folder, "documents")
     spec = spec_of(documents, "documents", comment="text")
-    source = TableChanges(spark, document_changes(documents), spec.pk)
+    source = TableChanges(spark, document_changes(documents), spec.pk, stored=True)
     sink, pace = _loaded_sink(spark, spec, documents), Pace(spec.name, 1000)
     first = Feed(spec, source, sink, pace, clock)
     second = Feed(spec, source, sink, pace, lambda number: clock(number + 1))
@@ -327,7 +327,7 @@ def cdc_stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     """As ``cdc_after_k_batches``, by a streaming query; the priority stands in for a comment."""
     orders = read_table(spark, folder, "orders")
     spec = spec_of(orders, "orders", comment="o_orderpriority")
-    source = TableChanges(spark, order_changes(orders), spec.pk)
+    source = TableChanges(spark, order_changes(orders), spec.pk, stored=True)
     feed = Feed(spec, source, _loaded_sink(spark, spec, orders), Pace(spec.name, 10_000), clock)
     ticks, per_set = _one_and_a_half_passes(feed)
     running = RunningFeed(
@@ -366,8 +366,8 @@ def cdc_resumed_orders(spark: SparkSession, folder: str) -> DataFrame:
     spec = spec_of(orders, "orders", comment="o_orderpriority")
     sink, pace = _loaded_sink(spark, spec, orders), Pace(spec.name, 10_000)
     dearer = orders.withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    first = TableChanges(spark, dearer, spec.pk)
-    other = TableChanges(spark, order_changes(orders), spec.pk)
+    first = TableChanges(spark, dearer, spec.pk, stored=True)
+    other = TableChanges(spark, order_changes(orders), spec.pk, stored=True)
     feed = Feed(spec, first, sink, pace, lambda number: clock(0))
     ticks = first.batches(pace.batch_rows)
     half = -(-ticks // 2)

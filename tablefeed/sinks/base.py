@@ -70,9 +70,13 @@ class Sink:
     def truncate_table(self, spec: TableSpec) -> None:
         raise NotImplementedError
 
-    def append(self, df: DataFrame, spec: TableSpec, keyed: bool = False) -> int:
+    def append(
+        self, df: DataFrame, spec: TableSpec, keyed: bool = False, stored: bool = False
+    ) -> int:
         """Add rows straight to the table and return how many.
 
+        ``stored`` says that they are read from files, at little cost and alike each time.
+
         ``keyed`` says that keys are known to be distinct and come in order, as generated.
         """
         raise NotImplementedError

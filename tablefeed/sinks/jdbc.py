@@ -141,7 +141,9 @@ class JdbcSink(Sink):
         self.database.write(rows, quoted, SNAPSHOT_BATCH, self.connections)
         return seen.get["rows"]
 
-    def append(self, df: DataFrame, spec: TableSpec, keyed: bool = False) -> int:
+    def append(
+        self, df: DataFrame, spec: TableSpec, keyed: bool = False, stored: bool = False
+    ) -> int:
         """Keys and nulls are the database's to check; ``keyed`` changes nothing."""
         return self._write(df.select(*spec.columns), spec.name)
 

@@ -232,10 +232,12 @@ class ParquetSink(Sink):
             self.drop_table(spec)
             self._create(spec, width)
 
-    def append(self, df: DataFrame, spec: TableSpec, keyed: bool = False) -> int:
+    def append(
+        self, df: DataFrame, spec: TableSpec, keyed: bool = False, stored: bool = False
+    ) -> int:
         df = df.select(*spec.columns)
-        if keyed and self.layout(spec).width is not None:
-            return self._append(df, spec, keyed=True)
+        if stored or (keyed and self.layout(spec).width is not None):
+            return self._append(df, spec, keyed)
         with self._work(spec) as path:
             # The rows may come from anywhere: they are made once.
             require_values(df, spec).write.parquet(path)
