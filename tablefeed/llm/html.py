@@ -291,7 +291,11 @@ def features_of(blocks: Sequence[Block]) -> list[tuple[float, ...]]:
 
 
 def main_text(html: str | None, tree: Split | int = TREE) -> str:
-    """The article of a page, a line for each block; null and empty pages have none."""
+    """The article of a page, a line for each block; null and empty pages have none.
+
+    Markup that is not closed, not opened or not markup at all is read as far as
+    it goes: every page gives a text, and a page of any length or depth is read whole.
+    """
     blocks = blocks_of(html) if html else []
     return "\n".join(b.text for b, x in zip(blocks, features_of(blocks)) if decide(tree, x))
 

@@ -249,7 +249,10 @@ def learned(documents: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float
 def judged(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``documents`` with a struct ``_judged``: posterior, score, keep.
 
-    Repeated rows are judged alike. No rows, no judgement.
+    Repeated rows are judged alike. A null text, an empty one and one without words
+    have score 0 and are not kept; a text of any length is judged whole. Whatever
+    the order and partitioning of the rows, the scorer is the same. No rows, no
+    judgement.
     """
     fine, weights = learned(documents.select("doc_id", F.col(text).alias("text")), sample)
     spark = documents.sparkSession

@@ -159,7 +159,11 @@ def findings(texts: pd.Series) -> pd.DataFrame:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id and the findings of every row of (doc_id, text), repeated rows included."""
+    """doc_id and the findings of every row of (doc_id, text), repeated rows included.
+
+    A null or empty text holds nothing; a text of any length is scanned whole, in one
+    pass for keywords. No rows give no rows.
+    """
     scanned = F.pandas_udf(findings, FINDINGS)
     return documents.select("doc_id", scanned("text").alias("_s")).select("doc_id", "_s.*")
 

@@ -109,8 +109,9 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of (doc_id, text).
 
     Words are parted by white space and each starts with a space for the
-    vocabulary. A null or empty text has no words. Rows may be repeated. The
-    vocabulary is read by the driver and sent along.
+    vocabulary. A null or empty text has no words. Rows may be repeated, and a text
+    of any length is read whole. No rows give no rows. The vocabulary is read by
+    the driver and sent along.
     """
     import public_tokenizers
 
