@@ -53,6 +53,29 @@ def gapless(
     )
 
 
+def told_apart(rows: DataFrame, block: int = SLICE_ROWS) -> DataFrame:
+    """(row, nth): every row as a struct, equal ones numbered from 0.
+
+    Equal rows are counted into a kept table, by partial counts before the shuffle, and written out
+    again from their count; those of more than ``block`` by a task for each block.
+    So no task gathers a row that is repeated often, and the numbers don't depend
+    on how the rows lie.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+    counts = keep(rows.select(row).groupBy("row").agg(F.count("*").alias("n")), "counted")
+    few = counts.where(F.col("n") <= block).select(
+        "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")
+    )
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))
+    many = (
+        counts.where(F.col("n") > block)
+        .select("row", "n", F.explode(firsts).alias("first"))
+        .repartition("row", "first")
+        .select("row", F.explode(F.sequence("first", F.least(F.col("first") + block, "n") - 1)).alias("nth"))
+    )
+    return few.unionByName(many)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); a component is its smallest node.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablefeed.llm.common import keep, table
+from tablefeed.llm.common import keep, table, told_apart
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 200
 EPSILON = 1e-9
 
-STATE = "struct<doc_id:bigint,copy_key:bigint,size:bigint,whole:bigint,x:double>"
+STATE = "struct<doc_id:bigint,copy_key:bigint,nth:bigint,size:bigint,whole:bigint,x:double>"
 
 
 def words(text: Column) -> Column:
@@ -66,7 +66,7 @@ def _pair(a: Column, d: Column) -> Column:
     up = F.least(1 - a["x"], d["x"] / ratio)
     down = F.least(a["x"], (1 - d["x"]) / ratio)
     # a goes up by `up` with chance down / (up + down), else down by `down`
-    draw = F.pmod(F.xxhash64(F.lit("pair"), a["copy_key"], d["copy_key"], a["x"]), F.lit(1 << 53)) / float(1 << 53)
+    draw = F.pmod(F.xxhash64(F.lit("pair"), a["copy_key"], a["nth"], d["copy_key"], d["nth"], a["x"]), F.lit(1 << 53)) / float(1 << 53)
     move = F.when(draw * (up + down) < down, up).otherwise(-down)
 
     def at(s: Column, x: Column) -> Column:
@@ -74,6 +74,7 @@ def _pair(a: Column, d: Column) -> Column:
         return F.struct(
             s["doc_id"].alias("doc_id"),
             s["copy_key"].alias("copy_key"),
+            s["nth"].alias("nth"),
             s["size"].alias("size"),
             s["whole"].alias("whole"),
             x.alias("x"),
@@ -112,10 +113,11 @@ def _round_group(states: Column) -> Column:
 def mixed(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, source, size, copy_key, source_size, target, copies) for (doc_id, source, size, copy_key).
 
-    ``copy_key`` tells rows apart and orders them; rows that are equal in all
-    columns are rounded apart from each other. A document without words is never
-    taken. Reruns over the same rows give the same copies.
+    ``copy_key`` orders rows. Rows that are equal in all columns are numbered and
+    the number decides their group too, so that no group holds them all. A document
+    without words is never taken. No rows give no rows. Reruns over the same rows give the same copies.
     """
+    documents = told_apart(documents.select("doc_id", "source", "size", "copy_key")).select("row.*", "nth")
     sizes = documents.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes.select("source", "source_size")).join(
         sizes.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))
@@ -132,16 +134,16 @@ def mixed(documents: DataFrame, group: int = GROUP) -> DataFrame:
         .withColumn("whole", whole)
         .withColumn("x", F.when(part < EPSILON, 0.0).otherwise(part))
     )
-    state = F.struct("doc_id", "copy_key", "size", "whole", "x")
+    state = F.struct("doc_id", "copy_key", "nth", "size", "whole", "x")
     fixed = F.col("x").eqNullSafe(0.0) | (F.col("size") == 0)
     facts = ["source", "source_size", "target"]
     done = [told.where(fixed).select(*facts, "size", "doc_id", "copy_key", F.col("whole").alias("copies"))]
     nodes = max(1, -(-most // group))
-    node = F.pmod(F.xxhash64(F.lit("leaf"), "copy_key"), F.greatest(F.ceil(F.col("n") / group), F.lit(1)))
+    node = F.pmod(F.xxhash64(F.lit("leaf"), "copy_key", "nth"), F.greatest(F.ceil(F.col("n") / group), F.lit(1)))
     open_ = told.where(~fixed).select(*facts, state.alias("state"), node.alias("node"))
     while True:
         grouped = open_.groupBy(*facts, "node").agg(
-            F.sort_array(F.collect_list(F.struct(F.col("state.copy_key"), F.col("state")))).alias("all")
+            F.sort_array(F.collect_list(F.struct(F.col("state.copy_key"), F.col("state.nth"), F.col("state")))).alias("all")
         )
         rounded = grouped.select(
             *facts, "node", _round_group(F.transform("all", lambda s: s["state"])).alias("r")
@@ -153,7 +155,7 @@ def mixed(documents: DataFrame, group: int = GROUP) -> DataFrame:
         last = nodes == 1
         if last:
             # one fraction is left for each source: a last draw decides it
-            draw = F.pmod(F.xxhash64(F.lit("last"), "on.copy_key"), F.lit(1 << 53)) / float(1 << 53)
+            draw = F.pmod(F.xxhash64(F.lit("last"), "on.copy_key", "on.nth"), F.lit(1 << 53)) / float(1 << 53)
             settled = F.concat("done", F.array(F.col("on").withField("x", F.when(draw < F.col("on.x"), 1.0).otherwise(0.0))))
         done.append(
             rounded.select(*facts, F.explode(settled).alias("s")).select(
@@ -177,16 +179,13 @@ def mixed(documents: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, size, copy_key), kept: the texts are read once."""
+    """(doc_id, source, size, copy_key), without the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return keep(
-        documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            "source",
-            words(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "source", text).alias("copy_key"),
-        ),
-        "sizes",
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "source",
+        words(F.col("text")).alias("size"),
+        F.xxhash64("doc_id", "source", text).alias("copy_key"),
     )
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tablefeed.llm.common import SLICE_ROWS, gapless, keep, table
+from tablefeed.llm.common import SLICE_ROWS, gapless, keep, table, told_apart
 
 SHARDS = 8
 
@@ -63,34 +63,37 @@ def shuffled_into_shards(
     """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard).
 
     Any column may be null and any row may be repeated: rows that are equal in
-    all columns take places that are theirs in any order. Columns named shard or
-    slot are replaced. No rows give no rows. Only counts per part, of about
-    ``part_rows`` rows each, reach the driver.
+    all columns are numbered, and the number is hashed with the row, so they are
+    dealt as far apart as any others. Columns named shard or slot are replaced, a
+    text of any length is one value. No rows give no rows. Only counts per part, of
+    about ``part_rows`` rows each, reach the driver.
     """
     spark = rows.sparkSession
-    parts = max(1, -(-rows.count() // part_rows))
-    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    dealt = rows.select(row.alias("row")).withColumn(
-        "part", F.pmod(F.xxhash64(F.lit(seed), F.lit("part"), "row"), F.lit(parts)).cast("int")
-    )
+    apart = told_apart(rows, part_rows)
+    parts = max(1, -(-apart.count() // part_rows))
+
+    def drawn(purpose: str) -> Column:
+        return F.xxhash64(F.lit(seed), F.lit(purpose), "row", "nth")
+
+    dealt = apart.withColumn("part", F.pmod(drawn("part"), F.lit(parts)).cast("int"))
     counts = dict(dealt.groupBy("part").count().collect())
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
     cuts = spark.createDataFrame(
         [(p, np.cumsum(matrix[p]).tolist()) for p in range(parts)], "part int, cuts array<long>"
     )
-    first = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit("first"), "row"))
+    first = Window.partitionBy("part").orderBy(drawn("first"))
     sent = (
         dealt.withColumn("rank", F.row_number().over(first) - 1)
         .join(cuts, "part")
         .select(
             "row",
+            "nth",
             sum((F.col("rank") >= F.col("cuts")[s]).cast("int") for s in range(shards - 1)).alias("shard")
             if shards > 1
             else F.lit(0).alias("shard"),
         )
     )
-    order = [F.xxhash64(F.lit(seed), F.lit("second"), "row")]
-    placed = gapless(keep(sent, "sent"), ["shard"], order, "slot", part_rows)
+    placed = gapless(keep(sent, "sent"), ["shard"], [drawn("second")], "slot", part_rows)
     kept = [F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")]
     return placed.select(*kept, F.col("shard").cast("int"), F.col("slot").cast("long"))
 

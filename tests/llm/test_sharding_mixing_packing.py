@@ -77,6 +77,19 @@ def test_many_small_parts_shuffle_evenly(spark):
     assert max(abs(m - 399.5) for m in means) < 40
 
 
+def test_repeated_rows_are_spread(spark):
+    rows = spark.range(8000).selectExpr("if(id < 3200, -1, id) a", "if(id < 3200, null, 'x') b")
+    got = shuffled_into_shards(rows, 8, part_rows=1000).collect()
+    check_shards(got, 8)
+    for own in ([r for r in got if r.a == -1], [r for r in got if r.a != -1]):
+        shards, places = Counter(r.shard for r in own), Counter(r.slot // 125 for r in own)
+        for found in (shards, places):
+            mean = len(own) / 8
+            assert sum((found[i] - mean) ** 2 / mean for i in range(8)) < 24.3  # chi-square, 7 degrees, 0.001
+    again = shuffled_into_shards(rows.repartition(5), 8, part_rows=1000).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_awkward_rows_are_sharded(spark, awkward, folder_of):
     clash = awkward.withColumns({"shard": F.lit("mine"), "slot": F.lit(1), "part": F.lit(0)})
     got = op6_sharding(spark, folder_of(documents=clash)).collect()
@@ -142,6 +155,22 @@ def test_chances_are_kept(spark):
         assert abs(np.mean([r.copies for r in own]) - own[0].target / own[0].source_size) < 0.12
 
 
+def test_repeated_rows_are_mixed(spark):
+    docs = spark.range(60_000).selectExpr(
+        "if(id < 30000, null, id) doc_id", "if(id % 3 = 0, 'a', 'b') source", "5L size", "if(id < 30000, 7, xxhash64(id)) copy_key"
+    )
+    got = mixed(docs)
+    assert got.count() == 60_000
+    told = got.groupBy("source", F.col("doc_id").isNull().alias("same")).agg(
+        F.avg("copies").alias("copies"), F.max(F.col("target") / F.col("source_size")).alias("share"), F.count("*").alias("n")
+    )
+    for r in told.collect():
+        assert r.n in (10_000, 20_000) and abs(r.copies - r.share) < 0.02
+    taken = got.groupBy("source").agg((F.sum(F.col("copies") * 5) - F.max("target")).alias("off")).collect()
+    assert all(abs(r.off) <= 5 for r in taken)
+    assert got.exceptAll(mixed(docs.repartition(7))).count() == 0
+
+
 def test_sources_that_fill_up(spark):
     rows = [(1, "a", 10), (2, "b", 1000), (3, "c", 5), (4, None, 0), (5, "d", 2000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("copy_key", F.col("doc_id"))
