@@ -5,6 +5,10 @@ link density, and so have its neighbours; besides, it lies inside some kind of
 element. A small decision tree, grown here from a labelled table, says whether a
 block belongs to the article ("Boilerplate Detection using Shallow Text
 Features", Kohlschuetter and others, which this follows in its features).
+
+Names of classes say where a container stands. On an element of text itself, a
+paragraph or a heading, they only raise a doubt, which words and links settle; so
+they do for all blocks of a page whose elements tell nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ VOID_TAGS = frozenset(
 )
 OUTER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that are a piece of text rather than hold a part of the page.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 #: Words in class, id or role of an element that isn't part of the article.
 OUTER_NAMES = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|consent|"
@@ -53,16 +59,23 @@ ASIDE_NAMES = re.compile(
     r"(?<![a-z])(?:comments?|repl(?:y|ies)|ads?|adverts?|promo|promoted|sponsored|related|sidebar|footer)(?![a-z])"
 )
 
+#: Names that tell the state of an element, not its part in the page.
+STATE_NAMES = re.compile(
+    r"\A(?:has|with|without|no|is)-|-(?:open|closed|enabled|disabled|allowed|layout|fixed|sticky|visible)\Z"
+)
+#: The head of an article that isn't in the article's element.
+HEADLINE_NAMES = re.compile(r"\A(?:article|entry|post|story)-?header\Z")
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
+    r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)"""
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 NAMES = re.compile(
-    r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE
+    r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE
 )
 HIDDEN = re.compile(
     r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""",
@@ -78,7 +91,7 @@ class Block(NamedTuple):
 
 
 #: Inside an element that is apart from the article; outside the page's article
-#: elements; on a page without such elements; inside one.
+#: elements; on a page without such elements, or inside one but with a doubt; inside one.
 APART, BESIDE, ANYWHERE, INSIDE = range(4)
 
 
@@ -88,13 +101,32 @@ class _Open(NamedTuple):
     outer: int
     silent: int
     link: int
+    doubt: int
+
+
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def names_of(attrs: str) -> list[str]:
+    """The names that an element bears; a label is one name."""
+    names = []
+    for kind, *values in NAMES.findall(attrs):
+        value = CAMEL.sub("-", "".join(values)).lower().replace("_", "-").split()
+        names += ["-".join(value)] if kind.lower() == "aria-label" else value
+    return [n for n in names if not STATE_NAMES.search(n)]
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The blocks that hold any text, in page order."""
-    found: list[tuple[str, float, int, int]] = []
+    """The blocks that hold any text, in page order, in time linear in the page.
+
+    Open elements are indexed by tag, so an end tag finds its start at once, and
+    every element is closed once.
+    """
+    found: list[tuple[str, float, _Open]] = []
     has_main = False  # an element for the article is there
-    stack = [_Open("", 0, 0, 0, 0)]
+    stack = [_Open("", 0, 0, 0, 0, 0)]
+    opened: dict[str, list[int]] = {}  # where each tag is open
+    blocks = [0]  # where blocks are open
     text: list[str] = []
     link: list[str] = []
 
@@ -103,11 +135,16 @@ def blocks_of(html: str) -> list[Block]:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
                 inside = " ".join(unescape(" ".join(link)).split()) if link else ""
-                top = stack[-1]
-                found.append((whole, len(inside) / len(whole), top.main, top.outer))
+                found.append((whole, len(inside) / len(whole), stack[-1]))
             text.clear()
             link.clear()
 
+    def close(at: int) -> None:
+        while len(stack) > at:
+            opened[stack.pop().tag].pop()
+        while blocks[-1] >= at:
+            blocks.pop()
+
     for token in TOKEN.finditer(html):
         kind = token.lastgroup
         if kind == "text":
@@ -127,12 +164,10 @@ def blocks_of(html: str) -> list[Block]:
         elif tag == "br":
             text.append(" ")
         if token["close"]:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    # a stray end tag inside a block closes nothing around the block
-                    if block or all(o.tag not in BLOCK_TAGS for o in stack[at + 1 :]):
-                        del stack[at:]
-                    break
+            at = opened.get(tag)
+            # a stray end tag inside a block closes nothing around the block
+            if at and (block or blocks[-1] < at[-1]):
+                close(at[-1])
             continue
         attrs = token["attrs"]
         if tag in VOID_TAGS or attrs.endswith("/") and not block:
@@ -140,22 +175,23 @@ def blocks_of(html: str) -> list[Block]:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or block and stack[-1].tag == "p":
             # these end what is open of their own kind, and any block ends a paragraph
             ends = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag in (*ends, "p"):
-                    del stack[at:]
-                    break
-                if stack[at].tag in BLOCK_TAGS:
-                    break
+            if blocks[-1] and stack[blocks[-1]].tag in (*ends, "p"):
+                close(blocks[-1])
         top = stack[-1]
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower().replace("_", " ") if attrs else ""
-        page = tag in ("body", "html")
-        named = block and not page and bool(names) and bool(MAIN_NAMES.search(names))
+        names = names_of(attrs) if attrs and block and tag not in ("body", "html") else []
+        headline = any(map(HEADLINE_NAMES.search, names))
+        aside = any(map(ASIDE_NAMES.search, names)) and not headline
+        # the header of an article holds its headline, whether tag or name says so
+        apart = [n for n in names if OUTER_NAMES.search(n) and not (top.main and n.endswith("header")) and not headline]
+        doubt = tag in TEXT_TAGS and bool(apart)
+        named = bool(names) and not apart and any(map(MAIN_NAMES.search, names))
         main = tag in MAIN_TAGS or named
-        # an article's own header holds its headline
-        outer = tag in OUTER_TAGS and not (tag == "header" and top.main)
-        outer |= bool(names) and not page and not main and bool(OUTER_NAMES.search(names))
-        outer |= main and bool(ASIDE_NAMES.search(names))
-        has_main |= main and not outer and not top.outer
+        outer = tag in OUTER_TAGS and not (tag == "header" and top.main) or aside
+        outer |= bool(apart) and not doubt and tag not in MAIN_TAGS
+        has_main |= main and not (outer or top.outer or headline or tag in TEXT_TAGS)
+        opened.setdefault(tag, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
         stack.append(
             _Open(
                 tag,
@@ -163,6 +199,7 @@ def blocks_of(html: str) -> list[Block]:
                 int(top.outer or outer),
                 int(top.silent or tag in SILENT_TAGS or bool(attrs and HIDDEN.search(attrs))),
                 int(top.link or tag == "a"),
+                int(top.doubt or doubt),
             )
         )
     flush()
@@ -171,9 +208,9 @@ def blocks_of(html: str) -> list[Block]:
             whole,
             len(whole.split()),
             linked,
-            APART if outer else INSIDE if main else BESIDE if has_main else ANYWHERE,
+            APART if at.outer else INSIDE if at.main and not at.doubt else BESIDE if has_main and not at.main else ANYWHERE,
         )
-        for whole, linked, main, outer in found
+        for whole, linked, at in found
     ]
 
 
@@ -196,6 +233,14 @@ LABELLED: tuple[tuple[tuple[float, ...], int], ...] = tuple(
     3   2 1.0    2 1.0   2 1.0  1
     3  14 0.5   22 0.0  10 0.0  1
     3   5 0.0    3 0.0   0 0.0  1
+    3   1 0.0    1 1.0   0 0.0  1
+    3   1 1.0   40 0.0   1 1.0  1
+    3   9 1.0   50 0.0  30 0.0  1
+    3   3 0.9   12 0.9   2 1.0  1
+    3  70 0.0    2 1.0   5 1.0  1
+    3   1 1.0    0 0.0   0 0.0  1
+    3   3 0.0    0 0.0   3 1.0  1
+    3   6 0.0    2 1.0  40 0.0  1
     0   7 0.0   90 0.0  12 0.0  0
     0  35 0.0   50 0.0   3 1.0  0
     0   3 1.0   35 0.0   3 1.0  0
@@ -225,6 +270,12 @@ LABELLED: tuple[tuple[tuple[float, ...], int], ...] = tuple(
     2  18 0.0   40 0.0   3 1.0  1
     2  12 0.2   33 0.0  44 0.0  1
     2   8 0.0   40 0.0   0 0.0  1
+    2  40 0.0    2 0.0   4 1.0  1
+    2  25 0.0   12 0.0   3 1.0  1
+    2  60 0.0    0 0.0   2 1.0  1
+    2  30 0.0    3 1.0   2 1.0  1
+    2   2 0.0    0 0.0   0 0.0  1
+    2   5 0.0    0 0.0   0 0.0  1
     2   2 1.0    0 0.0   2 1.0  0
     2   2 1.0    2 1.0   3 1.0  0
     2  25 0.9    2 1.0   9 0.8  0
