@@ -1,8 +1,10 @@
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablefeed.functions.draws import draw, state, with_line_state, with_state
 from tablefeed.operators.keys import duplicate_keys
 from tablefeed.sources import words
 from tablefeed.sources.generate import (
@@ -10,6 +12,7 @@ from tablefeed.sources.generate import (
     ORDINAL,
     Sizes,
     generate,
+    order_lines,
     row_count,
     rows_between,
 )
@@ -105,6 +108,34 @@ def test_domains(spark):
         assert generate(spark, table, SIZES).where(~length.between(low, high)).isEmpty()
 
 
+COMMENTS = {
+    "region": (31, 115), "nation": (31, 114), "supplier": (25, 100), "customer": (29, 116),
+    "part": (5, 22), "partsupp": (49, 198), "orders": (19, 78), "lineitem": (10, 43),
+}
+
+
+@pytest.mark.parametrize("table", COMMENTS)
+def test_every_part_of_a_comment_is_a_draw_of_its_own(spark, table):
+    low, high = COMMENTS[table]
+    ids = SIZES.ids(table)[:150]
+    keys = spark.range(ids.start, ids.stop)
+    of, stream = state(table), "orders" if table == "lineitem" else table
+    drawn = with_state(keys, "id", stream)
+    if table in ("partsupp", "lineitem"):
+        each = "explode(sequence(0L, 3L)) as n" if table == "partsupp" else "explode(sequence(1L, _lines)) as n"
+        drawn = with_line_state(with_state(order_lines(keys), "id", stream).selectExpr("*", each), stream, "n")
+        of = state("line")
+    pieces = words.SENTENCES if high > 50 else words.PHRASES
+    n = math.ceil((high + words.STARTS) / (min(map(len, pieces)) + 1))
+    parts = [draw(of, f"phrase{i}", len(pieces)) for i in range(n)]
+    parts += [draw(of, "comment start", words.STARTS), draw(of, "comment length", high - low + 1, low)]
+    want = []
+    for *phrases, start, length in drawn.selectExpr(*parts).collect():
+        want.append(" ".join(pieces[p] for p in phrases)[start : start + length])
+    got = [r[0] for r in BUILDERS[table](keys, SIZES).select(TABLES[table].comment).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= len(ids)
+
+
 def test_texts_do_not_run_out(spark):
     for parts in (2_000, 40_000):
         rows = generate(spark, "part", Sizes(supplier=100, customer=10, part=parts, orders=10))
