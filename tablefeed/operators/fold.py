@@ -11,24 +11,19 @@ from tablefeed.operators.upsert import SHUFFLE, sent_whole
 from tablefeed.specs import TableSpec
 
 CHANGED_BEFORE = "_changed_before"
-MOST, FIRST, ROWS, BYTES = "_most", "_first", "_rows", "_bytes"
+LAST, ROWS, BYTES = "_last", "_rows", "_bytes"
 
 
 def tick_counts(changes: DataFrame, spec: TableSpec) -> DataFrame:
-    """Per key: first and last tick, whether they differ, rows, their bytes, and the most of a tick.
+    """Per key: its last tick, whether it has an earlier one, rows, and their bytes.
 
-    Numbers alone, so that tasks count in hash tables before they send anything.
+    Numbers alone, so that tasks count in hash tables before they send anything, and once.
     """
-    each = changes.groupBy(*spec.pk, TICK).agg(
-        F.count(F.lit(1)).alias(ROWS), F.sum(row_bytes(spec.schema)).alias(BYTES)
-    )
-    return each.groupBy(*spec.pk).agg(
+    return changes.groupBy(*spec.pk).agg(
         F.max(TICK).alias(TICK),
-        F.min(TICK).alias(FIRST),
-        (F.count(F.lit(1)) > 1).alias(CHANGED_BEFORE),
-        F.max(ROWS).alias(MOST),
-        F.sum(ROWS).alias(ROWS),
-        F.sum(BYTES).alias(BYTES),
+        (F.min(TICK) < F.max(TICK)).alias(CHANGED_BEFORE),
+        F.count(F.lit(1)).alias(ROWS),
+        F.sum(row_bytes(spec.schema)).alias(BYTES),
     )
 
 
@@ -36,9 +31,10 @@ def last_changes(
     changes: DataFrame, keys: DataFrame, spec: TableSpec, plan: str = SHUFFLE, *more: str
 ) -> DataFrame:
     """The changes at the last tick of their key, by ``tick_counts``, and columns of the latter."""
-    last = keys.select(*spec.pk, TICK, CHANGED_BEFORE, *more)
-    # A hash table over the keys finds them: neither side is sorted.
-    found = changes.join(sent_whole(last, plan), [*spec.pk, TICK])
+    last = keys.select(*spec.pk, F.col(TICK).alias(LAST), CHANGED_BEFORE, *more)
+    # A hash table over the keys finds them: neither side is sorted. Ticks are not asked to be
+    # equal, so that rows are dealt by the key alone, as the join with the target needs them.
+    found = changes.join(sent_whole(last, plan), list(spec.pk)).where(F.col(TICK) >= F.col(LAST))
     return found.select(*spec.columns, CHANGED_BEFORE, *more)
 
 

@@ -29,8 +29,6 @@ from tablefeed.operators.batches import TICK
 from tablefeed.operators.fold import (
     BYTES,
     CHANGED_BEFORE,
-    FIRST,
-    MOST,
     ROWS,
     last_changes,
     tick_counts,
@@ -39,6 +37,7 @@ from tablefeed.operators.keys import require_absent, require_unique, require_val
 from tablefeed.operators.upsert import (
     EFFECT,
     INSERTED,
+    SHUFFLE,
     UPDATED,
     ChangeSize,
     plan_for,
@@ -54,6 +53,8 @@ from tablefeed.specs import TableSpec
 
 # A range is read and rewritten as a whole, so it should hold few rows.
 ROWS_PER_RANGE = 500_000
+# Changes, and files of the target, that a task joins: it sorts some times as much in memory.
+JOIN_BYTES = 64 * 1024 * 1024
 
 _turns: dict[str, threading.RLock] = {}
 _turns_guard = threading.Lock()
@@ -348,17 +349,14 @@ class ParquetSink(Sink):
         self, changes: DataFrame, spec: TableSpec, state: State, number: int, now_text: str, work: str
     ) -> tuple[Applied, set[int], int]:
         """Write the new content of every range the changes touch; also these, and the layout."""
-        # One pass over the changes says how many and how large they are, whether keys
-        # are unique in each batch, which change of each is the last, and their ranges.
+        # One pass over the changes says how many and how large they are, whether any key
+        # comes twice, which change of each is the last, and their ranges.
         layout, measured = self.layout(spec, state), Observation()
         keys = tick_counts(changes, spec).withColumn(RANGE, layout.range_of(spec))
         measures = [
             *size_measures(spec),
             F.sum(ROWS).alias("changes"),
             F.sum(BYTES).alias("bytes"),
-            F.min(FIRST).alias("first"),
-            F.max(TICK).alias("last"),
-            F.max(MOST).alias("most"),
             F.collect_set(RANGE).alias("ranges"),
         ]
         # Observed after the shuffle: a task before it may run, and count, twice.
@@ -366,14 +364,20 @@ class ParquetSink(Sink):
         got = measured.get
         if got["rows"] == 0:
             return Applied(0, 0, 0), set(), state.layout
-        if got["most"] > 1:
+        once = got["changes"] == got["rows"]
+        if not once:
             require_unique(changes, [*spec.pk, TICK], f"changes of {spec.name}")
         keys, touched = self.spark.read.parquet(f"{work}/keys"), set(got["ranges"])
         self._log(spec).touches(number, touched)
 
         plan = plan_for(ChangeSize(got["rows"], got["key_bytes"]))
-        several = got["first"] != got["last"]
-        last = last_changes(changes, keys, spec, plan, RANGE)
+        if plan == SHUFFLE:
+            changes = self._dealt(changes, spec, got["bytes"] + sum(self._held(spec, touched).values()))
+        if once:
+            # No key comes twice: all changes are the last.
+            last = changes.withColumn(RANGE, layout.range_of(spec))
+        else:
+            last = last_changes(changes, keys, spec, plan, RANGE)
         target = self._rows(spec, state, touched)
         stored = replace(spec, schema=self._stored_schema(spec, RANGE))
         grown, named = self._cut_grown(spec, layout, target, keys, got["bytes"] / got["changes"]), state.layout
@@ -383,7 +387,7 @@ class ParquetSink(Sink):
             target = target.withColumn(RANGE, grown.range_of(spec))
             new = set(grown.numbers) - set(layout.numbers)
             self._log(spec).touches(number, touched | new)
-        before = CHANGED_BEFORE if several else None
+        before = None if once else CHANGED_BEFORE
         result = upsert(
             target, last, stored, now_text, plan, before, EFFECT, RANGE, keys.select(*spec.pk)
         )
@@ -397,6 +401,19 @@ class ParquetSink(Sink):
         effect = Applied(got["changes"], counts.get["inserted"], counts.get["updated"])
         return effect, touched, named
 
+    def _held(self, spec: TableSpec, ranges: Iterable[int]) -> dict[str, int]:
+        """Bytes of files in the folders of those ranges that have one."""
+        base = self.path(spec)
+        present = set(files.names(self.spark, base)) & {f"{RANGE}={n}" for n in ranges}
+        with ThreadPoolExecutor(DELETING) as pool:
+            return dict(zip(present, pool.map(lambda n: files.size(self.spark, f"{base}/{n}"), present)))
+
+    def _dealt(self, changes: DataFrame, spec: TableSpec, size: int) -> DataFrame:
+        """The changes dealt by key to more tasks than usual where the rows to be joined need it."""
+        parts = math.ceil(size / JOIN_BYTES)
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return changes.repartition(parts, *spec.pk) if parts > usual else changes
+
     def _cut_grown(
         self, spec: TableSpec, layout: Layout, target: DataFrame, keys: DataFrame, row: float
     ) -> Layout:
@@ -408,10 +425,7 @@ class ParquetSink(Sink):
         if layout.width is not None:
             return layout
         added = {r[RANGE]: r["count"] for r in keys.groupBy(RANGE).count().collect()}
-        base = self.path(spec)
-        present = set(files.names(self.spark, base)) & {f"{RANGE}={n}" for n in added}
-        with ThreadPoolExecutor(DELETING) as pool:
-            held = dict(zip(present, pool.map(lambda n: files.size(self.spark, f"{base}/{n}"), present)))
+        held = self._held(spec, added)
         weights = {n: held.get(f"{RANGE}={n}", 0) + count * row for n, count in added.items()}
         for number in sorted(n for n, weight in weights.items() if weight >= 2 * self.range_bytes):
             own = F.col(RANGE) == number
