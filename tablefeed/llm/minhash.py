@@ -7,20 +7,28 @@ Sketching"). Texts that agree on all samples of a band meet; what meets, directl
 or through others, is a family. Inside a family the similarity is worked out
 exactly, until everything that is linked is connected.
 
-The idf is ln(1 + 1 / max(df / N, 0.1)): runs of words that under a tenth of all
-documents hold weigh the same, and boilerplate weighs less the more common it
-is. So a text and its copies don't drift apart by being copied a lot, and only
-the runs above a tenth have to be known everywhere; there can be no more of them
-than ten times the runs of a mean document.
+The idf is ln(1 + N / df) with the number of documents that hold a run, counted
+for every run: documents are dealt to parts, a part asks for each of its runs once,
+runs are counted by ranges of their hashes, and each part is told those that more
+than one document holds.
+
+``classes`` can also take the floored idf ln(1 + 1 / max(df / N, 0.1)): runs of words
+that under a tenth of all documents hold weigh the same. A text and its copies don't
+drift apart by being copied a lot then, and only the runs above a tenth have to be
+known everywhere; there can be no more of them than ten times the runs of a mean
+document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +48,13 @@ COMMON = 0.1
 BLOCK_DOCS = 1_000
 BLOCK_WORDS = 1_000_000
 #: Features that are sampled, and counted, at a time.
-STRIP = 1_024
+STRIP = 256
 CHUNK = 2_000_000
 BUCKETS = 1 << 20
+#: Characters of a part, in the mean, whose runs are asked for and weighed at a time. A range
+#: of hashes has the runs of as many parts as the second number.
+PART_CHARS = 1 << 22
+RANGE_PARTS = 2
 BASE = 0xC2B2AE3D27D4EB4F
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -109,8 +121,8 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(runs_of(words), return_counts=True)
 
 
-def idf(share: np.ndarray | float) -> np.ndarray:
-    return np.log(1 + 1 / np.maximum(share, COMMON))
+def idf(share: np.ndarray | float, floor: float = COMMON) -> np.ndarray:
+    return np.log(1 + 1 / np.maximum(share, floor))
 
 
 def weights(
@@ -236,9 +248,89 @@ def common_runs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names, idf(np.array([share[int(v)] for v in names.view(np.int64)]))
 
 
+# -- the documents of every run ---------------------------------------------------
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, all second ones and so on: those of numbers in order compress well."""
+    size = numbers.dtype.itemsize
+    return numbers.astype(f">u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _numbers(planes: bytes, size: int) -> np.ndarray:
+    given = np.frombuffer(planes, np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(given.T).reshape(-1).view(f">u{size}").astype(f"u{size}")
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are equal in (key, doc_id, text) become one with their number."""
+    for batch in batches:
+        _, first, n = np.unique(batch.column("key").to_numpy(), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        once = batch.take(pa.array(first[order]))
+        yield once.append_column("copies", pa.array(n[order].astype(np.int64)))
+
+
+def dealt(documents: DataFrame) -> tuple[DataFrame, int]:
+    """(key, doc_id, text, copies, part) and the number of parts."""
+    given = row_key(documents.select(F.col("doc_id").cast("long"), "text")).select("key", "doc_id", "text")
+    parts = 1 + (documents.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS
+    once = given.mapInArrow(_collapsed, "key long, doc_id long, text string, copies long")
+    return once.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(parts)).cast("int")), parts
+
+
+def asked(part: int, texts: pd.DataFrame, ranges: int) -> pd.DataFrame:
+    """The distinct runs of a part by ranges of hashes, and how many of its documents hold each."""
+    runs = [np.unique(runs_of(words_of(t))) for t in texts["text"]]
+    times = texts["copies"].to_numpy(np.int64)
+    of = np.repeat(times, list(map(len, runs)))
+    runs_in, at = np.concatenate(runs), np.array([len(r) > 0 for r in runs])
+    order = np.argsort(runs_in, kind="stable")
+    names, starts = np.unique(runs_in[order], return_index=True)
+    held = np.add.reduceat(of[order], starts) if len(names) else of
+    ends = np.array([(k << 64) // ranges - 1 for k in range(1, ranges + 1)], dtype=np.uint64)
+    cuts = np.append(0, np.searchsorted(names, ends, "right"))
+    return pd.DataFrame(
+        [
+            (part, k, _planes(names[a:b]), _planes(held[a:b].astype(np.uint64)), int(times[at].sum()))
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
+        ],
+        columns=["part", "range", "runs", "held", "docs"],
+    )
+
+
+def told(requests: pd.DataFrame) -> pd.DataFrame:
+    """For every part those of its runs in a range that more than one document holds, and in how many."""
+    runs = [_numbers(r, 8) for r in requests["runs"]]
+    held = np.concatenate([_numbers(h, 8) for h in requests["held"]]).astype(np.int64)
+    every = np.concatenate(runs)
+    order = np.argsort(every, kind="stable")
+    names, starts = np.unique(every[order], return_index=True)
+    if len(names):
+        sums = np.add.reduceat(held[order], starts)
+        held[order] = np.repeat(sums, np.diff(np.append(starts, len(every))))
+    rows, at = [], 0
+    for part, piece in zip(requests["part"], runs):
+        own = held[at : at + len(piece)]
+        at += len(piece)
+        more = own > 1
+        rows.append((part, requests["range"].iloc[0], _planes(piece[more]), _planes(own[more].astype(np.uint64))))
+    return pd.DataFrame(rows, columns=["part", "range", "runs", "held"]).assign(docs=requests["docs"].sum())
+
+
 # -- links ------------------------------------------------------------------------
 
 
+def signature(words: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> tuple[bytes, int, list[int], bytes]:
+    picked = sampled(runs, weight)
+    bands = np.zeros(BANDS, np.uint64)
+    for row in range(ROWS):
+        bands = mixed(bands + picked[row::ROWS])
+    digest = hashlib.md5(words.tobytes(), usedforsecurity=False)
+    short = picked.astype(np.uint32).tobytes()
+    return digest.digest(), len(words), bands.view(np.int64).tolist(), short
+
+
 def signer(common: tuple[np.ndarray, np.ndarray]) -> Callable[[pd.Series], pd.DataFrame]:
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -248,22 +340,69 @@ def signer(common: tuple[np.ndarray, np.ndarray]) -> Callable[[pd.Series], pd.Da
                 rows.append((None, 0, None, None))
                 continue
             runs, counts = shingles(words)
-            picked = sampled(runs, weights(runs, counts, common))
-            bands = np.zeros(BANDS, np.uint64)
-            for row in range(ROWS):
-                bands = mixed(bands + picked[row::ROWS])
-            digest = hashlib.md5(words.tobytes(), usedforsecurity=False)
-            short = picked.astype(np.uint32).tobytes()
-            rows.append((digest.digest(), len(words), bands.view(np.int64).tolist(), short))
+            rows.append(signature(words, runs, weights(runs, counts, common)))
         return pd.DataFrame(rows, columns=["digest", "words", "bands", "samples"])
 
     return sign
 
 
-def verified(group: pd.DataFrame, common: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+def signed_part(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """The signatures of a part's texts, and for each the documents that hold its runs, in order."""
+    replies = replies.sort_values("range")
+    names = np.concatenate([_numbers(r, 8) for r in replies["runs"]])
+    more = np.concatenate([_numbers(h, 8) for h in replies["held"]])
+    docs = int(replies["docs"].iloc[0])
+    rows = []
+    for text in texts["text"]:
+        words = words_of(text)
+        if not len(words):
+            rows.append((None, 0, None, None, None))
+            continue
+        runs, counts = shingles(words)
+        held = np.ones(len(runs), np.uint64)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, runs), len(names) - 1)
+            found = names[at] == runs
+            held[found] = more[at[found]]
+        weight = (1 + np.log(counts)) * idf(held / docs, 0.0)
+        rows.append((*signature(words, runs, weight), zlib.compress(held.tobytes(), 1)))
+    got = pd.DataFrame(rows, columns=["digest", "words", "bands", "samples", "held"])
+    return pd.concat([texts[["key", "doc_id", "copies"]].reset_index(drop=True), got], axis=1).assign(docs=docs)
+
+
+SIGNED = "key long, doc_id long, copies long, digest binary, words long, bands array<long>, samples binary, held binary, docs long"
+REQUEST = "part int, range int, runs binary, held binary, docs long"
+
+
+def signed_by_every_run(documents: DataFrame) -> DataFrame:
+    """Signatures by the idf of every run, with the number of documents that have runs."""
+    texts, parts = dealt(documents)
+    ranges = -(-parts // RANGE_PARTS)
+    requests = texts.groupBy("part").applyInPandas(
+        lambda key, group: asked(int(key[0]), group, ranges), REQUEST
+    )
+    replies = requests.groupBy("range").applyInPandas(told, REQUEST)
+    return texts.groupBy("part").cogroup(replies.groupBy("part")).applyInPandas(signed_part, SIGNED)
+
+
+def signed_by_common_runs(documents: DataFrame, sent: Broadcast) -> DataFrame:
+    """Signatures by the floored idf."""
+    sign = F.pandas_udf(
+        lambda t: signer(sent.value)(t), "digest binary, words long, bands array<long>, samples binary"
+    )
+    return (
+        row_key(documents.select(F.col("doc_id").cast("long"), "text"))
+        .select("key", "doc_id", F.lit(1).cast("long").alias("copies"), sign("text").alias("s"))
+        .select("key", "doc_id", "copies", "s.*", F.lit(None).cast("binary").alias("held"))
+    )
+
+
+def verified(
+    group: pd.DataFrame, weigh: Callable[[np.ndarray, np.ndarray, bytes | None], np.ndarray]
+) -> pd.DataFrame:
     """A forest of links with a similarity of 0.8 or more that connects all such links.
 
-    Rows are (key, block, text, samples). If the blocks are two, only pairs
+    Rows are (key, block, text, samples, held). If the blocks are two, only pairs
     across them are compared. The row that agrees most with the others comes
     first, as a text from which many others were made will connect them.
     """
@@ -271,9 +410,9 @@ def verified(group: pd.DataFrame, common: tuple[np.ndarray, np.ndarray]) -> pd.D
     keys, block = group["key"].to_numpy(np.int64), group["block"].to_numpy()
     samples = np.array([np.frombuffer(s, np.uint32) for s in group["samples"]])
     features = []
-    for text in group["text"]:
+    for text, held in zip(group["text"], group["held"]):
         runs, counts = shingles(words_of(text))
-        features.append((runs, weights(runs, counts, common)))
+        features.append((runs, weigh(runs, counts, held)))
     total = np.array([w.sum() for _, w in features])
     across = len(set(block.tolist())) > 1
 
@@ -306,7 +445,7 @@ def row_key(documents: DataFrame) -> DataFrame:
     return documents.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
 
 
-def classes(documents: DataFrame) -> DataFrame:
+def classes(documents: DataFrame, exact: bool = False) -> DataFrame:
     """(key, doc_id, copies, class_key, class_id) for the distinct rows of (doc_id, text).
 
     ``key`` is the row's own and ``copies`` the number of rows that have it. A
@@ -314,27 +453,33 @@ def classes(documents: DataFrame) -> DataFrame:
     smallest (doc_id, key), rows without an id last, and ``class_id`` its doc_id.
     Texts of equal words are one text. Those without words, null ones among them,
     link with nothing. Texts are sampled and compared whole, whatever their length,
-    and no rows give no rows.
+    and no rows give no rows. The idf of runs is floored at a tenth of the documents;
+    with ``exact`` it is not, and the documents of every run are counted.
     """
-    texts = documents.select("text")
-    common = common_runs(texts)
-    sent = documents.sparkSession.sparkContext.broadcast(common)
-    sign = F.pandas_udf(
-        lambda t: signer(sent.value)(t), "digest binary, words long, bands array<long>, samples binary"
-    )
-    signed = keep(
-        row_key(documents.select(F.col("doc_id").cast("long"), "text"))
-        .select("key", "doc_id", sign("text").alias("s"))
-        .select("key", "doc_id", "s.*"),
-        "signatures",
-    )
-    rows = signed.groupBy("key", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    if exact:
+        signed = keep(signed_by_every_run(documents), "signatures")
+        docs = signed.agg(F.max("docs")).first()[0]
+
+        def weigh(runs: np.ndarray, counts: np.ndarray, held: bytes | None) -> np.ndarray:
+            return (1 + np.log(counts)) * idf(np.frombuffer(zlib.decompress(held), np.uint64) / docs, 0.0)
+
+    else:
+        sent = documents.sparkSession.sparkContext.broadcast(common_runs(documents.select("text")))
+        signed = keep(signed_by_common_runs(documents, sent), "signatures")
+
+        def weigh(runs: np.ndarray, counts: np.ndarray, held: bytes | None) -> np.ndarray:
+            return weights(runs, counts, sent.value)
+
+    rows = signed.groupBy("key", "doc_id", "digest").agg(F.sum("copies").alias("copies"))
     # one of the rows with the same words stands for all
     stands = keep(
         signed.where("digest is not null")
         .groupBy("digest")
         .agg(F.min("key").alias("node"))
-        .join(signed.select("digest", F.col("key").alias("node"), "words", "bands", "samples"), ["digest", "node"])
+        .join(
+            signed.select("digest", F.col("key").alias("node"), "words", "bands", "samples", "held"),
+            ["digest", "node"],
+        )
         .dropDuplicates(["node"]),
         "texts",
     )
@@ -343,7 +488,7 @@ def classes(documents: DataFrame) -> DataFrame:
     family = components(
         met.join(lowest, ["band", "bucket"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     ).withColumnRenamed("component", "family")
-    members = keep(family.join(stands.select("node", "words", "samples"), "node"), "families")
+    members = keep(family.join(stands.select("node", "words", "samples", "held"), "node"), "families")
     sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("words").alias("words"))
     # a family of more than a block is cut in blocks, and every two blocks meet
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
@@ -356,15 +501,15 @@ def classes(documents: DataFrame) -> DataFrame:
         members.drop("words")
         .join(sizes.select("family", blocks.alias("blocks")), "family")
         .withColumn("block", mine)
-        .select("node", "family", "samples", "block", F.explode(others).alias("pair"))
+        .select("node", "family", "samples", "held", "block", F.explode(others).alias("pair"))
     )
     texts = row_key(documents.select(F.col("doc_id").cast("long"), "text")).select(F.col("key").alias("node"), "text")
     compared = (
         placed.join(texts, "node")
         .dropDuplicates(["node", "family", "pair"])
-        .select(F.col("node").alias("key"), "family", "samples", "block", "text", "pair.first", "pair.second")
+        .select(F.col("node").alias("key"), "family", "samples", "held", "block", "text", "pair.first", "pair.second")
         .groupBy("family", "first", "second")
-        .applyInPandas(lambda group: verified(group, sent.value), "a long, b long")
+        .applyInPandas(lambda group: verified(group, weigh), "a long, b long")
     )
     linked = components(keep(compared, "links")).withColumnRenamed("component", "root")
     rooted = (
@@ -400,7 +545,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The class of every document, and whether it stays; a row for each row of the table."""
     docs = table(spark, folder, "documents", "doc_id", "text")
-    found = classes(docs)
+    found = classes(docs, exact=True)
     return found.select(
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"),
         "doc_id",
