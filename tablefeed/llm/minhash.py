@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,10 +47,16 @@ COMMON = 0.1
 #: Documents, and words, of a family that one task compares with as many others.
 BLOCK_DOCS = 1_000
 BLOCK_WORDS = 1_000_000
-#: Features that are sampled, and counted, at a time.
-STRIP = 256
+#: Characters of the texts that are cut into words at a time, runs that are sampled at a time
+#: and by how many samples, and runs that are counted at a time.
+READ_CHARS = 1 << 16
+RACE_RUNS = 1 << 14
+RACE_SAMPLES = 8
 CHUNK = 2_000_000
 BUCKETS = 1 << 20
+#: A sample's least value is sought below this many times its mean. It lies above with a
+#: chance of exp(-LIMIT), 0.25%, and is then sought among all runs of the text.
+LIMIT = 6.0
 #: Characters of a part, in the mean, whose runs are asked for and weighed at a time. A range
 #: of hashes has the runs of as many parts as the second number.
 PART_CHARS = 1 << 22
@@ -92,17 +98,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def words_of(text: str | None) -> np.ndarray:
-    """A hash for each word of a text, in lower case: polynomials of its code points."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where each value begins, in an array that has equal values side by side."""
+    return np.flatnonzero(np.append(len(values) > 0, values[1:] != values[:-1]))
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts, in lower case, and the number of each text's words.
+
+    The hashes are polynomials of the code points, wherever a word stands.
+    """
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     edges = np.flatnonzero(np.diff(is_word()[points], prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(points))
+    up, down = powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(points * up[: len(points)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    last = np.cumsum([len(t) + 1 for t in lower])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), np.diff(np.searchsorted(starts, last), prepend=0)
 
 
 def runs_of(h: np.ndarray) -> np.ndarray:
@@ -116,9 +130,35 @@ def runs_of(h: np.ndarray) -> np.ndarray:
     return runs
 
 
-def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def read(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words of every text and its runs, as they come; many short texts are read at a time."""
+
+    def told(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, sizes = words_of(some)
+        # those across two texts are made too, and left out
+        runs = runs_of(words)
+        ends = np.cumsum(sizes)
+        for start, end in zip((ends - sizes).tolist(), ends.tolist()):
+            own = words[start:end]
+            yield own, runs[start : end - WORDS + 1] if end - start >= WORDS else runs_of(own)
+
+    some: list[str] = []
+    held = 0
+    for text in texts:
+        some.append(text or "")
+        held += len(some[-1])
+        if held >= READ_CHARS:
+            yield from told(some)
+            some, held = [], 0
+    if some:
+        yield from told(some)
+
+
+def shingles(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs in order, and how often each occurs."""
-    return np.unique(runs_of(words), return_counts=True)
+    ordered = np.sort(runs)
+    starts = firsts(ordered)
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
 
 def idf(share: np.ndarray | float, floor: float = COMMON) -> np.ndarray:
@@ -146,30 +186,78 @@ def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
     return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
 
 
-def sampled(runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For each sample a hash of the run and level that it picks."""
-    best = np.full(SAMPLES, np.inf, np.float32)
-    picked = np.zeros(SAMPLES, np.uint64)
+def _raced(bits: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs in their samples, the least of which is picked, and their levels."""
+    more = (bits ^ (bits >> np.uint64(31))) * MIX
+    r = -np.log(_uniform(bits, 0) * _uniform(bits, 21))
+    c = -np.log(_uniform(bits, 42) * _uniform(more, 0))
+    beta = _uniform(more, 21)
+    level = np.floor(log / r + beta)
+    return np.log(c) - r * (level - beta + 1), level
+
+
+def _named(runs: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return mixed(runs + level.astype(np.int64).astype(np.uint64) * ODD)
+
+
+def sampled_together(runs: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text and sample a hash of the run and level that it picks.
+
+    The texts' runs follow each other, ``sizes`` of them, none without any. A run's value is
+    log(c) - r * (level - beta + 1), and that is never below log(c * exp(-r) / weight) with
+    exp(-r) = u * v and c = -log(x * y) >= 1 - x for the uniform u, v, x and y. The least
+    value of a text is about -log(its weight), so that what can't come near it is
+    known by a product of integers, or by c, and only the rest is worked out.
+    """
+    starts = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    limit = LIMIT / np.add.reduceat(weight, starts)
+    most = np.log(limit).astype(np.float32)
     logs = np.log(weight).astype(np.float32)
-    column = np.arange(SAMPLES)
-    for at in range(0, len(runs), STRIP):
-        own, log = runs[at : at + STRIP, None], logs[at : at + STRIP, None]
-        bits = mixed(own ^ _SEEDS[None])
-        more = (bits ^ (bits >> np.uint64(31))) * MIX
-        r = -np.log(_uniform(bits, 0) * _uniform(bits, 21))
-        c = -np.log(_uniform(bits, 42) * _uniform(more, 0))
-        beta = _uniform(more, 21)
-        level = np.floor(log / r + beta)
-        value = np.log(c) - r * (level - beta + 1)
-        row = value.argmin(axis=0)
-        low = value[row, column]
-        won = low < best
-        best[won] = low[won]
-        chosen = mixed(own[row, 0] + level[row, column].astype(np.int64).astype(np.uint64) * ODD)
-        picked[won] = chosen[won]
+    # a thousandth more than the limit, as values are rounded
+    bound = weight * limit[text] * 1.001
+    least = (np.minimum(bound, 1) * 2.0**63).astype(np.uint64)
+    bound = bound.astype(np.float32)
+    picked = np.zeros((len(sizes), SAMPLES), np.uint64)
+    settled = np.zeros((len(sizes), SAMPLES), bool)
+    last21 = np.uint64(0x1FFFFF)
+    for first in range(0, SAMPLES, RACE_SAMPLES):
+        places, drawn = [], []
+        for seed in _SEEDS[first : first + RACE_SAMPLES]:
+            bits = mixed(runs ^ seed)
+            low = (bits & last21) * (bits >> np.uint64(21) & last21)
+            low *= ~bits >> np.uint64(42) & last21
+            near = np.flatnonzero(low <= least)
+            places.append(near)
+            drawn.append(bits[near])
+        sample = np.repeat(np.arange(first, first + len(places)), list(map(len, places)))
+        place, bits = np.concatenate(places), np.concatenate(drawn)
+        c = -np.log(_uniform(bits, 42) * _uniform((bits ^ (bits >> np.uint64(31))) * MIX, 0))
+        near = np.flatnonzero(_uniform(bits, 0) * _uniform(bits, 21) * c <= bound[place])
+        place, sample = place[near], sample[near]
+        value, level = _raced(bits[near], logs[place])
+        group = sample * len(sizes) + text[place]
+        begins = firsts(group)
+        if len(begins):
+            lowest = np.minimum.reduceat(value, begins)
+            at = np.flatnonzero(value == np.repeat(lowest, np.diff(np.append(begins, len(group)))))
+            at = at[firsts(group[at])]
+            at = at[value[at] <= most[text[place[at]]]]
+            own = text[place[at]], sample[at]
+            picked[own] = _named(runs[place[at]], level[at])
+            settled[own] = True
+    for i, k in np.argwhere(~settled):
+        own = runs[starts[i] : starts[i] + sizes[i]]
+        value, level = _raced(mixed(own ^ _SEEDS[k]), logs[starts[i] : starts[i] + sizes[i]])
+        at = [value.argmin()]
+        picked[i, k] = _named(own[at], level[at])[0]
     return picked
 
 
+def sampled(runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return sampled_together(runs, weight, np.array([len(runs)]))[0]
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (runs in order, weights)."""
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
@@ -202,8 +290,7 @@ def _local_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
     for batch in batches:
-        for text in batch["text"]:
-            runs = runs_of(words_of(text))
+        for _, runs in read(batch["text"]):
             if len(runs):
                 parts.append(runs)
                 held += len(runs)
@@ -236,8 +323,7 @@ def common_runs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(len(asked), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                runs = runs_of(words_of(text))
+            for _, runs in read(batch["text"]):
                 at = np.minimum(np.searchsorted(asked, runs), len(asked) - 1)
                 n[np.unique(at[asked[at] == runs])] += 1
         yield pd.DataFrame({"run": asked.view(np.int64), "n": n})
@@ -281,12 +367,14 @@ def dealt(documents: DataFrame) -> tuple[DataFrame, int]:
 
 def asked(part: int, texts: pd.DataFrame, ranges: int) -> pd.DataFrame:
     """The distinct runs of a part by ranges of hashes, and how many of its documents hold each."""
-    runs = [np.unique(runs_of(words_of(t))) for t in texts["text"]]
+    runs = [shingles(r)[0] for _, r in read(texts["text"])]
     times = texts["copies"].to_numpy(np.int64)
     of = np.repeat(times, list(map(len, runs)))
     runs_in, at = np.concatenate(runs), np.array([len(r) > 0 for r in runs])
     order = np.argsort(runs_in, kind="stable")
-    names, starts = np.unique(runs_in[order], return_index=True)
+    names = runs_in[order]
+    starts = firsts(names)
+    names = names[starts]
     held = np.add.reduceat(of[order], starts) if len(names) else of
     ends = np.array([(k << 64) // ranges - 1 for k in range(1, ranges + 1)], dtype=np.uint64)
     cuts = np.append(0, np.searchsorted(names, ends, "right"))
@@ -305,8 +393,8 @@ def told(requests: pd.DataFrame) -> pd.DataFrame:
     held = np.concatenate([_numbers(h, 8) for h in requests["held"]]).astype(np.int64)
     every = np.concatenate(runs)
     order = np.argsort(every, kind="stable")
-    names, starts = np.unique(every[order], return_index=True)
-    if len(names):
+    starts = firsts(every[order])
+    if len(starts):
         sums = np.add.reduceat(held[order], starts)
         held[order] = np.repeat(sums, np.diff(np.append(starts, len(every))))
     rows, at = [], 0
@@ -321,27 +409,43 @@ def told(requests: pd.DataFrame) -> pd.DataFrame:
 # -- links ------------------------------------------------------------------------
 
 
-def signature(words: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> tuple[bytes, int, list[int], bytes]:
-    picked = sampled(runs, weight)
-    bands = np.zeros(BANDS, np.uint64)
-    for row in range(ROWS):
-        bands = mixed(bands + picked[row::ROWS])
-    digest = hashlib.md5(words.tobytes(), usedforsecurity=False)
-    short = picked.astype(np.uint32).tobytes()
-    return digest.digest(), len(words), bands.view(np.int64).tolist(), short
+def signatures(
+    texts: Iterable[str | None], weigh: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes | None]]
+) -> pd.DataFrame:
+    """A row for each text; ``weigh`` gives weights and what is to be held of distinct runs and their counts."""
+    rows: list[tuple] = []
+    some: list[tuple] = []
+
+    def told() -> None:
+        sizes = np.array([len(runs) for _, _, runs, _, _ in some])
+        runs, weight = (np.concatenate([t[k] for t in some]) for k in (2, 3))
+        picked = sampled_together(runs, weight, sizes)
+        bands = np.zeros((len(some), BANDS), np.uint64)
+        for row in range(ROWS):
+            bands = mixed(bands + picked[:, row::ROWS])
+        short = picked.astype(np.uint32)
+        for (at, words, _, _, held), own, names in zip(some, short, bands.view(np.int64).tolist()):
+            digest = hashlib.md5(words.tobytes(), usedforsecurity=False).digest()
+            rows[at] = digest, len(words), names, own.tobytes(), held
+
+    waiting = 0
+    for words, runs in read(texts):
+        rows.append((None, 0, None, None, None))
+        if len(words):
+            names, counts = shingles(runs)
+            some.append((len(rows) - 1, words, names, *weigh(names, counts)))
+            waiting += len(names)
+        if waiting >= RACE_RUNS:
+            told()
+            some, waiting = [], 0
+    if some:
+        told()
+    return pd.DataFrame(rows, columns=["digest", "words", "bands", "samples", "held"])
 
 
 def signer(common: tuple[np.ndarray, np.ndarray]) -> Callable[[pd.Series], pd.DataFrame]:
     def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = words_of(text)
-            if not len(words):
-                rows.append((None, 0, None, None))
-                continue
-            runs, counts = shingles(words)
-            rows.append(signature(words, runs, weights(runs, counts, common)))
-        return pd.DataFrame(rows, columns=["digest", "words", "bands", "samples"])
+        return signatures(texts, lambda runs, counts: (weights(runs, counts, common), None)).drop(columns="held")
 
     return sign
 
@@ -352,21 +456,16 @@ def signed_part(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     names = np.concatenate([_numbers(r, 8) for r in replies["runs"]])
     more = np.concatenate([_numbers(h, 8) for h in replies["held"]])
     docs = int(replies["docs"].iloc[0])
-    rows = []
-    for text in texts["text"]:
-        words = words_of(text)
-        if not len(words):
-            rows.append((None, 0, None, None, None))
-            continue
-        runs, counts = shingles(words)
+
+    def weigh(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
         held = np.ones(len(runs), np.uint64)
         if len(names):
             at = np.minimum(np.searchsorted(names, runs), len(names) - 1)
             found = names[at] == runs
             held[found] = more[at[found]]
-        weight = (1 + np.log(counts)) * idf(held / docs, 0.0)
-        rows.append((*signature(words, runs, weight), zlib.compress(held.tobytes(), 1)))
-    got = pd.DataFrame(rows, columns=["digest", "words", "bands", "samples", "held"])
+        return (1 + np.log(counts)) * idf(held / docs, 0.0), zlib.compress(held.tobytes(), 1)
+
+    got = signatures(texts["text"], weigh)
     return pd.concat([texts[["key", "doc_id", "copies"]].reset_index(drop=True), got], axis=1).assign(docs=docs)
 
 
@@ -410,8 +509,8 @@ def verified(
     keys, block = group["key"].to_numpy(np.int64), group["block"].to_numpy()
     samples = np.array([np.frombuffer(s, np.uint32) for s in group["samples"]])
     features = []
-    for text, held in zip(group["text"], group["held"]):
-        runs, counts = shingles(words_of(text))
+    for (_, own), held in zip(read(group["text"]), group["held"]):
+        runs, counts = shingles(own)
         features.append((runs, weigh(runs, counts, held)))
     total = np.array([w.sum() for _, w in features])
     across = len(set(block.tolist())) > 1
