@@ -629,11 +629,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The first document of every class, in its own columns.
 
     Of several rows with the same doc_id and text it is the one whose columns are
-    first as JSON text, so that every run keeps the same one.
+    first as JSON text, so that every run keeps the same one. The documents of every
+    run of words are counted, as in op3.
     """
     names = documents.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
-    stays = classes(documents.select("doc_id", "text")).where("key = class_key").select("key", "copies")
+    stays = classes(documents.select("doc_id", "text"), exact=True).where("key = class_key").select("key", "copies")
     rows = row_key(documents.select(row, F.col("doc_id").cast("long"), "text")).select("_row", "key").join(stays, "key")
     once = rows.where("copies = 1").select("_row")
     more = rows.where("copies > 1").groupBy("key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
